@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lodegraph.llm import quality
+from lodegraph.llm import licenses, pii, quality
 
-QUERIES = {"op10_quality_classifier": quality.op10_quality_classifier}
+QUERIES = {
+    "op1_pii_bootstrap": pii.op1_pii_bootstrap,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op10_quality_classifier": quality.op10_quality_classifier,
+}
 ORACLES: dict[str, str] = {}
