@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodegraph.llm import fingerprints, licenses, linededup, pii, quality
+from lodegraph.llm import fingerprints, licenses, linededup, pii, quality, simhash
 
 QUERIES = {
     "op1_pii_bootstrap": pii.op1_pii_bootstrap,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op4_simhash_near_duplicates": simhash.op4_simhash_near_duplicates,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_license_scan": licenses.op6_license_scan,
     "op10_quality_classifier": quality.op10_quality_classifier,
