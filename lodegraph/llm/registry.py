@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodegraph.llm import decontam, fingerprints, licenses, linededup, pii, quality, simhash
+from lodegraph.llm import decontam, fingerprints, licenses, linededup, pii, quality, simhash, subword
 
 QUERIES = {
     "op1_pii_bootstrap": pii.op1_pii_bootstrap,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash_near_duplicates": simhash.op4_simhash_near_duplicates,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_sentencepiece": subword.op7_sentencepiece,
     "op8_decontamination": decontam.op8_decontamination,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
