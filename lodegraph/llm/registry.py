@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodegraph.llm import decontam, fingerprints, licenses, linededup, pii, quality, simhash, subword
+from lodegraph.llm import decontam, fingerprints, licenses, linededup, pii, quality, simhash, substrings, subword
 
 QUERIES = {
     "op1_pii_bootstrap": pii.op1_pii_bootstrap,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_license_scan": licenses.op6_license_scan,
     "op7_sentencepiece": subword.op7_sentencepiece,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": linededup.OP5_SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": linededup.OP5_SQL, "op9_substring_dedup": substrings.OP9_SQL}
