@@ -49,13 +49,13 @@ def later_windows(found: DataFrame) -> DataFrame:
 
 def dedup(documents: DataFrame) -> DataFrame:
     """All columns of the input with ``text`` reduced (and ``n_chars``, where there is one), and __n_lines, __n_removed."""
-    hits = later_windows(windows(documents)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t2"), "hits")
+    hits = later_windows(windows(documents)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t2"), F.col("hits").alias("__hits"))
     lines = _lines(documents, ["*"])
     joined = lines.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t2")), "left")
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.array(*[p + j for j in range(WIDTH)]))))
+    covered = F.array_distinct(F.flatten(F.transform("__hits", lambda p: F.array(*[p + j for j in range(WIDTH)]))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
-    out = joined.withColumn("__covered", covered).withColumn("__kept", F.when(F.col("hits").isNull(), F.lit(None)).otherwise(kept))
-    text = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n"))
+    out = joined.withColumn("__covered", covered).withColumn("__kept", F.when(F.col("__hits").isNull(), F.lit(None)).otherwise(kept))
+    text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n"))
     out = out.withColumn("__new", text).withColumn("__n_lines", F.size("__lines").cast("bigint")).withColumn("__n_removed", F.coalesce(F.size("__covered"), F.lit(0)).cast("bigint"))
     columns = [F.col("__new").alias("text") if c == "text" else F.length(F.coalesce("__new", F.lit(""))).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
     return out.select(*columns, "__n_lines", "__n_removed")

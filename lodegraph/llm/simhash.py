@@ -190,9 +190,10 @@ def keep_one(documents: DataFrame) -> DataFrame:
     found = groups(documents).where("id = class_id and th = class_th").groupBy("id", "th").agg(F.count("*").alias("n"))
     keep = materialise(found, "keep")
     tagged = documents.withColumns({"__id": F.coalesce("doc_id", F.lit(_NULL_ID)), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    match = [F.col("__id") == F.col("id"), F.col("__th") == F.col("th")]
-    single = tagged.join(size_checked(keep.where("n = 1").select("id", "th"), 40), match, "left_semi")
-    repeated = keep.where("n > 1").select("id", "th")
+    match = [F.col("__id") == F.col("__kept_id"), F.col("__th") == F.col("__kept_th")]
+    named = [F.col("id").alias("__kept_id"), F.col("th").alias("__kept_th")]  # no clash with columns of the input
+    single = tagged.join(size_checked(keep.where("n = 1").select(*named), 40), match, "left_semi")
+    repeated = keep.where("n > 1").select(*named)
     if repeated.isEmpty():
         return single.select(*documents.columns)
     again = tagged.join(size_checked(repeated, 40), match, "left_semi").dropDuplicates(["__id", "__th"])
