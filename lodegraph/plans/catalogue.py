@@ -1,6 +1,6 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""All registered queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodegraph.plans import graph_queries  # noqa: F401  (registers its queries)
+from lodegraph.plans.register import ORACLES, QUERIES  # noqa: F401
