@@ -61,6 +61,29 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, key: str, build, partition_by: str | None = None) -> DataFrame:
+    """A table built once a session under ``key`` and then read, partitioned by a column that queries filter by."""
+    at = (spark.sparkContext.applicationId, key)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = _kept.get(at)
+    done = path and jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
+    if not done:
+        path = f"{shared_dir(spark)}/lodegraph-kept-{uuid.uuid4().hex}"
+        df = build()
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        _kept[at] = path
+        _schemas[path] = df.schema
+    return spark.read.schema(_schemas[path]).parquet(path).select(*_schemas[path].names)
+
+
+_schemas: dict = {}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
