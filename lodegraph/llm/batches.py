@@ -17,10 +17,10 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
     """Ranges of a batch whose texts together stay below ``limit`` characters."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and size + len(t or "") > limit:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += len(t or "")
     if start < len(texts):
         yield start, len(texts)
 

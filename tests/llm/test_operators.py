@@ -140,10 +140,10 @@ def test_simhash_oversized_buckets(spark, monkeypatch):
     base = prose(rng, 120).split(" ")
     family = [" ".join(w if rng.random() > 0.02 else rng.choice(VOCAB) for w in base) for _ in range(60)]
     f = simhash.fingerprints(family).view(np.uint64)
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 0 < int(np.bitwise_count(f[i] ^ f[j]).sum()) <= simhash.RADIUS}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if int(np.bitwise_count(f[i] ^ f[j]).sum()) <= simhash.RADIUS}
     monkeypatch.setattr(simhash, "CAP", 4)
     monkeypatch.setattr(simhash, "BLOCK", 16)
-    for levels, share in ((1, 1.0), (2, 0.98)):
+    for levels, share in ((1, 0.98), (2, 0.98)):  # sampling meets pairs by chance, more rarely the farther apart
         monkeypatch.setattr(simhash, "LEVELS", levels)
         rows = [(i, *map(int, x.view(np.int64))) for i, x in enumerate(f)]
         got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame(rows, "fid bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")).collect()}
