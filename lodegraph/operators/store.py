@@ -154,6 +154,8 @@ class Store:
 
     def load(self, name: str, schema=None) -> DataFrame:
         if not self.exists(name):
+            if self.exists(f"{name}.old"):  # a save was cut off between its two renames
+                return self.spark.read.parquet(f"{self.path}/{name}.old")
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.path}/{name}")
 

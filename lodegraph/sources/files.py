@@ -73,5 +73,7 @@ def remove_file(spark: SparkSession, path: str, file_path: str) -> None:
     store = st.Store(spark, path)
     one = spark.range(1).select(F.lit(file_path).alias("file_path"))
     graph, files = st.delete_files(store.graph(), one, store.load("files", schema.FILES))
-    for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("files", files)):
-        store.save(name, materialise(df, name))
+    # all three are computed before any is replaced, since edges are found by the old nodes
+    new = {name: materialise(df, name) for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("files", files))}
+    for name, df in new.items():
+        store.save(name, df)

@@ -10,7 +10,7 @@ SOURCES = {
     "python": ("import os, json as j\nfrom a.b import c\nclass A(Base, object):\n    def m(self):\n        pass\n# class No\ns = '''class No2: '''\nasync def f(): pass\n", {"class:p#A", "function:p#m", "function:p#f", "external_dep:os", "external_dep:json", "external_dep:a"}, {"class:p#A|inherits|class:p#Base"}),
     "csharp": ("using System.Text;\nnamespace N.M {\n public class A : B, IC {\n  public int Go(int x) { return 1; }\n }\n interface IC : ID { }\n}", {"external_dep:System", "module:p#N.M", "class:p#A", "interface:p#IC", "method:p#Go"}, {"class:p#A|inherits|class:p#B", "class:p#A|inherits|class:p#IC", "interface:p#IC|inherits|class:p#ID"}),
     "go": ('package p\nimport (\n\t"fmt"\n\tx "a/b"\n)\ntype T struct { }\ntype I interface { }\nfunc F(a int) int { return 1 }\nfunc (t *T) M() {}\n', {"external_dep:fmt", "external_dep:a/b", "class:p#T", "interface:p#I", "function:p#F", "method:p#M"}, set()),
-    "java": ("import java.util.List;\nimport static org.x.Y.z;\npublic class A<T> extends B implements C, D<E> {\n  public A() { }\n  private static int go(int x) { return 1; }\n}\ninterface I extends J {}\nenum K { X }", {"external_dep:java", "external_dep:org", "class:p#A", "class:p#K", "interface:p#I", "method:p#go"}, {"class:p#A|inherits|class:p#B", "class:p#A|implements|interface:p#C", "class:p#A|implements|interface:p#D"}),
+    "java": ("import java.util.List;\nimport static org.x.Y.z;\npublic class A<T> extends B implements C, D<E> {\n  public A() { }\n  private static int go(int x) { return 1; }\n}\ninterface I extends J {}\nenum K { X }", {"external_dep:java", "external_dep:org", "class:p#A", "class:p#K", "interface:p#I", "method:p#A", "method:p#go"}, {"class:p#A|inherits|class:p#B", "class:p#A|implements|interface:p#C", "class:p#A|implements|interface:p#D"}),
     "rust": ("use std::io;\nstruct S { }\nenum E { A }\ntrait T { }\nfn f() { }\nimpl S {\n  fn m(&self) { }\n}\n", {"external_dep:std", "class:p#S", "class:p#E", "interface:p#T", "function:p#f", "method:p#m"}, set()),
     "ruby": ("require 'json'\nrequire_relative 'x/y'\nmodule M\n  class A < B\n    def go?\n    end\n  end\nend\ndef top\nend\n", {"external_dep:json", "external_dep:x/y", "module:p#M", "class:p#A", "method:p#go?", "function:p#top"}, {"class:p#A|inherits|class:p#B"}),
     "php": ("<?php\nuse App\\Models\\User;\nclass A extends B implements C {\n  public function m() {}\n}\ninterface I {}\ntrait T {}\nfunction f() {}\n", {"external_dep:App", "class:p#A", "class:p#T", "interface:p#I", "method:p#m", "function:p#f"}, {"class:p#A|inherits|class:p#B", "class:p#A|implements|interface:p#C"}),

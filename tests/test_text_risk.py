@@ -28,7 +28,7 @@ def nodes(spark):
 def test_like(nodes):
     ids = lambda df: [r.id for r in df.collect()]
     assert ids(text.search_like(nodes, "PARSE")) == ["1", "2", "3", "4"]
-    assert ids(text.search_like(nodes, "n_p")) == ["1"]  # the path's underscore, and a wildcard
+    assert ids(text.search_like(nodes, "n_p")) == ["1", "2"]  # token_parser and run.py
     assert ids(text.search_like(nodes, "e_f")) == ["2"] and ids(text.search_like(nodes, "s_f")) == ["1"]
     assert ids(text.search_like(nodes, "s_f", literal=True)) == []
 
