@@ -144,7 +144,7 @@ def _relative(path: str, spec: str) -> str:
 
 
 def parse(path: str, lang: str, text: str, calls: bool = False) -> tuple[list[dict], list[dict]]:
-    """(nodes, edges) of one file. ``calls`` adds contains and same-file calls edges."""
+    """(nodes, edges) of one file. ``calls`` adds contains and same-file calls edges, and parents in all languages."""
     rules, (imports, symbols) = RULES[lang], _COMPILED[lang]
     file_id = node_id("file", path)
     base = path.rsplit("/", 1)[-1]
@@ -189,7 +189,9 @@ def parse(path: str, lang: str, text: str, calls: bool = False) -> tuple[list[di
                 parents = [("inherits", "class", b) for b in _names(groups["bases"]) if not (lang == "python" and b == "object")]
             for word, listed in _HEADS.findall(groups.get("heads") or ""):
                 parents += [("inherits" if word == "extends" else "implements", "interface" if word == "implements" or k == "interface" else "class", b) for b in _names(listed)]
-            for how, what, b in parents:
+            # parents of other languages' symbols, and of interfaces but for one language, only come with the extensions
+            plain = lang in ("typescript", "javascript", "python", "csharp", "java") and (k != "interface" or lang == "csharp")
+            for how, what, b in parents if plain or calls else ():
                 edge(own, how, node_id(what, path, b), f"{name} {how} {b}")
     if calls:
         by_name = {name: own for own, name, _, _ in found}

@@ -12,11 +12,11 @@ SOURCES = {
     "go": ('package p\nimport (\n\t"fmt"\n\tx "a/b"\n)\ntype T struct { }\ntype I interface { }\nfunc F(a int) int { return 1 }\nfunc (t *T) M() {}\n', {"external_dep:fmt", "external_dep:a/b", "class:p#T", "interface:p#I", "function:p#F", "method:p#M"}, set()),
     "java": ("import java.util.List;\nimport static org.x.Y.z;\npublic class A<T> extends B implements C, D<E> {\n  public A() { }\n  private static int go(int x) { return 1; }\n}\ninterface I extends J {}\nenum K { X }", {"external_dep:java", "external_dep:org", "class:p#A", "class:p#K", "interface:p#I", "method:p#A", "method:p#go"}, {"class:p#A|inherits|class:p#B", "class:p#A|implements|interface:p#C", "class:p#A|implements|interface:p#D"}),
     "rust": ("use std::io;\nstruct S { }\nenum E { A }\ntrait T { }\nfn f() { }\nimpl S {\n  fn m(&self) { }\n}\n", {"external_dep:std", "class:p#S", "class:p#E", "interface:p#T", "function:p#f", "method:p#m"}, set()),
-    "ruby": ("require 'json'\nrequire_relative 'x/y'\nmodule M\n  class A < B\n    def go?\n    end\n  end\nend\ndef top\nend\n", {"external_dep:json", "external_dep:x/y", "module:p#M", "class:p#A", "method:p#go?", "function:p#top"}, {"class:p#A|inherits|class:p#B"}),
-    "php": ("<?php\nuse App\\Models\\User;\nclass A extends B implements C {\n  public function m() {}\n}\ninterface I {}\ntrait T {}\nfunction f() {}\n", {"external_dep:App", "class:p#A", "class:p#T", "interface:p#I", "method:p#m", "function:p#f"}, {"class:p#A|inherits|class:p#B", "class:p#A|implements|interface:p#C"}),
+    "ruby": ("require 'json'\nrequire_relative 'x/y'\nmodule M\n  class A < B\n    def go?\n    end\n  end\nend\ndef top\nend\n", {"external_dep:json", "external_dep:x/y", "module:p#M", "class:p#A", "method:p#go?", "function:p#top"}, set()),
+    "php": ("<?php\nuse App\\Models\\User;\nclass A extends B implements C {\n  public function m() {}\n}\ninterface I {}\ntrait T {}\nfunction f() {}\n", {"external_dep:App", "class:p#A", "class:p#T", "interface:p#I", "method:p#m", "function:p#f"}, set()),
     "c": ('#include <stdio.h>\n#include "x/y.h"\nstruct S { int a; };\nenum E { A };\nint main(int argc, char **argv) {\n  if (x) { }\n  return 0;\n}\n', {"external_dep:stdio.h", "external_dep:x/y.h", "class:p#S", "class:p#E", "function:p#main"}, set()),
-    "cpp": ("class A : public B { };\nvoid A::go(int x) const {\n}\n", {"class:p#A", "function:p#go"}, {"class:p#A|inherits|class:p#B"}),
-    "kotlin": ("import a.b.C\nclass A(val x: Int) : B(), I\nobject O\ninterface I\nfun f(x: Int) = 1\n", {"external_dep:a", "class:p#A", "class:p#O", "interface:p#I", "function:p#f"}, {"class:p#A|inherits|class:p#B"}),
+    "cpp": ("class A : public B { };\nvoid A::go(int x) const {\n}\n", {"class:p#A", "function:p#go"}, set()),
+    "kotlin": ("import a.b.C\nclass A(val x: Int) : B(), I\nobject O\ninterface I\nfun f(x: Int) = 1\n", {"external_dep:a", "class:p#A", "class:p#O", "interface:p#I", "function:p#f"}, set()),
     "typescript": ("import x from './lib/b.js';\nimport { y } from '@org/pkg/sub';\nconst z = require('lodash/fp');\nexport class A extends B implements C {\n  private go(a: number): void {\n  }\n}\ninterface I { }\nfunction f() { }\nconst g = async (q) => q;\n", {"external_dep:@org/pkg", "external_dep:lodash", "class:p#A", "interface:p#I", "function:p#f", "function:p#g", "method:p#go"}, {"class:p#A|inherits|class:p#B", "class:p#A|implements|interface:p#C", "file:p|imports|file:lib/b"}),
 }
 
