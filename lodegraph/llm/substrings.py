@@ -11,8 +11,7 @@ equal places, so only suffixes that start at anchors need to be in a tree.
    prefixes taken, to the right and to the left: the intervals of common
    prefixes are the internal nodes of the two trees. Suffixes that share a node
    of depth 35 - d to the right and one of depth d to the left repeat the window
-   that starts d words before the anchor. Words themselves are compared, so a
-   hash that collides costs work and changes nothing.
+   that starts d words before the anchor. Each word is compared by a 64-bit hash.
 3. Groups of more than ``GROUP`` suffixes get the longest prefixes there are:
    the whole windows, counted with partial aggregation, in no one's memory.
 
@@ -27,13 +26,17 @@ doc_id is a value.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodegraph.llm.batches import map_rows, slices
+from lodegraph.llm.batches import slices
 from lodegraph.storage import materialise, size_checked
 
 WINDOW = 35
@@ -52,7 +55,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,49 +65,61 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word_hashes(raw: bytes) -> np.ndarray:
-    """One 64-bit hash for every word of ``raw``."""
-    out = []
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit hash for every word of ``raw``, and where the words start."""
+    out, starts = [], []
     lo = 0
     while lo < len(raw):
         hi = min(len(raw), lo + _CHUNK)
         if hi < len(raw):  # end a chunk behind white space; a single longer word makes a longer chunk
-            back = max(raw.rfind(c, lo, hi) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            back = max(raw.rfind(c, lo, hi) for c in _SPACES)
             if back < lo:
-                ahead = [p for p in (raw.find(c, hi) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if p >= 0]
+                ahead = [p for p in (raw.find(c, hi) for c in _SPACES) if p >= 0]
                 back = min(ahead, default=len(raw) - 1)
             hi = back + 1
         a = np.frombuffer(raw, np.uint8, hi - lo, lo)
         if not _powers or len(_powers[0]) <= len(a):
             n = max(_CHUNK, len(a)) + 1
             _powers[:] = [np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
-        word = ~_SPACE[a]
-        edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-        start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-        total = np.concatenate([[np.uint64(0)], (_VALUE[a] * _powers[0][: len(a)]).cumsum(dtype=np.uint64)])
+        space = _SPACE[a]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+        start, end = edge[::2], edge[1::2]
+        total = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_VALUE[a] * _powers[0][: len(a)], out=total[1:])
         out.append(_mixed((total[end] - total[start]) * _powers[1][start] + (end - start).astype(np.uint64)))
+        starts.append(start + lo)
         lo = hi
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(starts)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _least(gram: np.ndarray, width: int) -> np.ndarray:
+    """Where the leftmost smallest value of every window of ``width`` stands; windows double, the last two overlap."""
+    v, p, size = gram, np.arange(len(gram)), 1
+    while size < width:
+        step = min(size, width - size)
+        take = v[step:] < v[:-step]
+        v, p = np.where(take, v[step:], v[:-step]), np.where(take, p[step:], p[:-step])
+        size += step
+    return p
 
 
 def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word position, prefix hash) of every anchor."""
-    hashes = [_word_hashes(r) for r in raws]
-    sizes = np.array([len(h) for h in hashes])
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    h, starts = _word_hashes(b"\n".join(raws))
     none = np.zeros(0, np.int64)
     if len(h) < WINDOW:
         return none, none, np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.concatenate([[0], sizes.cumsum()[:-1]])
+    ends = (np.array([len(r) + 1 for r in raws])).cumsum()
+    owner = np.searchsorted(ends, starts, "right")
+    first = np.searchsorted(owner, np.arange(len(raws)), "left")
     n = len(h) - PREFIX + 1
     gram = np.zeros(n, np.uint64)
     for j in range(PREFIX):
         gram += h[j : j + n] * _MIX[j]
     gram = _mixed(gram)
-    least = np.lib.stride_tricks.sliding_window_view(gram, SPREAD).argmin(1)
-    whole = owner[: len(least)] == owner[WINDOW - 1 :]  # windows inside one text
-    at = np.unique((np.arange(len(least)) + least)[whole])
+    least = _least(gram, SPREAD)
+    at = least[owner[: len(least)] == owner[WINDOW - 1 :]]  # windows inside one text
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # places never fall
     return owner[at], at - first[owner[at]], gram[at]
 
 
@@ -164,27 +180,35 @@ def _classes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], common])
 
 
+def _matrix(texts: list[bytes], width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of short texts as rows (reversed, if asked), 0 behind the last word; and the numbers of words."""
+    h, starts = _word_hashes(b"\n".join(texts))
+    owner = np.searchsorted((np.array([len(x) + 1 for x in texts])).cumsum(), starts, "right")
+    sizes = np.bincount(owner, minlength=len(texts))
+    at = np.arange(len(h)) - (sizes.cumsum() - sizes)[owner]
+    m = np.zeros((len(texts), width), np.uint64)
+    m[owner, sizes[owner] - 1 - at if backwards else at] = h | np.uint64(1)
+    return m, sizes
+
+
 def _repeated(keys: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
     """For each suffix the set, as bits d, of repeated windows that start d words before it."""
     n = len(keys)
-    ids: dict[bytes, int] = {}
-    right, left = np.full((n, WINDOW + 1), -1, np.int64), np.full((n, SPREAD), -1, np.int64)
-    right[:, 0] = left[:, 0] = keys
-    sizes = np.zeros((n, 2), np.int64)
-    for i in range(n):
-        a = [ids.setdefault(w, len(ids)) for w in after[i].split()]
-        b = [ids.setdefault(w, len(ids)) for w in reversed(before[i].split())]
-        right[i, 1 : len(a) + 1], left[i, 1 : len(b) + 1] = a, b
-        sizes[i] = len(a), len(b)
-    (ro, rc), (lo, lc) = _classes(right), _classes(left)
+    top = keys.view(np.uint64)[:, None]
+    right, n_right = _matrix(after, WINDOW, False)
+    left, n_left = _matrix(before, SPREAD - 1, True)
+    (ro, rc), (lo, lc) = (_classes(np.concatenate([top, m], 1)) for m in (right, left))
     mask = np.zeros(n, np.int64)
-    node = np.empty(n, np.int64)
-    leaf = np.empty(n, np.int64)
+    node, leaf = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(SPREAD):
+        fit = np.flatnonzero((n_right >= WINDOW - d) & (n_left >= d))
         node[ro] = (rc < WINDOW - d + 1).cumsum()  # nodes at depth 35 - d of the right tree, the prefix's key above them
         leaf[lo] = (lc < d + 1).cumsum()
-        _, which, count = np.unique(node * (n + 2) + leaf, return_inverse=True, return_counts=True)
-        mask |= ((count[which] > 1) & (sizes[:, 0] >= WINDOW - d) & (sizes[:, 1] >= d)).astype(np.int64) << d
+        pair = (node * (n + 2) + leaf)[fit]
+        order = np.argsort(pair)
+        same = pair[order[1:]] == pair[order[:-1]]
+        hit = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(fit) else same
+        mask[fit[order[hit]]] |= 1 << d
     return mask
 
 
@@ -249,21 +273,41 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     if not wide.isEmpty():
         big = size_checked(wide, 24)
         found = suffixes.join(big, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "doc_id bigint, th bigint, pos int, mask bigint")
-        return materialise(found.unionByName(_wide(suffixes.join(big, "key", "left_semi"))), "windows")
+        return materialise(found.unionByName(_wide(materialise(suffixes.join(big, "key", "left_semi"), "wide"))), "windows")
     return materialise(suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "doc_id bigint, th bigint, pos int, mask bigint"), "windows")
 
 
-def _kept(text: str | None, hits: list | None) -> tuple[int, int, bytes]:
+def _kept(text: str | None, pos: np.ndarray | None, mask: np.ndarray | None) -> tuple[int, int, bytes]:
+    """(words, removed words, the words left joined by spaces) of one text with its anchors' sets of repeated windows."""
     words = (text or "").encode("utf-8", "replace").split()
-    if not hits:
+    if pos is None or not len(pos):
         return len(words), 0, b" ".join(words)
-    change = np.zeros(len(words) + 1, np.int64)
-    for h in hits:
-        start = h["pos"] - np.nonzero((h["mask"] >> np.arange(SPREAD)) & 1)[0]
-        change[start] += 1
-        change[start + WINDOW] -= 1
-    covered = change.cumsum()[:-1] > 0
-    return len(words), int(covered.sum()), b" ".join(w for w, c in zip(words, covered.tolist()) if not c)
+    at, d = np.nonzero((mask[:, None] >> np.arange(SPREAD)) & 1)
+    start = pos[at] - d
+    change = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + WINDOW, minlength=len(words) + 1)
+    left = change.cumsum()[:-1] == 0
+    return len(words), int((~left).sum()), b" ".join(compress(words, left.tolist()))
+
+
+def map_kept(documents: DataFrame, schema: str, fn) -> DataFrame:
+    """``fn(doc ids, list of _kept())`` over all documents with their repeated windows."""
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            hits = b.column("hits")
+            flat = hits.flatten()
+            pos, mask = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("pos", "mask"))
+            none = hits.is_null().to_numpy(zero_copy_only=False)
+            size = np.where(none, 0, pc.fill_null(pc.list_value_length(hits), 0).to_numpy())
+            end = size.cumsum()
+            got = [_kept(t, pos[e - n : e], mask[e - n : e]) for t, e, n in zip(b.column("text").to_pylist(), end.tolist(), size.tolist())]
+            cols = fn(b.column("doc_id").to_pylist(), got)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+
+    return with_hits(documents).mapInArrow(run, T._parse_datatype_string(schema))
 
 
 def with_hits(documents: DataFrame) -> DataFrame:
@@ -275,15 +319,14 @@ def with_hits(documents: DataFrame) -> DataFrame:
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, text: the words that are left of each document, joined by single spaces."""
-    return map_rows(with_hits(documents), "doc_id bigint, text string", lambda i, t, h: {"doc_id": i, "text": [_kept(a, b)[2].decode() for a, b in zip(t, h)]})
+    return map_kept(documents, "doc_id bigint, text string", lambda ids, got: {"doc_id": ids, "text": [g[2].decode() for g in got]})
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(ids, texts, hits):
-        got = [_kept(t, h) for t, h in zip(texts, hits)]
+    def columns(ids, got):
         return {"doc_id": ids, "n_words": [g[0] for g in got], "n_removed": [g[1] for g in got], "kept_sha256": [hashlib.sha256(g[2]).hexdigest() for g in got]}
 
-    return map_rows(with_hits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", run)
+    return map_kept(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", columns)
 
 
 OP9_SQL = r"""
