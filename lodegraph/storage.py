@@ -9,8 +9,10 @@ purely local session without that setting gets a folder of its own.
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once a session, for jobs started without --py-files."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        here = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="lodegraph-code-"), "lodegraph")
+        with zipfile.ZipFile(f"{base}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(here):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(here)))
+        spark.sparkContext.addPyFile(f"{base}.zip")
+
+
 @contextlib.contextmanager
 def owner(name: str):
     """Tables written inside belong to ``name`` and go with ``release(spark, name)``."""
