@@ -20,6 +20,7 @@ from lodegraph.llm import decontam, linededup, quality, simhash, subword
 
 def _stage(fn):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.ship(spark)
         storage.release(spark, "pipeline")
         with storage.owner("pipeline"):
             return fn(spark, docs, sf_dir)
