@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,39 @@ MARK = "▁"
 REMEMBERED = 800_000
 
 
+class _Pairs:
+    """A hash table from number to truth value that looks up whole arrays; it starts anew when half full."""
+
+    def __init__(self, bits: int = 21):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.value, self.n = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, bool), 0
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, which keys are known)."""
+        slot = self._slot(key)
+        todo = np.flatnonzero((self.key[slot] != key) & (self.key[slot] >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            k = self.key[slot[todo]]
+            todo = todo[(k != key[todo]) & (k >= 0)]
+        return self.value[slot], self.key[slot] == key
+
+    def add(self, keys: np.ndarray, values: list[bool]) -> None:
+        if self.n + len(keys) > 1 << (self.bits - 1):
+            self.clear()
+        for k, s, v in zip(keys.tolist(), self._slot(keys).tolist(), values):
+            while self.key[s] >= 0:
+                s = (s + 1) & ((1 << self.bits) - 1)
+            self.key[s], self.value[s] = k, v
+        self.n += len(keys)
+
+
 class Codec:
     """Encoding and decoding by the vocabulary of one model file."""
 
@@ -48,11 +82,12 @@ class Codec:
         self.id = {self.piece[i]: i for i in plain}
         self.score = {self.piece[i]: m.get_score(i) for i in plain}
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(size) if m.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.byte.items()}
+        spelled = {i: bytes((b,)) for b, i in self.byte.items()}
+        self.raw = [spelled.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
         self.longest = max(map(len, self.id))
         # a word ends before a mark unless some piece has a mark behind another character
         self.cut = not any(MARK in p.lstrip(MARK) for p in self.id)
-        self.pairs: dict[int, bool] = {}
+        self.pairs = _Pairs()
         self.known: dict[str, tuple[int, ...]] = {}
         usable = [p for p in self.id if self._merge(list(p)) == [p]]
         self.search = sorted(usable)
@@ -78,12 +113,20 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _apart(self, a: int, b: int) -> bool:
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b (places in the sorted vocabulary) stay apart when side by side."""
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
-        x, y = self.search[a], self.search[b]
-        got = self.pairs[a * len(self.search) + b] = self._merge(list(x + y)) == [x, y]
+        key = a * len(self.search) + b
+        got, known = self.pairs.find(key)
+        if not known.all():
+            new = np.unique(key[~known])
+            names = self.search
+            value = []
+            for k in new.tolist():
+                x, y = names[k // len(names)], names[k % len(names)]
+                value.append(self._merge(list(x + y)) == [x, y])
+            self.pairs.add(new, value)
+            at = np.flatnonzero(~known)
+            got[at] = np.array(value)[np.searchsorted(new, key[at])]
         return got
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,39 +176,45 @@ class Codec:
         return start, start + self.sizes[piece], piece
 
     def _encode_words(self, words: list[str]) -> None:
-        """Put the pieces of new words into the memory."""
+        """Put the pieces of new words into the memory; all words are relaxed together, one position after another."""
         text = "\0".join(words) + "\0"  # a character between words that no piece holds
         start, end, piece = self._edges(text)
-        order = np.lexsort((start, end))  # by end, the longest first
-        first = np.searchsorted(end[order], np.arange(len(text) + 2)).tolist()
-        start, piece = start[order].tolist(), piece[order].tolist()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        base = sizes.cumsum() - sizes + np.arange(len(words))
+        word = np.searchsorted(base, start, "right") - 1
+        far = end - base[word]
+        order = np.argsort((far * len(words) + word) * (self.longest + 1) + (start + self.longest - end), kind="stable")  # by end, word, the longest first
+        start, end, piece, word, far = (x[order] for x in (start, end, piece, word, far))
+        # the how-manieth edge of its word and end
+        new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (far[1:] != far[:-1])]))
+        rank = np.arange(len(word)) - np.repeat(new, np.diff(np.append(new, len(word))))
+        last, came = np.full(len(text) + 1, -1, np.int64), np.arange(-1, len(text))  # -1: a character outside the vocabulary
+        found = np.zeros(len(words), np.int64)  # the last end for which a word has its piece
+        cut = np.searchsorted(far, np.arange(sizes.max(initial=0) + 2)).tolist()
+        for e in range(1, len(cut) - 1):
+            todo = np.arange(cut[e], cut[e + 1])
+            for r in range(int(rank[cut[e] : cut[e + 1]].max(initial=-1)) + 1):
+                todo = todo[found[word[todo]] < e] if r else todo
+                at = todo[rank[todo] == r]
+                s, p = start[at], piece[at]
+                before = last[s]
+                check = np.flatnonzero((s > base[word[at]]) & (before >= 0))
+                ok = np.ones(len(at), bool)
+                ok[check] = self._apart(before[check], p[check])
+                at = at[ok]
+                last[end[at]], came[end[at]], found[word[at]] = piece[at], start[at], e
         ids = [self.id[p] for p in self.search]
-        last, came = [-1] * (len(text) + 1), [0] * (len(text) + 1)  # -1: a character outside the vocabulary
-        pairs, apart, n = self.pairs, self._apart, len(self.search)
-        base = 0
-        for w in words:
-            stop = base + len(w)
-            for e in range(base + 1, stop + 1):
-                for k in range(first[e], first[e + 1]):
-                    s = start[k]
-                    if s > base and (before := last[s]) >= 0:
-                        ok = pairs.get(before * n + piece[k])
-                        if not (apart(before, piece[k]) if ok is None else ok):
-                            continue
-                    last[e], came[e] = piece[k], s
-                    break
-                else:
-                    came[e] = e - 1
+        last, came = last.tolist(), came.tolist()
+        for w, b in zip(words, base.tolist()):
             out: list[int] = []
-            e = stop
-            while e > base:
+            e = b + len(w)
+            while e > b:
                 if last[e] >= 0:
                     out.append(ids[last[e]])
                 else:
-                    out.extend(self.byte[b] for b in reversed(text[e - 1].encode("utf-8", "replace")))
+                    out.extend(self.byte[x] for x in reversed(text[e - 1].encode("utf-8", "replace")))
                 e = came[e]
             self.known[w] = tuple(out[::-1])
-            base = stop + 1
 
     def encode(self, texts: list) -> list[list[int]]:
         """Ids of every text."""
@@ -177,11 +226,11 @@ class Codec:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
                 new = {w for ws in cut for w in ws}
-            listed = sorted(new)
+            listed = list(new)
             for i, j in slices(listed, 400_000):
                 self._encode_words(listed[i:j])
-            known = self.known
-            out += [[i for w in ws for i in known[w]] for ws in cut]
+            known = self.known.__getitem__
+            out += [list(chain.from_iterable(map(known, ws))) for ws in cut]
         return out
 
     def _words(self, text: str) -> list[str]:
@@ -201,11 +250,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces, byte pieces bytes; the mark put before the text goes."""
-        raw = bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            raw += bytes((b,)) if b is not None else self.piece[i].encode()
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -218,8 +263,14 @@ def codec(path: str = MODEL) -> Codec:
     return _codecs[path]
 
 
+_numerals: list[str] = []
+
+
 def ids_digest(ids: list[int]) -> str:
-    return hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    """SHA-256 of the ids in decimal, joined by spaces."""
+    if ids and max(ids) >= len(_numerals):
+        _numerals[:] = map(str, range(max(ids) + 1))
+    return hashlib.sha256(" ".join(map(_numerals.__getitem__, ids)).encode()).hexdigest()
 
 
 def encode_documents(documents: DataFrame, path: str = MODEL) -> DataFrame:
