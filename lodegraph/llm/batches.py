@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of text handled at once; longer single texts are handled alone.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
