@@ -32,7 +32,7 @@ from lodegraph.storage import materialise, size_checked
 
 RADIUS = 44
 BITS = 18
-TABLES = 40
+TABLES = 96
 CAP = 512
 MORE_BITS = 10
 SUBTABLES = 8
