@@ -18,8 +18,8 @@ WEIGHTS = {"calls": 1.0, "inherits": 0.8, "implements": 0.7, "depends_on": 0.6,
 OTHER_WEIGHT = 0.3
 SPLIT_ABOVE = 50
 ROLES = (
-    ("test", r"/(test|__tests?__|spec)/|\.(test|spec)\."), ("ui", r"/(component|page|view|ui|screen)/"), ("service", r"/(service|controller|handler|api|route)/"),
-    ("data", r"/(model|entity|schema|repo|database|db|store)/"), ("config", r"/(config|settings|env)/"), ("util", r"/(util|helper|common|shared|lib)/"),
+    ("test", r"/(test|__tests?__|spec)/|\.(test|spec)\."), ("ui", r"/(component|page|screen|ui|view)/"), ("service", r"/(api|controller|handler|route|service)/"),
+    ("data", r"/(database|db|entity|model|repo|schema|store)/"), ("config", r"/(config|env|settings)/"), ("util", r"/(common|helper|lib|shared|util)/"),
 )
 
 
@@ -112,7 +112,7 @@ def file_components(graph: Graph) -> DataFrame:
     return graph.nodes.where("kind = 'file' and not is_external").select("file_path").distinct().join(cc, "file_path", "left").select("file_path", F.coalesce("component", "file_path").alias("component"))
 
 
-# --- given a partition: members (id, community) ----------------------------------
+# --- given a partition: members (id, community)
 def cohesion(graph: Graph, members: DataFrame) -> DataFrame:
     """community, size, internal, external, cohesion; 1 for fewer than two members or no edges."""
     ends = graph.edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")).unionAll(graph.edges.select("to_id", "from_id"))

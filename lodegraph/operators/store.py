@@ -11,7 +11,7 @@ from lodegraph.schema import Graph
 TABLES = ("nodes", "edges", "files", "embeddings", "communities")
 
 
-# --- lookups -----------------------------------------------------------------
+# --- lookups
 def nodes_by_kind(graph: Graph, kinds: list[str]) -> DataFrame:
     return graph.nodes.where(F.col("kind").isin(kinds)).orderBy("name", "id")
 
@@ -82,7 +82,7 @@ def view_edges(graph: Graph, nodes: DataFrame | None = None) -> DataFrame:
     return induced_edges(graph, graph.nodes if nodes is None else nodes)
 
 
-# --- changes -----------------------------------------------------------------
+# --- changes
 def upsert(table: DataFrame, rows: DataFrame, key: list[str], update: list[str] | None = None, order: list[str] = ()) -> DataFrame:
     """``table`` with ``rows`` merged in by key; of rows with one key the last by ``order`` counts.
 

@@ -247,7 +247,7 @@ SELECT n.*, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM
 
 @query(G + _DEG.format(kinds="kind IN ('calls', 'imports')") + """SELECT id, name, kind, file_path, fan_in, fan_out, fan_in * 3 + fan_out AS score,
 CASE WHEN fan_in * 3 + fan_out >= 30 THEN 'critical' WHEN fan_in * 3 + fan_out >= 15 THEN 'high' WHEN fan_in * 3 + fan_out >= 5 THEN 'medium' ELSE 'low' END AS label
-FROM x WHERE kind IN ('function', 'method', 'class', 'interface') AND NOT is_external""")
+FROM x WHERE kind IN ('class', 'function', 'interface', 'method') AND NOT is_external""")
 def criticality(spark, sf):
     return ops.criticality(star_graph(spark, sf), None)
 
@@ -257,7 +257,7 @@ def large_functions(spark, sf):
     return ops.large_functions(star_graph(spark, sf))
 
 
-@query(G + " SELECT id, name, kind, file_path FROM g_nodes WHERE kind IN ('function', 'method', 'class', 'interface', 'type') AND NOT is_external AND id NOT IN (SELECT to_id FROM g_edges)")
+@query(G + " SELECT id, name, kind, file_path FROM g_nodes WHERE kind IN ('class', 'function', 'interface', 'method', 'type') AND NOT is_external AND id NOT IN (SELECT to_id FROM g_edges)")
 def dead_code(spark, sf):
     return ops.dead_code(star_graph(spark, sf), None)
 

@@ -132,7 +132,7 @@ def drawing_html(data: dict, title: str = "graph") -> str:
 <script>const d={body};const draw=()=>{{const q=document.getElementById("q").value.toLowerCase();document.getElementById("n").replaceChildren(...d.nodes.filter(x=>x.label.toLowerCase().includes(q)).map(x=>{{const li=document.createElement("li");li.textContent=x.kind+" "+x.label;return li}}))}};document.getElementById("q").oninput=draw;draw()</script>"""
 
 
-# --- evaluation ------------------------------------------------------------------
+# --- evaluation
 THRESHOLDS = {"build_performance": 1.0, "search_quality": 0.5, "impact_accuracy": 0.6, "flow_completeness": 0.5, "token_efficiency": 0.2}
 
 

@@ -12,7 +12,7 @@ from lodegraph.sources.tables import EVENT_SQL, GRAPH_SQL, event_graph, star_gra
 
 G = "WITH RECURSIVE " + GRAPH_SQL
 
-# --- risk ------------------------------------------------------------------------
+# --- risk
 _HITS = " + ".join(f"(CASE WHEN contains(t, '{k}') THEN {risk.WEIGHTS.get(k, 1)} ELSE 0 END)" for k in risk.KEYWORDS)
 _EXT = " ".join("WHEN ext IN ({}) THEN {}".format(", ".join(f"'.{x}'" for x in names.split()), points) for points, names in risk.EXTENSIONS.items())
 #: f(file_path, blast, lines, has_tests, content) -> all factors.
@@ -122,7 +122,7 @@ def git_changes(spark, sf):
     return gitdiff.changes(gitdiff.parse_name_status(_lines(spark, _STATUS)), gitdiff.parse_numstat(_lines(spark, _NUM)), staged).drop("old_path")
 
 
-# --- communities -------------------------------------------------------------------
+# --- communities
 #: A fixed partition: the third segment of the path.
 _PART = ", m AS (SELECT id, string_split(file_path, '/')[3] AS community FROM g_nodes WHERE NOT is_external)"
 

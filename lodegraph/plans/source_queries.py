@@ -84,7 +84,7 @@ def eval_hit_rate(spark, sf):
     return reports.hit_rate(ranked, gold)
 
 
-@query("""WITH r AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'search_quality' WHEN 1 THEN 'impact_accuracy' WHEN 2 THEN 'flow_completeness' ELSE 'token_efficiency' END AS b, toxic = 0 AS ok, CAST(quality AS DOUBLE) AS s FROM labels), k AS (SELECT unnest(['build_performance', 'search_quality', 'impact_accuracy', 'flow_completeness', 'token_efficiency']) AS b)
+@query("""WITH r AS (SELECT CASE doc_id % 4 WHEN 0 THEN 'search_quality' WHEN 1 THEN 'impact_accuracy' WHEN 2 THEN 'flow_completeness' ELSE 'token_efficiency' END AS b, toxic = 0 AS ok, CAST(quality AS DOUBLE) AS s FROM labels), k AS (SELECT unnest(['token_efficiency', 'flow_completeness', 'impact_accuracy', 'search_quality', 'build_performance']) AS b)
 SELECT k.b AS benchmark, count(r.b) AS runs, count(*) FILTER (r.ok) AS passed, floor(coalesce(avg(s), 0) * 1000000 + 0.5) / 1000000.0 AS avg_score FROM k LEFT JOIN r USING (b) GROUP BY 1""")
 def eval_summary(spark, sf):
     m = F.col("doc_id") % 4
