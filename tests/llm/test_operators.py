@@ -43,7 +43,7 @@ def by_id(df, *cols):
     return {r.doc_id: tuple(r[c] for c in cols) if len(cols) > 1 else r[cols[0]] for r in df.collect()}
 
 
-# --- 1 ---------------------------------------------------------------------------
+# --- 1
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -74,7 +74,7 @@ def test_pii_learns_contexts(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
-# --- 2 ---------------------------------------------------------------------------
+# --- 2
 def test_fingerprints(spark, corpus, tmp_path):
     ids = [3 * i if i < 30 else 5000 + i for i in range(len(corpus))]
     path = str(tmp_path)
@@ -100,7 +100,7 @@ def test_fingerprint_folds(spark):
     assert f[0] == f[1] and f[2] == f[3] and f[4] == f[5] and len(set(f.values())) == 3
 
 
-# --- 3 ---------------------------------------------------------------------------
+# --- 3
 def test_warc(spark, tmp_path):
     big, rows = "é" * 700, []
     for i, (u, h) in enumerate([("u0", big), ("u1", "x"), ("u2", big), ("u3", "x"), (None, None), ("a\r\nb", big), ("u6", "")]):
@@ -123,7 +123,7 @@ def test_warc(spark, tmp_path):
     assert warc.read_archive(spark, f"{path}/b").count() == 0
 
 
-# --- 4 ---------------------------------------------------------------------------
+# --- 4
 def test_simhash_links(spark, corpus):
     got = {r.id: r for r in simhash.groups(docs(spark, corpus)).collect()}
     f = simhash.fingerprints(corpus).view(np.uint64)
@@ -161,7 +161,7 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.where("false")).count() == 0
 
 
-# --- 5 ---------------------------------------------------------------------------
+# --- 5
 def plain_lines(texts):
     first, out = {}, []
     for t in texts:
@@ -188,7 +188,7 @@ def test_line_dedup(spark):
     assert linededup.dedup(df.where("false")).count() == 0
 
 
-# --- 6 ---------------------------------------------------------------------------
+# --- 6
 def plain_license(t):
     t = re.sub("[A-Z]", lambda m: m.group().lower(), t)
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
@@ -215,7 +215,7 @@ def test_license_expressions():
     assert licenses.scan("clean words")["score"] == 0.0
 
 
-# --- 7 ---------------------------------------------------------------------------
+# --- 7
 def test_subwords_equal_the_library(spark, corpus):
     c = subword.codec()
     rng = random.Random(8)
@@ -235,7 +235,7 @@ def test_subword_memory_is_bounded(monkeypatch, corpus):
     assert c.encode(texts) == c.model.encode(texts)
 
 
-# --- 8 ---------------------------------------------------------------------------
+# --- 8
 def test_decontamination(spark):
     rng = random.Random(10)
     items = [prose(rng, rng.randint(12, 50)) for _ in range(12)]
@@ -267,7 +267,7 @@ def test_blocks_meet_within_the_radius(spark):
         assert any(x == y for x, y in zip(a, b))
 
 
-# --- 9 ---------------------------------------------------------------------------
+# --- 9
 def plain_windows(texts, w=35):
     words = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
     count = Counter(tuple(x[i : i + w]) for x in words for i in range(len(x) - w + 1))
@@ -303,7 +303,7 @@ def test_word_hash_chunks(monkeypatch):
     substrings._powers.clear()
 
 
-# --- 10 --------------------------------------------------------------------------
+# --- 10
 def test_quality(spark, tmp_path):
     rng = random.Random(13)
     good = [prose(rng, rng.randint(5, 120)) for _ in range(160)]
