@@ -166,7 +166,7 @@ def names(graph: Graph, members: DataFrame) -> DataFrame:
     # the common prefix ends before the first place that differs
     first = at.groupBy("community").agg(F.min(F.when(~F.col("same"), F.col("i"))).alias("stop"))
     tail = at.join(first, "community").where("same and (stop is null or i < stop) and part != ''").groupBy("community").agg(F.max_by("part", "i").alias("tail"))
-    words = n.select("community", F.explode(F.regexp_extract_all("name", F.lit("([A-Z][a-z]+|[a-z]+)"), F.lit(1))).alias("w")).where(F.length("w") >= 3).groupBy("community", "w").agg(F.count("*").alias("c")).where("c >= 2")
+    words = n.select("community", F.explode(F.regexp_extract_all("name", F.lit("([A-Z]?[a-z]+)"), F.lit(1))).alias("w")).where(F.length("w") >= 3).groupBy("community", "w").agg(F.count("*").alias("c")).where("c >= 2")
     top = words.groupBy("community").agg(F.min_by("w", F.struct(-F.col("c"), "w")).alias("word"))
     joined = size.join(tail, "community", "left").join(top, "community", "left")
     label = F.coalesce(F.when(F.length("tail") > 2, F.col("tail")), F.when(F.col("share") > 0.4, F.col("first_class")), F.col("word"), F.concat(F.lit("cluster-"), F.col("n")))

@@ -175,7 +175,7 @@ def infer_role(spark, sf):
 _NAMES = """, mm AS (SELECT m.id, m.community, kind, name, string_split(file_path, '/') AS s FROM m JOIN g_nodes USING (id)), sz AS (SELECT community, count(*) AS n, avg(CAST(kind IN ('class', 'interface') AS INTEGER)) AS share, min_by(name, id) FILTER (kind IN ('class', 'interface')) AS fc FROM mm GROUP BY 1),
 q AS (SELECT community, unnest(s[1:-2]) AS part, unnest(generate_series(1, len(s) - 1)) AS i FROM mm), a AS (SELECT community, i, count(DISTINCT part) AS k, count(*) AS c, min(part) AS part FROM q GROUP BY 1, 2),
 b AS (SELECT a.*, k = 1 AND c = n AS same FROM a JOIN sz USING (community)), st AS (SELECT community, min(i) FILTER (NOT same) AS stop FROM b GROUP BY 1), tl AS (SELECT community, max_by(part, i) AS tail FROM b JOIN st USING (community) WHERE same AND (stop IS NULL OR i < stop) AND part <> '' GROUP BY 1),
-ws AS (SELECT community, w, count(*) AS c FROM (SELECT community, unnest(regexp_extract_all(name, '[A-Z][a-z]+|[a-z]+')) AS w FROM mm) WHERE length(w) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2), tw AS (SELECT community, w AS word FROM ws QUALIFY row_number() OVER (PARTITION BY community ORDER BY c DESC, w) = 1)
+ws AS (SELECT community, w, count(*) AS c FROM (SELECT community, unnest(regexp_extract_all(name, '[A-Z]?[a-z]+')) AS w FROM mm) WHERE length(w) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2), tw AS (SELECT community, w AS word FROM ws QUALIFY row_number() OVER (PARTITION BY community ORDER BY c DESC, w) = 1)
 SELECT community, coalesce(CASE WHEN length(tail) > 2 THEN tail END, CASE WHEN share > 0.4 THEN fc END, word, 'cluster-' || n) AS label FROM sz LEFT JOIN tl USING (community) LEFT JOIN tw USING (community)"""
 
 
