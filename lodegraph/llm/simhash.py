@@ -34,8 +34,8 @@ RADIUS = 44
 BITS = 18
 TABLES = 96
 CAP = 512
-MORE_BITS = 10
-SUBTABLES = 8
+MORE_BITS = 8
+SUBTABLES = 16
 LEVELS = 3
 BLOCK = 2048
 _WORD = re.compile(r"[^\W_]+")
@@ -93,7 +93,7 @@ def _buckets(rows: DataFrame, level: int) -> DataFrame:
             prior = b.column("bucket").to_numpy().view(np.uint64)
             for t, at in enumerate(sample):
                 key = (bits[:, at] << np.arange(len(at), dtype=np.uint64)).sum(1, dtype=np.uint64)
-                key = (prior * np.uint64(0x9E3779B97F4A7C15)) ^ (key * np.uint64(64) + np.uint64(t + 1))
+                key = (prior * np.uint64(0x9E3779B97F4A7C15)) ^ (key * np.uint64(128) + np.uint64(t + 1))
                 if level:  # mixed, since prior buckets take all 64 bits
                     key ^= key >> np.uint64(29)
                     key *= np.uint64(0xBF58476D1CE4E5B9)
