@@ -33,7 +33,7 @@ from lodegraph.llm.batches import filter_rows, map_rows, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose pieces a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 
 class _Pairs:
