@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from lodegraph.functions.text import round_half_up
 from lodegraph.operators.components import connected_components
 from lodegraph.operators.graph import degrees
 from lodegraph.schema import Graph
-from lodegraph.storage import materialise
+from lodegraph.storage import drop, materialise
 
 WEIGHTS = {"calls": 1.0, "inherits": 0.8, "implements": 0.7, "depends_on": 0.6, "imports": 0.5, "tested_by": 0.4}
 OTHER_WEIGHT = 0.3
@@ -34,73 +32,63 @@ def weighted_pairs(graph: Graph) -> DataFrame:
     return e.groupBy(F.least("from_id", "to_id").alias("u"), F.greatest("from_id", "to_id").alias("v")).agg(F.max("w").alias("w"))
 
 
-def local_moves(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """id, community by weighted modularity moves, all in DataFrames.
+def local_moves(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """id, community by weighted modularity moves, all in DataFrames; within each ``parent`` if ``pairs`` has that column.
 
-    In every round half of the nodes (by hash and round) may move to the neighbouring
-    community with the largest gain in modularity, ties to the smaller name; nodes
-    of the other half hold still, so that no two neighbours swap for ever.
+    A node wants to move to the neighbouring community with the largest gain in modularity, ties to the smaller name.
+    At first half of the nodes (by hash and round) do so and the others hold still, so that no two neighbours swap for ever.
+    Once that lowers the number of those who want to by less than a twentieth, each community takes part in one move a round
+    at most: such moves do not touch each other, modularity rises with each, and so they come to an end. The rounds stop
+    when no node wants to move; labels that have not settled after ``most_rounds`` are an error.
     """
-    both = materialise(pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "w").union(pairs.select("v", "u", "w")), "louvain")
-    degree = materialise(both.groupBy("id").agg(F.sum("w").alias("k")), "louvain")
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    label = materialise(degree.select("id", F.col("id").alias("community"), "k"), "louvain")
-    for r in range(rounds):
+    if "parent" not in pairs.columns:
+        pairs = pairs.withColumn("parent", F.lit(""))
+    both = materialise(pairs.select("parent", F.col("u").alias("id"), F.col("v").alias("other"), "w").union(pairs.select("parent", "v", "u", "w")), "louvain")
+    degree = materialise(both.groupBy("parent", "id").agg(F.sum("w").alias("k")), "louvain")
+    total = materialise(degree.groupBy("parent").agg(F.sum("k").alias("total")), "louvain")
+    label = materialise(degree.join(total, "parent").select("id", F.col("id").alias("community"), "k", "total"), "louvain")
+    alone, fewest = False, None
+    for r in range(most_rounds):
         sums = label.groupBy("community").agg(F.sum("k").alias("s"))
         links = both.join(label.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("inside"))
-        mine = label.select("id", F.col("community").alias("now"), "k")
-        gain = F.col("inside") - F.col("k") * (F.col("s") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / total
-        scored = links.join(mine, "id").join(sums, "community").select("id", "now", "k", "community", gain.alias("gain"))
-        stay = label.join(sums, "community").select("id", F.col("community").alias("now"), "k", "community", (-F.col("k") * (F.col("s") - F.col("k")) / total).alias("gain"))
-        best = scored.unionByName(stay).groupBy("id", "now", "k").agg(F.min_by(F.struct("community"), F.struct((-round_half_up(F.col("gain"), 9)).alias("g"), (F.col("community") != F.col("now")).alias("moves"), "community")).alias("b"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)) + r, F.lit(2)) == 0
-        nxt = materialise(best.select("id", F.when(turn, F.col("b.community")).otherwise(F.col("now")).alias("community"), "k"), "louvain")
-        moved = nxt.join(label.select("id", "community"), ["id", "community"], "left_anti").isEmpty()
-        label = nxt
-        if moved and r % 2:
+        mine = label.select("id", F.col("community").alias("now"), "k", "total")
+        gain = F.col("inside") - F.col("k") * (F.col("s") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / F.col("total")
+        scored = links.join(mine, "id").join(sums, "community").select("id", "now", "k", "total", "community", gain.alias("gain"))
+        stay = label.join(sums, "community").select("id", F.col("community").alias("now"), "k", "total", "community", (-F.col("k") * (F.col("s") - F.col("k")) / F.col("total")).alias("gain"))
+        best = scored.unionByName(stay).groupBy("id", "now", "k", "total").agg(F.min_by(F.struct("community"), F.struct((-round_half_up(F.col("gain"), 9)).alias("g"), (F.col("community") != F.col("now")).alias("moves"), "community")).alias("b"))
+        nxt = materialise(best.select("id", "now", F.col("b.community").alias("to"), "k", "total"), "louvain")
+        wishes = nxt.where("now != to")
+        wants = wishes.count()
+        if not wants:
             break
+        alone = alone or (fewest is not None and wants > 0.95 * fewest)
+        fewest = min(wants, fewest or wants)
+        if alone:
+            first = wishes.select(F.explode(F.array("now", "to")).alias("c"), F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id").alias("x")).groupBy("c").agg(F.min("x").alias("x"))
+            movers = first.groupBy("x.id").agg(F.count("*").alias("n")).where("n = 2").select("id", F.lit(True).alias("turn"))
+            placed = nxt.join(movers, "id", "left")
+        else:
+            placed = nxt.withColumn("turn", F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0)
+        moved = materialise(placed.select("id", F.when(F.col("turn"), F.col("to")).otherwise(F.col("now")).alias("community"), "k", "total"), "louvain")
+        drop(label)
+        drop(nxt)
+        label = moved
+    else:
+        raise RuntimeError(f"{wants} nodes still want to move after {most_rounds} rounds")
     return label.select("id", "community")
 
 
-def _split(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Communities inside one: sequential moves by modularity, in order of id."""
-    ids = sorted(set(pdf.u) | set(pdf.v))
-    at = {x: i for i, x in enumerate(ids)}
-    near: list[dict[int, float]] = [{} for _ in ids]
-    for a, b, w in zip(pdf.u.map(at), pdf.v.map(at), pdf.w):
-        near[a][b] = near[b][a] = w
-    k = np.array([sum(n.values()) for n in near])
-    total, label, s = k.sum() or 1.0, list(range(len(ids))), k.copy()
-    for _ in range(20):
-        moved = False
-        for i in range(len(ids)):
-            s[label[i]] -= k[i]
-            into: dict[int, float] = {label[i]: 0.0}
-            for j, w in near[i].items():
-                into[label[j]] = into.get(label[j], 0.0) + w
-            best = min(into, key=lambda c: (-round(into[c] - k[i] * s[c] / total, 9), c != label[i], c))
-            moved |= best != label[i]
-            label[i] = best
-            s[best] += k[i]
-        if not moved:
-            break
-    return pd.DataFrame({"id": ids, "community": [f"{pdf.parent.iloc[0]}/{ids[label[i]]}" for i in range(len(ids))]})
-
-
-def detect(graph: Graph, rounds: int = 8, most_split: int = 200_000) -> DataFrame:
-    """id, community of non-external nodes in communities of two and more; those of more than 50 are split once.
-
-    A community is split in one task if its inner pairs are at most ``most_split``; a larger one stays whole.
-    """
+def detect(graph: Graph, most_rounds: int = 1000) -> DataFrame:
+    """id, community of non-external nodes in communities of two and more; those of more than 50 are split once, whatever their size."""
     pairs = materialise(weighted_pairs(graph), "pairs")
-    label = materialise(local_moves(pairs, rounds), "louvain")
+    label = materialise(local_moves(pairs, most_rounds), "louvain")
     size = label.groupBy("community").agg(F.count("*").alias("n"))
     inner = pairs.join(label.select(F.col("id").alias("u"), F.col("community").alias("parent")), "u").join(label.select(F.col("id").alias("v"), F.col("community").alias("p2")), "v").where("parent = p2")
-    inner = inner.join(size.where(F.col("n") > SPLIT_ABOVE).select(F.col("community").alias("parent")), "parent", "left_semi")
-    small = inner.groupBy("parent").agg(F.count("*").alias("c")).where(F.col("c") <= most_split).select("parent")
-    parts = inner.join(small, "parent", "left_semi").select("parent", "u", "v", "w").groupBy("parent").applyInPandas(_split, "id string, community string")
-    whole = label.join(small.select(F.col("parent").alias("community")), "community", "left_anti").select("id", "community")
-    every = materialise(whole.unionByName(parts), "louvain")
+    inner = materialise(inner.join(size.where(F.col("n") > SPLIT_ABOVE).select(F.col("community").alias("parent")), "parent", "left_semi").select("parent", "u", "v", "w"), "louvain")
+    parts = local_moves(inner, most_rounds).withColumnRenamed("community", "part")
+    # a node without a pair inside a community that is split stands for itself
+    named = F.when(F.col("n") > SPLIT_ABOVE, F.concat("community", F.lit("/"), F.coalesce("part", "id"))).otherwise(F.col("community"))
+    every = materialise(label.join(size, "community").join(parts, "id", "left").select("id", named.alias("community")), "louvain")
     return every.join(every.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2").select("community"), "community", "left_semi").select("id", "community")
 
 

@@ -1,6 +1,7 @@
 """Retrieval, risk, communities, version-control text."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,27 @@ def test_communities(spark):
     assert {r.label for r in com.file_labels(spark.createDataFrame([("1", "/a/b/c.ts"), ("2", "/a/b/c.ts"), ("2", "/a/b/d.ts"), ("3", "x/a"), ("3", "y/a")], "component string, file_path string")).collect()} == {"c.ts", "b", "cluster-2-files"}
 
 
+def test_moves_settle(spark):
+    """No node of any parent gains by a move, against plain sums; too few rounds are an error."""
+    rng = random.Random(1)
+    pairs = sorted({(q, *sorted((f"{q}{a:03}", f"{q}{b:03}"))) for q in "pq" for a, b in (rng.sample(range(90), 2) for _ in range(200))})
+    df = spark.createDataFrame([(q, u, v, 1.0) for q, u, v in pairs], "parent string, u string, v string, w double")
+    label = {r.id: r.community for r in com.local_moves(df).collect()}
+    near, total, s = {}, {"p": 0, "q": 0}, {}
+    for q, u, v in pairs:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+        total[q] += 2
+    for u, n in near.items():
+        s[label[u]] = s.get(label[u], 0) + len(n)
+    assert set(label) == set(near) and all(c[0] == u[0] for u, c in label.items())
+    for u, n in near.items():
+        gain = lambda c, u=u, n=n: sum(label[v] == c for v in n) - len(n) * (s[c] - len(n) * (c == label[u])) / total[u[0]]
+        assert all(gain(label[v]) <= gain(label[u]) + 1e-6 for v in n)
+    with pytest.raises(RuntimeError):
+        com.local_moves(df, 2)
+
+
 def test_registry(spark, tmp_path):
     r = Registry(spark, str(tmp_path / "r.json"))
     r.register("/repo/a", str(tmp_path / "a"))
