@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import time
 import uuid
 
@@ -19,6 +20,7 @@ from lodegraph.sources import files, gitdiff
 from lodegraph.storage import materialise
 
 PREVIEW_SECONDS = 600
+PATHS_AT_ONCE = 10_000
 
 
 class Engine:
@@ -105,13 +107,14 @@ class Engine:
         i = self.node_id(target)
         out = {"edges": ops.rename_preview(self.graph, i)}
         if new_name:
-            rows = [r.asDict() for r in ops.rename_edits(self.graph, i, new_name).limit(10_000).collect()]
             key = uuid.uuid4().hex[:8]
             folder = f"{self.store.path}/previews"
             os.makedirs(folder, exist_ok=True)
+            ops.rename_edits(self.graph, i, new_name).write.parquet(f"{folder}/{key}.edits")
+            edits = self.spark.read.parquet(f"{folder}/{key}.edits")
             with open(f"{folder}/{key}.json", "w", encoding="utf-8") as f:
-                json.dump({"expires": (now or time.time()) + PREVIEW_SECONDS, "edits": rows}, f)
-            out |= {"id": key, "edits": rows}
+                json.dump({"expires": (now or time.time()) + PREVIEW_SECONDS}, f)
+            out |= {"id": key, "n_edits": edits.count(), "edits": edits}
         return out
 
     def apply_rename(self, key: str, root: str | None = None, now: float | None = None) -> dict:
@@ -122,12 +125,15 @@ class Engine:
         with open(file, encoding="utf-8") as f:
             preview = json.load(f)
         os.remove(file)
+        table = f"{self.store.path}/previews/{key}.edits"
         if (now or time.time()) > preview["expires"]:
+            shutil.rmtree(table)
             return {"status": "expired", "files": 0, "replaced": 0}
         base = os.path.realpath(root or self.root) + os.sep
         changed = replaced = 0
         skipped = []
-        for e in preview["edits"]:
+        # one partition at a time, so that any number of edits is carried out
+        for e in self.spark.read.parquet(table).toLocalIterator():
             real = os.path.realpath(e["file_path"])
             if not real.startswith(base) or not os.path.isfile(real):
                 skipped.append(e["file_path"])
@@ -145,6 +151,7 @@ class Engine:
                 with open(real, "w", encoding="utf-8") as f:
                     f.write("\n".join(lines))
                 changed, replaced = changed + 1, replaced + n
+        shutil.rmtree(table)
         return {"status": "applied", "files": changed, "replaced": replaced, "skipped": skipped}
 
     # --- retrieval ---
@@ -195,12 +202,14 @@ class Engine:
 
     # --- changes ---
     def _contents(self, changes: DataFrame) -> DataFrame:
-        """The contents of changed files, read where they lie."""
-        paths = [r.file_path for r in changes.where("status != 'deleted'").select("file_path").distinct().limit(10_000).collect() if os.path.isfile(r.file_path)]
-        if not paths:
-            return self.spark.createDataFrame([], "file_path string, content string")
-        raw = self.spark.read.format("binaryFile").load(paths)
-        return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.decode("content", "utf-8").alias("content"))
+        """The contents of all changed files, read where they lie, in batches of paths."""
+        changed = changes.where("status != 'deleted'").select("file_path").distinct()
+        paths = [r.file_path for r in changed.toLocalIterator() if os.path.isfile(r.file_path)]
+        out = self.spark.createDataFrame([], "file_path string, content string")
+        for i in range(0, len(paths), PATHS_AT_ONCE):
+            raw = self.spark.read.format("binaryFile").load(paths[i : i + PATHS_AT_ONCE])
+            out = out.unionByName(raw.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.decode("content", "utf-8").alias("content")))
+        return out
 
     def analyze_changes(self, base: str = "HEAD~1") -> DataFrame:
         ch = gitdiff.read_changes(self.spark, self.root, base)

@@ -51,3 +51,24 @@ def test_command_line(tree, spark):
     assert json.loads(run("impact", "b.ts"))[0]["depth"] == 1
     run("registry-register", str(root), e.store.path)
     assert json.loads(run("registry-search", "help"))[0]["repo"] == root.name
+
+
+def test_more_than_ten_thousand_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    n = 10_050
+    e = Engine(spark, str(tmp_path / "store"), str(tmp_path))
+    path = F.concat(F.lit(f"{tmp_path}/f"), "id", F.lit(".ts"))
+    row = lambda i, p: [i.alias("id"), F.lit("function").alias("kind"), F.lit("old").alias("name"), p.alias("file_path")]
+    nodes = spark.range(n).select(*row(F.concat(F.lit("function:"), path), path)).union(spark.range(1).select(*row(F.lit("function:x"), F.lit(f"{tmp_path}/x.ts"))))
+    e.store.save("nodes", nodes)
+    e.store.save("edges", nodes.where("id != 'function:x'").select(F.concat("id", F.lit("|x")).alias("id"), F.col("id").alias("from_id"), F.lit("function:x").alias("to_id"), F.lit("calls").alias("kind")))
+    for i in range(n):
+        (tmp_path / f"f{i}.ts").write_text("old()\n")
+    read = e._contents(spark.range(n).select(path.alias("file_path"), F.lit("modified").alias("status")))
+    assert read.where("content = 'old()\n'").select("file_path").distinct().count() == n
+    got = e.rename_preview("function:x", "new")
+    assert got["n_edits"] == n + 1
+    done = e.apply_rename(got["id"])
+    assert (done["files"], done["replaced"], done["skipped"]) == (n, n, [f"{tmp_path}/x.ts"])
+    assert all((tmp_path / f"f{i}.ts").read_text() == "new()\n" for i in range(n))
