@@ -1,0 +1,39 @@
+"""Graph queries over all orders and lines, as whole_NAME; the SQL of NAME itself holds only orders since 2000."""
+
+from __future__ import annotations
+
+import functools
+
+from lodegraph.plans import graph_queries, risk_queries  # noqa: F401  (registers their queries)
+from lodegraph.plans.register import ORACLES, QUERIES, query
+from lodegraph.sources.tables import GRAPH_SQL, WHOLE_SQL, table, whole
+
+#: No SQL: communities and paths have none, recursive walks are too slow over all orders.
+WALKS = "impact impact_multi impact_paths deps_transitive shortest_path_len shortest_path_nodes call_chain_depth connected_components communities analyze_changes focus_areas overall_risk".split()
+FLAT = "graph_stats orphans edges_from edges_to_by_kind neighbours callers callees view_edges panel_search upsert_edges delete_file rename_preview rename_edits deps_direct entry_points criticality large_functions dead_code refactor_suggestions blast_files review_tests cohesion coupling hubs".split()
+
+
+def _add(name: str) -> None:
+    fn = QUERIES[name]
+
+    @functools.wraps(fn)
+    def run(spark, sf):
+        with whole():
+            return fn(spark, sf)
+
+    run.__name__ = f"whole_{name}"
+    query(ORACLES[name].replace(GRAPH_SQL, WHOLE_SQL) if name in FLAT else None)(run)
+
+
+for _name in WALKS + FLAT:
+    _add(_name)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orders_without_lines(spark, sf):
+    return table(spark, sf, "orders").join(table(spark, sf, "lineitem").selectExpr("l_orderkey AS o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def customers_without_orders(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").selectExpr("o_custkey AS c_custkey"), "c_custkey", "left_anti").select("c_custkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+_whole = [False]
+
+
+@contextlib.contextmanager
+def whole():
+    """Inside, ``star_graph`` has the edges of all orders and lines, not only of orders since 2000."""
+    _whole.append(True)
+    try:
+        yield
+    finally:
+        _whole.pop()
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The star schema's graph as stored tables, both partitioned by kind, so that a filter on kind reads only its files.
 
     Built once a session. A union of twelve branches under every query would have
     its semi-joins pushed into each branch, and plans grow by the product.
     """
-    stored = lambda part: kept(spark, f"star {part} {sf_dir}", lambda: getattr(_star_graph(spark, sf_dir), part), "kind")
+    every = _whole[-1]
+    stored = lambda part: kept(spark, f"star {part} {every} {sf_dir}", lambda: getattr(_star_graph(spark, sf_dir, every), part), "kind")
     return Graph(stored("nodes"), stored("edges"))
 
 
-def _star_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Eight kinds of edges and of nodes, without dangling edges."""
+def _star_graph(spark: SparkSession, sf_dir: str, every: bool) -> Graph:
+    """Eight kinds of edges and of nodes, without dangling edges; orders and lines since 2000, or ``every`` one."""
     t = lambda name: table(spark, sf_dir, name)
     s = lambda c: F.col(c).cast("string")
     cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
@@ -54,7 +69,7 @@ def _star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         node(part.select("p_brand").distinct(), cat("external_dep:", F.col("p_brand")), "external_dep", F.col("p_brand"), F.col("p_brand"), cat("Brand ", F.col("p_brand")), None, True),
         node(orders, cat("file:order/", s("o_orderkey")), "file", cat("order", s("o_orderkey"), ".ts"), cat("/src/", F.lower("o_orderpriority"), "/order", s("o_orderkey"), ".ts"), cat("Order status ", F.col("o_orderstatus")), "typescript"),
     ]
-    recent = orders.where(F.col("o_orderdate") >= F.to_timestamp(F.lit("2000-01-01 00:00:00")))
+    recent = orders if every else orders.where(F.col("o_orderdate") >= F.to_timestamp(F.lit("2000-01-01 00:00:00")))
     sold = lines.join(recent.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     of_nation = lambda c: cat("interface:nation/", s(c))
     order, sup, prt, cus = (lambda c: cat("file:order/", s(c))), (lambda c: cat("function:supplier/", s(c))), (lambda c: cat("method:part/", s(c))), (lambda c: cat("class:customer/", s(c)))
@@ -117,5 +132,8 @@ UNION ALL SELECT 'method:part/' || p_partkey, 'inherits', 'type:ptype/' || p_typ
 UNION ALL SELECT 'method:part/' || p_partkey, 'depends_on', 'external_dep:' || p_brand FROM part
 ), g_edges AS (SELECT from_id || '|' || kind || '|' || to_id AS id, from_id, to_id, kind, kind || ' ' || to_id AS reason FROM g_edges0)"""
 
+#: With all orders and lines, for the whole_ queries.
+WHOLE_SQL = GRAPH_SQL.replace(" WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'", "")
+
 EVENT_SQL = """v_edges AS (
 SELECT DISTINCT a AS from_id, b AS to_id FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL)"""

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lodegraph.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +26,28 @@ def test_query(spark, name):
     assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == want and want
 
 
+@pytest.mark.parametrize("name", ["graph_stats", "criticality", "refactor_suggestions", "coupling", "orphans", "orders_without_lines", "customers_without_orders"])
+def test_whole_query(spark, name):
+    """All orders and lines, against SQL; some of the anti-joins have no rows."""
+    db = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    name = name if "without" in name else f"whole_{name}"
+    df = entry.queries()[name](spark, SF)
+    cur = db.execute(entry.oracle_sql()[name])
+    cols = [c[0] for c in cur.description]
+    assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == sorted(map(repr, cur.fetchall()))
+
+
+def test_whole_edges(spark):
+    """Every order imports its customer, every order and supplier of a line is called."""
+    with tables.whole():
+        e = tables.star_graph(spark, SF).edges
+    t = lambda name: tables.table(spark, SF, name)
+    assert e.where("kind = 'imports' and from_id like 'file:order/%'").count() == t("orders").count()
+    assert e.where("kind = 'calls' and from_id like 'file:order/%'").count() == t("lineitem").select("l_orderkey", "l_suppkey").distinct().count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
