@@ -1,15 +1,17 @@
 """Operator 8, benchmark decontamination: SimHash of item-sized windows, DataFrame functions only.
 
 Words are lower-cased runs of letters and digits. A window has as many words as
-a benchmark item. Windows that share no three-word shingle with the item of
-their size have no similarity to verify, so windows are placed where a shingle
-of an item occurs, aligned as in the item. Every window gets a 128-bit SimHash
+a benchmark item. They are placed where a three-word shingle of an item occurs,
+or one of its heavier two-word shingles, aligned as in the item: the lighter
+ones left out weigh less together than the threshold's share of the item, so
+that no window without a seed can be similar enough. Every window gets a 128-bit SimHash
 of its words; fingerprints are cut into 32 blocks of 4 bits, so that any two
 within ``RADIUS`` = 31 bits agree in a block; windows meet the items of their
 size in a block, and the exact weighted similarity of two-word shingles
 (intersection over union, weighed by characters) decides.
 
-Defined cases: null texts count as empty; items of fewer than three words
+Defined cases: null texts count as empty; items of null item_id are told apart by
+their text and reported with a null item_id; items of fewer than three words
 guard nothing; repeated items and rows of both equal doc_id and text count
 once; an item whose similarity reaches the threshold at several windows gives
 one row, that of the most similar, then first window; empty tables give no rows.
@@ -20,6 +22,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegraph.storage import materialise, size_checked
@@ -43,6 +46,23 @@ def _shingles(w: Column, width: int) -> Column:
     return F.transform(_starts(F.size(w), width), lambda i: F.xxhash64(*[w[i + j] for j in range(width)]))
 
 
+def _places(w: Column) -> Column:
+    """(pos, h) of the two-word and the three-word shingles."""
+    of = lambda width: F.transform(_shingles(w, width), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    return F.concat(of(2), of(SHINGLE))
+
+
+def _seeds(items: DataFrame, threshold: float) -> DataFrame:
+    """size, at, h: all three-word shingles, and the two-word ones without the lightest, which weigh less than ``threshold`` of the item."""
+    length = F.transform(_starts(F.size("w"), 2), lambda i: F.length(F.col("w")[i]) + F.length(F.col("w")[i + 1]) + 1)
+    pairs = items.select("item", "size", F.posexplode(F.arrays_zip(_shingles(F.col("w"), 2).alias("h"), length.alias("c"))).alias("at", "x")).select("item", "size", "at", "x.h", "x.c")
+    each = pairs.select("item", "h", "c").distinct()
+    upto = F.sum("c").over(W.partitionBy("item").orderBy("c", "h").rowsBetween(W.unboundedPreceding, 0))
+    heavy = each.select("item", "h", upto.alias("upto"), F.sum("c").over(W.partitionBy("item")).alias("all")).where(F.col("upto") >= threshold * F.col("all"))
+    three = items.select("size", F.posexplode(_shingles(F.col("w"), SHINGLE)).alias("at", "h"))
+    return three.unionByName(pairs.join(heavy.select("item", "h"), ["item", "h"]).select("size", "at", "h")).distinct()
+
+
 def _pairs(w: Column) -> Column:
     """The distinct two-word shingles; a line break can't be part of a word."""
     return F.array_distinct(F.transform(_starts(F.size(w), 2), lambda i: F.concat(w[i], F.lit("\n"), w[i + 1])))
@@ -68,17 +88,16 @@ def fingerprints(windows: DataFrame, key: list[str], w: str) -> DataFrame:
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, w, size: distinct items of at least three words."""
-    return benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE).dropDuplicates(["item_id", "w"]).withColumn("size", F.size("w"))
+    return benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE).dropDuplicates(["item_id", "w"]).withColumn("size", F.size("w"))
 
 
 def find(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, th, item_id, start_word, size, hamming, similarity: the items that each document contains."""
     items = materialise(fingerprints(items_of(benchmark).withColumn("item", F.xxhash64("item_id", "w")), ["item"], "w"), "items")
-    seeds = items.select("size", F.posexplode(_shingles(F.col("w"), SHINGLE)).alias("at", "h")).distinct()
-    seeds = size_checked(materialise(seeds, "seeds"), 24)
+    seeds = size_checked(materialise(_seeds(items, threshold), "seeds"), 24)
     docs = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), words(F.col("text")).alias("w"))
     placed = (
-        docs.select("doc_id", "th", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), SHINGLE)).alias("pos", "h")).join(seeds, "h")
+        docs.select("doc_id", "th", F.size("w").alias("n"), F.inline(_places(F.col("w")))).join(seeds, "h")
         .select("doc_id", "th", "size", F.least(F.greatest(F.col("pos") - F.col("at"), F.lit(0)), F.greatest(F.col("n") - F.col("size"), F.lit(0))).alias("start")).distinct()
     )
     per_doc = placed.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size")).alias("spots"))
@@ -100,7 +119,7 @@ def find(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     both = near.withColumn("p", _pairs(F.col("w"))).withColumn("q", _pairs(F.col("iw"))).withColumn("shared", _weight(F.array_intersect("p", "q")))
     scored = both.withColumn("similarity", F.col("shared") / (_weight(F.col("p")) + _weight(F.col("q")) - F.col("shared"))).where(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("start", "size", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
-    return scored.groupBy("doc_id", "th", "item_id").agg(best.alias("b")).select("doc_id", "th", "item_id", F.col("b.start").alias("start_word"), "b.size", "b.hamming", "b.similarity")
+    return scored.groupBy("doc_id", "th", "item_id", F.when(F.col("item_id").isNull(), F.col("item"))).agg(best.alias("b")).select("doc_id", "th", "item_id", F.col("b.start").alias("start_word"), "b.size", "b.hamming", "b.similarity")
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

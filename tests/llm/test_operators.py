@@ -257,6 +257,17 @@ def test_decontamination(spark):
     assert {r.start_word for k, r in got.items() if k[0] >= 40} == {0}
 
 
+def test_decontamination_of_short_items_and_null_ids(spark):
+    texts = ["so internationalization matters a", "nothing here", "one red fox two", "one blue fox two", "one grey hen two"]
+    bench = spark.createDataFrame([(1, "internationalization matters b"), (None, "one red fox"), (None, "one blue fox")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.similarity > 0.9) for r in decontam.find(docs(spark, texts), bench).collect()}
+    assert got >= {(2, None, 0, True), (3, None, 0, True)} and not {d for d, *_ in got} & {1, 4}
+    # the first item shares one of its two-word shingles, no three-word one
+    seeds = decontam._seeds(decontam.items_of(bench).withColumn("item", F.xxhash64("item_id", "w")), 0.5).where("size = 3")
+    h = spark.range(1).select(F.xxhash64(F.lit("internationalization"), F.lit("matters")).alias("h"))
+    assert seeds.join(h, "h").count() == 1
+
+
 def test_blocks_meet_within_the_radius(spark):
     rng = random.Random(11)
     for _ in range(300):
