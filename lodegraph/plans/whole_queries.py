@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import functions as F
+
+from lodegraph.operators import community as com
 from lodegraph.plans import graph_queries, risk_queries  # noqa: F401  (registers their queries)
 from lodegraph.plans.register import ORACLES, QUERIES, query
+from lodegraph.schema import Graph
 from lodegraph.sources.tables import GRAPH_SQL, WHOLE_SQL, table, whole
 
 #: No SQL: communities and paths have none, recursive walks are too slow over all orders.
@@ -37,3 +41,14 @@ def orders_without_lines(spark, sf):
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def customers_without_orders(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders").selectExpr("o_custkey AS c_custkey"), "c_custkey", "left_anti").select("c_custkey")
+
+
+_TAIL = "CASE page_id % 40 % 9 WHEN 0 THEN 'util/x' WHEN 1 THEN 'a.test.ts' WHEN 2 THEN 'api/x' WHEN 3 THEN 'ui/x' ELSE 'x' END"
+
+
+@query(f"WITH p AS (SELECT page_id % 40 AS c, lower(url || '/' || ({_TAIL})) AS p FROM pages) SELECT CAST(c AS VARCHAR) AS community, count(*) AS pages, CASE {risk_queries._ROLE} ELSE 'unknown' END AS role FROM p GROUP BY c")
+def whole_infer_role(spark, sf):
+    """Roles of communities of all pages, with tails by community; infer_role leaves a tenth of the pages out."""
+    p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), (F.col("page_id") % 40).cast("string").alias("community"), F.concat("url", F.lit("/"), F.expr(_TAIL)).alias("file_path"))
+    nodes = p.select("id", "file_path")
+    return com.roles(Graph(nodes, nodes), p.select("id", "community")).join(p.groupBy("community").agg(F.count("*").alias("pages")), "community")

@@ -26,7 +26,7 @@ def test_query(spark, name):
     assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == want and want
 
 
-@pytest.mark.parametrize("name", ["graph_stats", "criticality", "refactor_suggestions", "coupling", "orphans", "orders_without_lines", "customers_without_orders"])
+@pytest.mark.parametrize("name", ["graph_stats", "criticality", "refactor_suggestions", "coupling", "orphans", "infer_role", "orders_without_lines", "customers_without_orders"])
 def test_whole_query(spark, name):
     """All orders and lines, against SQL; some of the anti-joins have no rows."""
     db = duckdb.connect()
@@ -39,6 +39,11 @@ def test_whole_query(spark, name):
     assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == sorted(map(repr, cur.fetchall()))
 
 
+def test_whole_roles_hold_every_page(spark):
+    got = entry.queries()["whole_infer_role"](spark, SF).collect()
+    assert sum(r.pages for r in got) == tables.table(spark, SF, "pages").count() and len({r.role for r in got}) > 2
+
+
 def test_whole_edges(spark):
     """Every order imports its customer, every order and supplier of a line is called."""
     with tables.whole():
