@@ -25,6 +25,15 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    end = "_"
+    while any(f"{n}{end}".lower() in taken for n in names):
+        end += "_"
+    return [f"{n}{end}" for n in names]
+
+
 def map_rows(df: DataFrame, schema: T.StructType | str, fn: Callable[..., dict[str, list]]) -> DataFrame:
     """Apply ``fn(column lists...) -> {column: list}`` to batches of all columns of ``df``."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

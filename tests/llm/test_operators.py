@@ -257,25 +257,72 @@ def test_decontamination(spark):
     assert {r.start_word for k, r in got.items() if k[0] >= 40} == {0}
 
 
-def test_decontamination_of_short_items_and_null_ids(spark):
-    texts = ["so internationalization matters a", "nothing here", "one red fox two", "one blue fox two", "one grey hen two"]
-    bench = spark.createDataFrame([(1, "internationalization matters b"), (None, "one red fox"), (None, "one blue fox")], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id, r.start_word, r.similarity > 0.9) for r in decontam.find(docs(spark, texts), bench).collect()}
-    assert got >= {(2, None, 0, True), (3, None, 0, True)} and not {d for d, *_ in got} & {1, 4}
-    # the first item shares one of its two-word shingles, no three-word one
-    seeds = decontam._seeds(decontam.items_of(bench).withColumn("item", F.xxhash64("item_id", "w")), 0.5).where("size = 3")
-    h = spark.range(1).select(F.xxhash64(F.lit("internationalization"), F.lit("matters")).alias("h"))
-    assert seeds.join(h, "h").count() == 1
-
-
-def test_blocks_meet_within_the_radius(spark):
+def test_decontamination_against_all_windows(spark):
+    """Reordered, shortened and edited items, and items of one, two and many words, against every window of every text."""
+    rng = random.Random(14)
+    items = [prose(rng, n) for n in (1, 2, 3, 5, 8, 13, 14, 20, 21, 33, 40, 40)]
+    texts = [prose(rng, rng.randint(1, 120)) for _ in range(25)]
+    for x in items:
+        w = x.split()
+        half = len(w) // 2
+        swapped = [*w[half:], *w[:half]]
+        edited = [v if rng.random() > 0.12 else rng.choice(VOCAB) for v in w]
+        longer = [v for u in w for v in ([u, rng.choice(VOCAB)] if rng.random() < 0.08 else [u])]
+        for core in (w, swapped, edited, longer, w[: half + half // 2], w + w):
+            texts.append(" ".join([*prose(rng, rng.randint(0, 60)).split(), *core, *prose(rng, rng.randint(0, 60)).split()]))
+    texts += [" ".join(items[8].split()[:18]), " ".join(items[0].split()[0] for _ in range(70)), "\u00c9t\u00e9 \u00e9t\u00e9"]
+    bench = spark.createDataFrame([*enumerate(items), (77, "\u00e9t\u00e9 \u00c9T\u00c9 \u00e9t\u00e9")], "item_id bigint, text string")
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    wanted = {i: cut(t) for i, t in [*enumerate(items), (77, "\u00e9t\u00e9 \u00c9T\u00c9 \u00e9t\u00e9")]}
+    shingles = lambda w: {"\n".join(p) for p in zip(w, w[1:])} if len(w) > 1 else set(w)
+    rows = [(d, s, n, cut(t)[s : s + n]) for d, t in enumerate(texts) for n in {len(w) for w in wanted.values()} for s in range(max(1, len(cut(t)) - n + 1))]
+    every = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "window long, d long, s int, n int, w array<string>")
+    bits = lambda df, key: {r[key]: sum(b << (16 * j) for j, b in enumerate(r.blocks)) for r in df.collect()}
+    got_bits = bits(decontam.fingerprints(every.select("window", "w").where("size(w) > 0"), ["window"], "w", 50), "window")
+    item_bits = bits(decontam.fingerprints(spark.createDataFrame(list(wanted.items()), "item long, w array<string>"), ["item"], "w", 50), "item")
+    want = {}
+    for k, (d, s, n, w) in enumerate(rows):
+        for i, x in wanted.items():
+            if len(x) == n and w and (got_bits[k] ^ item_bits[i]).bit_count() <= decontam.RADIUS:
+                p, q = shingles(w), shingles(x)
+                shared = sum(map(len, p & q))
+                similarity = shared / (sum(map(len, p)) + sum(map(len, q)) - shared)
+                if similarity >= 0.5:
+                    want[d, i] = max(want.get((d, i), (0, 0)), (similarity, -s))
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in decontam.find(docs(spark, texts), bench).collect()}
+    assert got == {k: (pytest.approx(v[0]), v[1]) for k, v in want.items()} and len(want) > 60
+    swapped = {k[1] for k, v in want.items() if (k[0] - 25) % 6 == 1}
+    assert {10, 11} <= swapped
+
+
+def test_decontamination_of_null_ids(spark):
+    texts = ["nothing here", "one red fox two", "one blue fox two", "one grey hen two"]
+    bench = spark.createDataFrame([(None, "one red fox"), (None, "one blue fox"), (1, " - ")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontam.find(docs(spark, [*texts, texts[1]], [0, 1, None, 3, 1]), bench).collect()}
+    assert got == {(1, None, 0, 1.0), (None, None, 0, 1.0)}
+    kept = decontam.drop_leaks(docs(spark, texts, [0, 1, None, 3]).withColumns({"th_": F.lit(1), "leak_id_": F.lit(2), "__th": F.lit(3)}), bench)
+    assert {r.doc_id for r in kept.collect()} == {0, 3} and kept.columns[-3:] == ["th_", "leak_id_", "__th"]
+
+
+def test_counters_of_long_windows(spark):
+    """Both widths of counters give the same bits."""
+    rng = random.Random(15)
+    rows = spark.createDataFrame([(i, [rng.choice(VOCAB) for _ in range(n)]) for i, n in enumerate((1, 2, 50, 999))], "i int, w array<string>")
+    narrow, wide = ({r.i: r.blocks for r in decontam.fingerprints(rows, ["i"], "w", n).collect()} for n in (999, 1 << 20))
+    assert narrow == wide
+    long = spark.createDataFrame([(0, ["one"] * 40_000 + ["two"] * 39_999), (1, ["one"])], "i int, w array<string>")
+    got = {r.i: r.blocks for r in decontam.fingerprints(long, ["i"], "w", 79_999).collect()}
+    assert got[0] == got[1]
+
+
+def test_blocks_meet_within_the_radius():
     rng = random.Random(11)
+    near = set(decontam._NEAR)
     for _ in range(300):
-        a = [rng.randrange(16) for _ in range(decontam.BLOCKS)]
-        b = list(a)
+        flips = [0] * decontam.BLOCKS
         for bit in rng.sample(range(128), decontam.RADIUS):
-            b[bit // 4] ^= 1 << (bit % 4)
-        assert any(x == y for x, y in zip(a, b))
+            flips[bit // 16] ^= 1 << (bit % 16)
+        assert any(x in near for x in flips)
 
 
 # --- 9
