@@ -1,51 +1,65 @@
 """Operator 4, near duplicates: random bit-sampling over 256-bit SimHash fingerprints.
 
-A document's fingerprint weighs its distinct words by their length. Documents
-of one fingerprint are one class from the start. Each of ``TABLES`` tables
-samples ``BITS`` random coordinates of the fingerprint; fingerprints that agree
-on a table's sample meet in a bucket and every pair in it is verified by its
-Hamming distance (at most ``RADIUS``). A bucket of more than ``CAP``
-fingerprints is taken apart by additional random bits, in several subtables so
-that near pairs still meet; what is oversized after ``LEVELS`` rounds is
-compared completely, in blocks. Nothing is capped away. Verified links are
-joined into groups by connected components.
+Every distinct word of a document counts alike in its fingerprint. Documents
+of one fingerprint are one class from the start. Several tables sample random
+coordinates of the fingerprint, by ``plan()`` as many as the number of
+fingerprints asks for; fingerprints that agree on a table's sample meet in a
+bucket and every pair in it is verified by its Hamming distance (at most
+``RADIUS``). A bucket of more than ``CAP`` fingerprints is taken apart by
+additional random bits, in several subtables so that near pairs still meet;
+what is oversized after ``LEVELS`` rounds is compared completely, in blocks.
+Nothing is capped away. Verified links are joined into groups by connected
+components.
 
 Defined cases: a null text counts as empty; a text without word characters is
 known by its whole string; equal texts have equal fingerprints; a null doc_id
 is a value that comes before all others; of rows that repeat doc_id and text,
-keep_one() keeps one.
+keep_one() keeps one; long texts are added up in parts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.batches import map_rows, slices
+from lodegraph.llm.batches import fresh, map_rows, slices
+from lodegraph.llm.hot import join_counted
 from lodegraph.operators.components import connected_components
 from lodegraph.storage import materialise, size_checked
 
 RADIUS = 44
-BITS = 18
-TABLES = 96
+#: Bits of a sample, at least, and the fingerprints that a bucket has on average, at most.
+LEAST_BITS = 18
+MEAN_BUCKET = 128
+#: Chance that a pair at the radius agrees on the sample of some table.
+MEET = 0.94
 CAP = 512
 MORE_BITS = 8
 SUBTABLES = 16
 LEVELS = 3
 BLOCK = 2048
+#: Words of one text whose bits are held at once.
+PART = 8192
 _WORD = re.compile(r"[^\W_]+")
 _NULL_ID = -(2**63)
 FP = ["f0", "f1", "f2", "f3"]
 
 
 def _features(text: str) -> set[str]:
-    words = set(_WORD.findall(text.lower()))
-    return {w for w in words if len(w) > 2} or words or {"\0" + text}
+    return set(_WORD.findall(text.lower())) or {"\0" + text}
+
+
+def _bits(words) -> np.ndarray:
+    """(n, 256) bits of the words' hashes."""
+    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=32).digest() for w in words)
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1)
 
 
 def fingerprints(texts: list) -> np.ndarray:
@@ -53,14 +67,19 @@ def fingerprints(texts: list) -> np.ndarray:
     out = np.zeros((len(texts), 4), np.int64)
     texts = [t or "" for t in texts]
     for lo, hi in slices(texts):
+        if hi - lo == 1:  # perhaps a very long one: its words' bits are not held together
+            words = _features(texts[lo])
+            ones, left = np.zeros(256, np.int64), iter(words)
+            while part := list(islice(left, PART)):
+                ones += _bits(part).sum(0, dtype=np.int64)
+            out[lo] = np.packbits(2 * ones > len(words)).view(np.int64)
+            continue
         ids: dict[str, int] = {}
         docs = [np.fromiter((ids.setdefault(w, len(ids)) for w in _features(t)), np.int64) for t in texts[lo:hi]]
-        raw = b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=32).digest() for w in ids)
-        signs = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).astype(np.int16) * 2 - 1
-        signs *= np.fromiter((min(len(w), 12) - 1 if len(w) > 1 else 1 for w in ids), np.int16)[:, None]
+        bits = _bits(ids)
         for i, d in enumerate(docs):
-            total = sum(signs[d[k : k + 8192]].sum(0, dtype=np.int64) for k in range(0, len(d), 8192))
-            out[lo + i] = np.packbits(total > 0).view(np.int64)
+            ones = sum(bits[d[k : k + PART]].sum(0, dtype=np.int64) for k in range(0, len(d), PART))
+            out[lo + i] = np.packbits(2 * ones > len(d)).view(np.int64)
     return out
 
 
@@ -75,16 +94,27 @@ def printed(documents: DataFrame) -> DataFrame:
     return map_rows(rows, "id bigint, th bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint", run)
 
 
-def _samples(level: int) -> np.ndarray:
+def agree(bits: int, distance: int = RADIUS) -> float:
+    """The chance that ``bits`` sampled coordinates miss all that a pair differs in."""
+    return math.comb(256 - distance, bits) / math.comb(256, bits)
+
+
+def plan(n: int) -> tuple[int, int]:
+    """(tables, bits) for ``n`` fingerprints: buckets stay small, the recall at the radius stays ``MEET``; 95 tables of 18 bits up to 2**25."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / MEAN_BUCKET)))
+    return math.ceil(math.log(1 - MEET) / math.log1p(-agree(bits))), bits
+
+
+def _samples(level: int, n: int) -> np.ndarray:
     """(tables, bits) coordinates of a level."""
     rng = np.random.default_rng(977 + level)
-    n, k = (TABLES, BITS) if level == 0 else (SUBTABLES, MORE_BITS)
-    return np.stack([rng.permutation(256)[:k] for _ in range(n)])
+    tables, bits = plan(n) if level == 0 else (SUBTABLES, MORE_BITS)
+    return np.stack([rng.permutation(256)[:bits] for _ in range(tables)])
 
 
-def _buckets(rows: DataFrame, level: int) -> DataFrame:
+def _buckets(rows: DataFrame, level: int, n: int) -> DataFrame:
     """Rows of (bucket, fid, f0..f3), once for every table of the level below their bucket."""
-    sample = _samples(level)
+    sample = _samples(level, n)
 
     def run(batches):
         for b in batches:
@@ -93,7 +123,7 @@ def _buckets(rows: DataFrame, level: int) -> DataFrame:
             prior = b.column("bucket").to_numpy().view(np.uint64)
             for t, at in enumerate(sample):
                 key = (bits[:, at] << np.arange(len(at), dtype=np.uint64)).sum(1, dtype=np.uint64)
-                key = (prior * np.uint64(0x9E3779B97F4A7C15)) ^ (key * np.uint64(128) + np.uint64(t + 1))
+                key = (prior * np.uint64(0x9E3779B97F4A7C15)) ^ (key * np.uint64(len(sample) + 1) + np.uint64(t + 1))
                 if level:  # mixed, since prior buckets take all 64 bits
                     key ^= key >> np.uint64(29)
                     key *= np.uint64(0xBF58476D1CE4E5B9)
@@ -145,9 +175,10 @@ def _met(rows: DataFrame) -> DataFrame:
 def links(classes: DataFrame) -> DataFrame:
     """(a, b, distance): pairs of different fingerprints within the radius that met in a bucket."""
     rows = classes.select(F.lit(0).cast("bigint").alias("bucket"), "fid", *FP)
+    n = rows.count()
     parts = []
     for level in range(LEVELS):
-        keyed = _buckets(rows, level)
+        keyed = _buckets(rows, level, n)
         wide = materialise(keyed.groupBy("bucket").count().where(F.col("count") > CAP), "wide")
         n_wide = wide.count()
         if not n_wide:
@@ -179,24 +210,27 @@ def groups(documents: DataFrame) -> DataFrame:
     both = linked.select("a", "b").union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes.select(F.col("fid").alias("b"), "members"), "b").groupBy(F.col("a").alias("fid")).agg(F.sum("members").alias("others"))
     whole = classes.join(component.withColumnRenamed("id", "fid"), "fid", "left").join(others, "fid", "left")
-    whole = whole.select("fid", *FP, "first", F.coalesce("component", "fid").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    heads = whole.groupBy("component").agg(F.min("first").alias("head"))
-    whole = materialise(whole.join(heads, "component").select(*FP, F.col("head.id").alias("class_id"), F.col("head.th").alias("class_th"), "n_links"), "simhash")
-    return rows.join(whole, FP)
+    whole = whole.select("fid", *FP, "first", "members", F.coalesce("component", "fid").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    whole = materialise(whole, "simhash")
+    heads = materialise(whole.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n")), "simhash")
+    whole = join_counted(whole, heads, ["component"], "n", classes.count(), F.xxhash64("fid"))
+    whole = materialise(whole.select(*FP, F.col("head.id").alias("class_id"), F.col("head.th").alias("class_th"), "n_links", "members"), "simhash")
+    return join_counted(rows, whole, FP, "members", rows.count(), F.xxhash64("id", "th")).drop("members")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id; all columns as they were."""
     found = groups(documents).where("id = class_id and th = class_th").groupBy("id", "th").agg(F.count("*").alias("n"))
     keep = materialise(found, "keep")
-    tagged = documents.withColumns({"__id": F.coalesce("doc_id", F.lit(_NULL_ID)), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    match = [F.col("__id") == F.col("__kept_id"), F.col("__th") == F.col("__kept_th")]
-    named = [F.col("id").alias("__kept_id"), F.col("th").alias("__kept_th")]  # no clash with columns of the input
+    own_id, own_th, kept_id, kept_th = fresh(documents, "id", "th", "kept_id", "kept_th")
+    tagged = documents.withColumns({own_id: F.coalesce("doc_id", F.lit(_NULL_ID)), own_th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    match = [F.col(own_id) == F.col(kept_id), F.col(own_th) == F.col(kept_th)]
+    named = [F.col("id").alias(kept_id), F.col("th").alias(kept_th)]
     single = tagged.join(size_checked(keep.where("n = 1").select(*named), 40), match, "left_semi")
     repeated = keep.where("n > 1").select(*named)
     if repeated.isEmpty():
         return single.select(*documents.columns)
-    again = tagged.join(size_checked(repeated, 40), match, "left_semi").dropDuplicates(["__id", "__th"])
+    again = tagged.join(size_checked(repeated, 40), match, "left_semi").dropDuplicates([own_id, own_th])
     return single.unionByName(again).select(*documents.columns)
 
 

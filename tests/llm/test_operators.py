@@ -135,6 +135,49 @@ def test_simhash_links(spark, corpus):
     assert {i: r.n_links for i, r in got.items()} == {i: int(near[i].sum()) - 1 for i in range(len(f))}
 
 
+def test_simhash_reads_every_word(spark, monkeypatch):
+    texts = ["12 34 56 78 total", "90 11 22 33 total", "aa bb total", "of to in at a b c total", "of to in at a b c d e f g total"]
+    d = np.bitwise_count(simhash.fingerprints(texts).view(np.uint64)[:, None] ^ simhash.fingerprints(texts).view(np.uint64)[None]).sum(2)
+    assert (d[~np.eye(5, dtype=bool)] > simhash.RADIUS).all()
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == [0, 1, 2, 3, 4]
+    long = " ".join(f"w{i}" for i in range(30_000))
+    whole = simhash.fingerprints([long, "x"])
+    monkeypatch.setattr(simhash, "PART", 100)
+    assert (simhash.fingerprints([long]) == whole[0]).all()
+
+
+def test_simhash_recall_on_edited_copies(spark):
+    """Of 400 copies of long texts with 3, 6 and 10 % of their words replaced: those whose class holds their original, and no others."""
+    rng = random.Random(31)
+    base = [prose(rng, rng.randint(80, 300)) for _ in range(200)]
+    copies = [(i % 200, " ".join(w if rng.random() > (0.03, 0.06, 0.1)[i % 3] else rng.choice(VOCAB) for w in base[i % 200].split(" "))) for i in range(400)]
+    got = {r.id: r.class_id for r in simhash.groups(docs(spark, base + [t for _, t in copies])).collect()}
+    assert all(got[i] == i for i in range(200))
+    assert sum(got[200 + k] == b for k, (b, _) in enumerate(copies)) >= 0.95 * len(copies)
+
+
+def test_plan_keeps_the_recall():
+    for n in (1, 10**6, 10**8, 10**10):
+        tables, bits = simhash.plan(n)
+        assert n / 2**bits <= max(simhash.MEAN_BUCKET, n / 2**simhash.LEAST_BITS) and 1 - (1 - simhash.agree(bits)) ** tables >= simhash.MEET
+
+
+def test_join_counted_spreads_hot_keys(spark, monkeypatch):
+    from lodegraph.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", 50)
+    rows = spark.range(300).select((F.col("id") % 3 * (F.col("id") % 50)).alias("k"), F.col("id").alias("v"))
+    table = rows.groupBy("k").agg(F.count("*").alias("c")).where("k != 4").withColumn("x", F.col("k") * 2)
+    got = hot.join_counted(rows, table, ["k"], "c", 300, F.xxhash64("v"))
+    assert got.columns == ["k", "v", "c", "x"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table, "k").select("k", "v", "c", "x").collect()))
+    assert table.where("c >= 50").count() == 1
+    # a thousand copies of one document: their rows of a hot key go to all of 8 tasks
+    copies = spark.range(1000).select(F.lit(1).cast("bigint").alias("k"), "id")
+    spread = copies.select(F.pmod(F.hash(F.xxhash64("id")), F.lit(8)).alias("task")).groupBy("task").count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 250
+
+
 def test_simhash_oversized_buckets(spark, monkeypatch):
     rng = random.Random(9)
     base = prose(rng, 120).split(" ")
