@@ -156,7 +156,8 @@ def find(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     marked = materialise(fingerprints(placed, ["window"], "w", widest), "windows")
     near = F.explode(F.expr(f"transform(array({', '.join(map(str, _NEAR))}), m -> v ^ m)")).alias("v")
     keys = items.select("item", "size", F.posexplode("blocks").alias("j", "v")).select("item", "size", "j", near)
-    met = marked.select("window", "size", "blocks", F.posexplode("blocks").alias("j", "v")).join(keys, ["size", "j", "v"])
+    # 5,576 keys an item, of which the optimizer's estimate knows nothing
+    met = marked.select("window", "size", "blocks", F.posexplode("blocks").alias("j", "v")).join(keys.hint("merge"), ["size", "j", "v"])
     met = met.join(size_checked(items.select("item", F.col("blocks").alias("ib")), 96), "item")
     met = met.withColumn("hamming", F.aggregate(F.zip_with("blocks", "ib", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x))
     met = met.where(F.col("hamming") <= RADIUS).select("window", "item", "hamming").distinct()
