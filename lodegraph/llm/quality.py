@@ -124,9 +124,9 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS)
     )
     # at most max_rows pairs of numbers, so this side can be sent to every executor
     texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "__y", "text")
-    rows = map_rows(texts, "doc_id bigint, y int, x array<double>", lambda i, y, t: {"doc_id": i, "y": y, "x": [features(v) for v in t]}).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    kept = {r.doc_id: r for r in rows}.values()  # one row of a repeated doc_id
+    rows = map_rows(texts, "doc_id bigint, y int, x array<double>", lambda i, y, t: {"doc_id": i, "y": y, "x": [features(v) for v in t]})
+    kept = rows.groupBy("doc_id").agg(F.max(F.struct("x", "y")).alias("r")).select("doc_id", "r.x", "r.y").collect()  # one of a repeated doc_id
+    kept.sort(key=lambda r: r.doc_id)
     return fit(np.array([r.x for r in kept]).reshape(-1, len(NAMES)), np.array([r.y for r in kept], float))
 
 

@@ -4,16 +4,21 @@ Every window of ``WINDOW`` words has one anchor: the eight-word sequence of
 smallest hash in it, the leftmost of equals. Equal windows have equal anchors at
 equal places, so only suffixes that start at anchors need to be in a tree.
 
-1. Anchors are counted by their eight-word prefix; a bitmap of bounded size
-   holds the prefixes that occur more than once.
+1. Anchors are counted by their eight-word prefix. Those whose prefix repeats
+   are told by a bitmap of bounded size, or, when the repeated prefixes outgrow
+   it, by a join of the anchors with them.
 2. Suffixes with such a prefix go, with the words to their left, to the group
    of their prefix. A group's suffixes are sorted and their longest common
    prefixes taken, to the right and to the left: the intervals of common
    prefixes are the internal nodes of the two trees. Suffixes that share a node
    of depth 35 - d to the right and one of depth d to the left repeat the window
-   that starts d words before the anchor. Each word is compared by a 64-bit hash.
-3. Groups of more than ``GROUP`` suffixes get the longest prefixes there are:
-   the whole windows, counted with partial aggregation, in no one's memory.
+   that starts d words before the anchor. Words are compared as they are; hashes
+   only choose anchors and gather groups.
+3. Prefixes of more than ``GROUP`` suffixes are lengthened: all windows that
+   start lo to hi words before an anchor share the 35 - (hi - lo) words from lo
+   before it, so that the suffixes are grouped by these words for four ranges of
+   starts, and where that is still too many, by all 35 words for each start. A
+   group of equal windows needs no tree: it is counted, with partial aggregation.
 
 All occurrences of a repeated window are removed, as judged on the input.
 
@@ -26,7 +31,9 @@ doc_id is a value.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from collections import defaultdict
+from functools import reduce
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +44,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodegraph.llm.batches import slices
-from lodegraph.storage import materialise, size_checked
+from lodegraph.llm.hot import join_counted
+from lodegraph.storage import drop, materialise, size_checked
 
 WINDOW = 35
 PREFIX = 8
@@ -47,16 +55,15 @@ GROUP = 20_000
 #: Bits of the bitmap: 16 for each repeated prefix, between these bounds (the upper is 32 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
+#: Windows starts that share a prefix: all of an anchor's, four ranges of them, single ones.
+WIDTHS = (SPREAD, SPREAD // 4, 1)
+#: Words whose hashes a worker remembers.
+REMEMBERED = 300_000
+
 _rng = np.random.default_rng(35)
-_VALUE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(1, 2**63, PREFIX, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
-_CHUNK = 1 << 18
-_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+SUFFIX = "doc_id bigint, th bigint, pos int, lo int, key bigint, before binary, after binary"
+FOUND = "doc_id bigint, th bigint, pos int, mask bigint"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,31 +72,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit hash for every word of ``raw``, and where the words start."""
-    out, starts = [], []
-    lo = 0
-    while lo < len(raw):
-        hi = min(len(raw), lo + _CHUNK)
-        if hi < len(raw):  # end a chunk behind white space; a single longer word makes a longer chunk
-            back = max(raw.rfind(c, lo, hi) for c in _SPACES)
-            if back < lo:
-                ahead = [p for p in (raw.find(c, hi) for c in _SPACES) if p >= 0]
-                back = min(ahead, default=len(raw) - 1)
-            hi = back + 1
-        a = np.frombuffer(raw, np.uint8, hi - lo, lo)
-        if not _powers or len(_powers[0]) <= len(a):
-            n = max(_CHUNK, len(a)) + 1
-            _powers[:] = [np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
-        space = _SPACE[a]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
-        start, end = edge[::2], edge[1::2]
-        total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_VALUE[a] * _powers[0][: len(a)], out=total[1:])
-        out.append(_mixed((total[end] - total[start]) * _powers[1][start] + (end - start).astype(np.uint64)))
-        starts.append(start + lo)
-        lo = hi
-    return (np.concatenate(out), np.concatenate(starts)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+class _Hashes(dict):
+    """A strong 64-bit hash for every word, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return got
+
+
+_hashes = _Hashes()
 
 
 def _least(gram: np.ndarray, width: int) -> np.ndarray:
@@ -103,16 +96,15 @@ def _least(gram: np.ndarray, width: int) -> np.ndarray:
     return p
 
 
-def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word position, prefix hash) of every anchor."""
-    h, starts = _word_hashes(b"\n".join(raws))
+def _anchors(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word position, prefix hash) of every anchor of texts cut into words."""
+    sizes = np.array([len(w) for w in texts], np.int64)
+    n = int(sizes.sum()) - PREFIX + 1
     none = np.zeros(0, np.int64)
-    if len(h) < WINDOW:
+    if n < SPREAD:
         return none, none, np.zeros(0, np.uint64)
-    ends = (np.array([len(r) + 1 for r in raws])).cumsum()
-    owner = np.searchsorted(ends, starts, "right")
-    first = np.searchsorted(owner, np.arange(len(raws)), "left")
-    n = len(h) - PREFIX + 1
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(texts)), np.uint64, n + PREFIX - 1)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     gram = np.zeros(n, np.uint64)
     for j in range(PREFIX):
         gram += h[j : j + n] * _MIX[j]
@@ -120,161 +112,229 @@ def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     least = _least(gram, SPREAD)
     at = least[owner[: len(least)] == owner[WINDOW - 1 :]]  # windows inside one text
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # places never fall
+    first = sizes.cumsum() - sizes
     return owner[at], at - first[owner[at]], gram[at]
 
 
-def _raw(texts: list) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in texts]
+def _words(texts: list) -> list[list[bytes]]:
+    return [(t or "").encode("utf-8", "replace").split() for t in texts]
 
 
-def _prefixes(documents: DataFrame) -> DataFrame:
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+
+
+def _anchor_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, th, pos, key of every anchor."""
+
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
+            ids, ths, texts = b.column("doc_id"), b.column("th"), b.column("text").to_pylist()
             for lo, hi in slices(texts):
-                keys = _anchors(_raw(texts[lo:hi]))[2]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+                owner, pos, key = _anchors(_words(texts[lo:hi]))
+                at = pa.array(owner + lo)
+                yield pa.RecordBatch.from_arrays([ids.take(at), ths.take(at), pa.array(pos, pa.int32()), pa.array(key.view(np.int64))], ["doc_id", "th", "pos", "key"])
 
-    return documents.select("text").mapInArrow(run, "key bigint")
+    return _keyed(documents).mapInArrow(run, "doc_id bigint, th bigint, pos int, key bigint")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+def _around(i: int | None, th: int, words: list[bytes], pos: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """The suffixes of one text at ``pos``, with the words before them that a window can hold."""
+    at = pos.tolist()
+    n = len(at)
+    before = [b" ".join(words[max(0, p - SPREAD + 1) : p]) for p in at]
+    after = [b" ".join(words[p : p + WINDOW]) for p in at]
+    columns = [pa.array([i] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(at, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(key.view(np.int64)), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "pos", "lo", "key", "before", "after"])
+
+
+def _gathered(parts, least: int = 2000):
+    """Small record batches as fewer ones."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += p.num_rows
+        if n >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _suffixes(documents: DataFrame, bitmap, bits: int) -> DataFrame:
-    """doc_id, th, pos, key, before, after: anchors whose prefix may repeat, with the words around them."""
+    """The suffixes at anchors whose prefix may repeat, by the bitmap."""
 
-    def run(batches):
+    def parts(batches):
         flags = np.frombuffer(bitmap.value, np.uint8)
         for b in batches:
             ids, ths, texts = (b.column(c).to_pylist() for c in ("doc_id", "th", "text"))
             for lo, hi in slices(texts):
-                raws = _raw(texts[lo:hi])
-                owner, pos, key = _anchors(raws)
+                words = _words(texts[lo:hi])
+                owner, pos, key = _anchors(words)
                 bit = key & np.uint64(bits - 1)
                 seen = (flags[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 owner, pos, key = owner[seen], pos[seen], key[seen]
                 cut = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1, [len(owner)]]) if len(owner) else [0]
                 for i, j in zip(cut[:-1], cut[1:]):
                     o = int(owner[i])
-                    words = raws[o].split()
-                    at = pos[i:j].tolist()
-                    before = [b" ".join(words[max(0, p - SPREAD + 1) : p]) for p in at]
-                    after = [b" ".join(words[p : p + WINDOW]) for p in at]
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[lo + o]] * n, pa.int64()), pa.array([ths[lo + o]] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(key[i:j].view(np.int64)), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
-                        ["doc_id", "th", "pos", "key", "before", "after"],
-                    )
+                    yield _around(ids[lo + o], ths[lo + o], words[o], pos[i:j], key[i:j])
+
+    return _keyed(documents).mapInArrow(lambda batches: _gathered(parts(batches)), SUFFIX)
+
+
+def _joined_suffixes(documents: DataFrame, counts: DataFrame) -> DataFrame:
+    """The suffixes at anchors whose prefix repeats, by a join of all anchors with the repeated prefixes."""
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    hit = join_counted(_anchor_rows(documents), counts, ["key"], "c", total, F.xxhash64("doc_id", "th", "pos"))
+    spots = hit.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_set(F.struct("pos", "key")).alias("spots"))
+    docs = _keyed(documents).join(spots, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", F.sort_array("spots").alias("spots"))
+
+    def parts(batches):
+        for b in batches:
+            for i, th, text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text", "spots"))):
+                pos, key = np.array([x["pos"] for x in spots]), np.array([x["key"] for x in spots])
+                yield _around(i, th, _words([text])[0], pos, key)
 
-    return _keyed(documents).mapInArrow(run, "doc_id bigint, th bigint, pos int, key bigint, before binary, after binary")
+    return docs.mapInArrow(lambda batches: _gathered(parts(batches)), SUFFIX)
 
 
-def _classes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lengthened(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (suffixes for starts from lo on) for ranges of ``width`` starts, keyed by the words that their windows share."""
+    span = WIDTHS[WIDTHS.index(width) - 1]
+
+    def parts(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for i, th, pos, first, left, right in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "pos", "lo", "before", "after"))):
+                before, after = left.split(), right.split()
+                for lo in range(first, min(first + span, SPREAD), width):
+                    hi = lo + width - 1
+                    if lo <= len(before) and WINDOW - hi <= len(after):
+                        key = hashlib.blake2b(b" ".join(before[len(before) - lo :] + after[: WINDOW - hi]), digest_size=16, salt=lo.to_bytes(2, "little")).digest()
+                        rest = (b"", b"") if width == 1 else (b" ".join(before[-hi:]), b" ".join(after[: WINDOW - lo]))
+                        out.append((i, th, pos, lo, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), *rest))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "th", "pos", "lo", "key", "key2", "before", "after"])
+
+    return rows.select("doc_id", "th", "pos", "lo", "before", "after").mapInArrow(parts, SUFFIX.replace("key bigint,", "key bigint, key2 bigint,"))
+
+
+def _order(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of the rows of ``m`` and, in that order, the common prefix of each row with the one before."""
-    order = np.lexsort(m.T[::-1])
+    order = np.argsort(np.ascontiguousarray(m.astype(">u4")).view(f"V{4 * m.shape[1]}").ravel())
     s = m[order]
     differ = s[1:] != s[:-1]
     common = np.where(differ.any(1), differ.argmax(1), m.shape[1])
     return order, np.concatenate([[0], common])
 
 
-def _matrix(texts: list[bytes], width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of short texts as rows (reversed, if asked), 0 behind the last word; and the numbers of words."""
-    h, starts = _word_hashes(b"\n".join(texts))
-    owner = np.searchsorted((np.array([len(x) + 1 for x in texts])).cumsum(), starts, "right")
-    sizes = np.bincount(owner, minlength=len(texts))
-    at = np.arange(len(h)) - (sizes.cumsum() - sizes)[owner]
-    m = np.zeros((len(texts), width), np.uint64)
-    m[owner, sizes[owner] - 1 - at if backwards else at] = h | np.uint64(1)
+def _matrix(texts: list[bytes], width: int, backwards: bool, ids: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of short texts as rows (reversed, if asked), 0 behind the last word; and how many there are."""
+    words = [t.split() for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.uint32, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(flat)) - (sizes.cumsum() - sizes)[owner]
+    m = np.zeros((len(texts), width), np.uint32)
+    m[owner, sizes[owner] - 1 - at if backwards else at] = flat + 1
     return m, sizes
 
 
-def _repeated(keys: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
-    """For each suffix the set, as bits d, of repeated windows that start d words before it."""
+def _repeated(keys: np.ndarray, lo: np.ndarray, width: int, before: list[bytes], after: list[bytes]) -> np.ndarray:
+    """For each suffix the set, as bits d, of repeated windows that start d words before it, lo <= d < lo + width."""
     n = len(keys)
-    top = keys.view(np.uint64)[:, None]
-    right, n_right = _matrix(after, WINDOW, False)
-    left, n_left = _matrix(before, SPREAD - 1, True)
-    (ro, rc), (lo, lc) = (_classes(np.concatenate([top, m], 1)) for m in (right, left))
+    ids: defaultdict = defaultdict()
+    ids.default_factory = ids.__len__
+    top = np.unique(keys, return_inverse=True)[1].astype(np.uint32)[:, None]
+    right, n_right = _matrix(after, WINDOW, False, ids)
+    left, n_left = _matrix(before, SPREAD - 1, True, ids)
+    (ro, rc), (lf, lc) = (_order(np.concatenate([top, m], 1)) for m in (right, left))
     mask = np.zeros(n, np.int64)
     node, leaf = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(SPREAD):
-        fit = np.flatnonzero((n_right >= WINDOW - d) & (n_left >= d))
+        fit = np.flatnonzero((n_right >= WINDOW - d) & (n_left >= d) & (lo <= d) & (d < lo + width))
+        if len(fit) < 2:
+            continue
         node[ro] = (rc < WINDOW - d + 1).cumsum()  # nodes at depth 35 - d of the right tree, the prefix's key above them
-        leaf[lo] = (lc < d + 1).cumsum()
+        leaf[lf] = (lc < d + 1).cumsum()
         pair = (node * (n + 2) + leaf)[fit]
         order = np.argsort(pair)
         same = pair[order[1:]] == pair[order[:-1]]
-        hit = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(fit) else same
+        hit = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         mask[fit[order[hit]]] |= 1 << d
     return mask
 
 
-def _trees(batches):
-    """Suffixes that come sorted by key -> doc_id, th, pos, mask."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _trees(rows: DataFrame, width: int) -> DataFrame:
+    """doc_id, th, pos, mask: what the trees of each group say."""
 
     def done(t: pa.Table):
-        mask = _repeated(t.column("key").to_numpy(), t.column("before").to_pylist(), t.column("after").to_pylist())
+        mask = _repeated(t.column("key").to_numpy(), t.column("lo").to_numpy(), width, t.column("before").to_pylist(), t.column("after").to_pylist())
         t = t.select(["doc_id", "th", "pos"]).append_column("mask", pa.array(mask)).filter(pa.array(mask > 0))
         yield from t.combine_chunks().to_batches()
 
-    for b in batches:
-        held.append(b)
-        size += b.num_rows
-        if size >= 30_000:
-            t = pa.Table.from_batches(held)
-            keys = t.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            if cut:
-                yield from done(t.slice(0, cut))
-            held, size = t.slice(cut).to_batches(), len(t) - cut
-    if size:
-        yield from done(pa.Table.from_batches(held))
-
-
-def _wide(suffixes: DataFrame) -> DataFrame:
-    """doc_id, th, pos, mask for groups of any size: whole windows are counted."""
-
     def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            for i, t, p, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "pos", "before", "after"))):
-                left, right = x.split(), y.split()
-                d = [k for k in range(SPREAD) if k <= len(left) and WINDOW - k <= len(right)]
-                win = [b" ".join((left[len(left) - k :] if k else []) + right[: WINDOW - k]) for k in d]
-                h = [hashlib.blake2b(w, digest_size=16).digest() for w in win]
-                n = len(d)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array([p] * n, pa.int32()), pa.array(d, pa.int32()), pa.array(h, pa.binary())], ["doc_id", "th", "pos", "d", "h"])
-
-    each = suffixes.select("doc_id", "th", "pos", "before", "after").mapInArrow(run, "doc_id bigint, th bigint, pos int, d int, h binary")
-    twice = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    hit = each.withColumn("salt", F.pmod("th", F.lit(16)).cast("int")).join(twice, ["h", "salt"])
-    return hit.groupBy("doc_id", "th", "pos").agg(F.bit_or(F.expr("shiftleft(1L, d)")).alias("mask"))
+            held.append(b)
+            size += b.num_rows
+            if size >= 30_000:
+                t = pa.Table.from_batches(held)
+                keys = t.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1], "left"))
+                if cut:
+                    yield from done(t.slice(0, cut))
+                held, size = t.slice(cut).to_batches(), len(t) - cut
+        if size:
+            yield from done(pa.Table.from_batches(held))
+
+    return rows.select("doc_id", "th", "pos", "lo", "key", "before", "after").repartition("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
+
+
+def _equal_windows(rows: DataFrame) -> DataFrame:
+    """doc_id, th, pos, mask of rows keyed by single whole windows."""
+    each = rows.select("doc_id", "th", "pos", "lo", "key", "key2")
+    twice = materialise(each.groupBy("key", "key2").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    total = twice.agg(F.sum("c")).first()[0] or 0
+    hit = join_counted(each, twice, ["key", "key2"], "c", total, F.xxhash64("doc_id", "th", "pos"))
+    return hit.select("doc_id", "th", "pos", F.expr("shiftleft(1L, lo)").alias("mask"))
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
-    """doc_id, th, pos, mask: bit d says that the window that starts at word pos - d repeats."""
+    """doc_id, th, pos, mask: bit d says that the window that starts at word pos - d repeats; several rows for a pos are joined by or."""
     spark = documents.sparkSession
-    counts = materialise(_prefixes(documents).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "prefix")
+    counts = materialise(_anchor_rows(documents).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "prefix")
     n = counts.count()
-    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * n).bit_length()))
-    place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1  # bitmap functions count from one
-    parts = counts.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("flags"))
-    whole = bytearray(bits // 8)
-    for r in parts.toLocalIterator():  # at most MOST_BITS bits in all
-        i = (r.bucket - 1) * 4096
-        whole[i : i + 4096] = r.flags[: len(whole) - i]
-    bitmap = spark.sparkContext.broadcast(bytes(whole))
-    suffixes = _suffixes(documents, bitmap, bits)
+    bits = max(LEAST_BITS, 1 << (16 * n).bit_length())
+    if bits > MOST_BITS:
+        suffixes = _joined_suffixes(documents, counts)
+    else:
+        place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1  # bitmap functions count from one
+        parts = counts.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("flags"))
+        whole = bytearray(bits // 8)
+        for r in parts.toLocalIterator():  # at most MOST_BITS bits in all
+            i = (r.bucket - 1) * 4096
+            whole[i : i + 4096] = r.flags[: len(whole) - i]
+        suffixes = _suffixes(documents, spark.sparkContext.broadcast(bytes(whole)), bits)
     wide = materialise(counts.where(F.col("c") > GROUP).select("key"), "wide")
-    if not wide.isEmpty():
+    if wide.isEmpty():
+        return materialise(_trees(suffixes, SPREAD), "windows")
+    # written once, since both the groups that fit and the wide ones read it
+    suffixes = materialise(suffixes, "suffixes")
+    found = []
+    rows = suffixes
+    for width, longer in zip(WIDTHS, WIDTHS[1:]):
         big = size_checked(wide, 24)
-        found = suffixes.join(big, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "doc_id bigint, th bigint, pos int, mask bigint")
-        return materialise(found.unionByName(_wide(materialise(suffixes.join(big, "key", "left_semi"), "wide"))), "windows")
-    return materialise(suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "doc_id bigint, th bigint, pos int, mask bigint"), "windows")
+        found.append(materialise(_trees(rows.join(big, "key", "left_anti"), width), "windows"))
+        rows = _lengthened(rows.join(big, "key", "left_semi"), longer)
+        if longer == 1:
+            break
+        wide = materialise(rows.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "wide")
+    found.append(materialise(_equal_windows(rows), "windows"))
+    drop(suffixes)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _kept(text: str | None, pos: np.ndarray | None, mask: np.ndarray | None) -> tuple[int, int, bytes]:
@@ -282,7 +342,7 @@ def _kept(text: str | None, pos: np.ndarray | None, mask: np.ndarray | None) ->
     words = (text or "").encode("utf-8", "replace").split()
     if pos is None or not len(pos):
         return len(words), 0, b" ".join(words)
-    at, d = np.nonzero((mask[:, None] >> np.arange(SPREAD)) & 1)
+    at, d = np.nonzero((mask[:, None] >> np.arange(SPREAD)) & 1)  # the same window may come twice
     start = pos[at] - d
     change = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + WINDOW, minlength=len(words) + 1)
     left = change.cumsum()[:-1] == 0

@@ -379,29 +379,44 @@ def plain_windows(texts, w=35):
     return out
 
 
-@pytest.mark.parametrize("group", [20_000, 3])
-def test_substrings(spark, corpus, monkeypatch, group):
+@pytest.mark.parametrize("group, bits", [(20_000, 1 << 28), (3, 1 << 28), (6, 1)])
+def test_substrings(spark, corpus, monkeypatch, group, bits):
     monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "MOST_BITS", bits)  # 1: joins instead of the bitmap
     rng = random.Random(12)
     few = [" ".join(rng.choice(["a", "b"]) for _ in range(rng.randint(30, 80))) for _ in range(12)]
-    texts = [*corpus, *few, "z " * 34, "y " * 36, " ".join(VOCAB[:60]), "w" * 400_000 + " end"]
+    passage = " ".join(rng.choice(VOCAB) for _ in range(45))
+    around = [" ".join([*(rng.choice(VOCAB) for _ in range(rng.randint(0, 40))), passage, *(rng.choice(VOCAB) for _ in range(rng.randint(0, 40)))]) for _ in range(30)]
+    texts = [*corpus, *few, *around, "z " * 34, "y " * 36, " ".join(VOCAB[:60]), "w" * 400_000 + " end"]
     got = by_id(substrings.dedup(docs(spark, texts, extra=True)), "text")
     assert got == dict(enumerate(plain_windows(texts)))
-    again = substrings.dedup(docs(spark, [corpus[3] + " " + " ".join(VOCAB[:40])] * 2, [1, 1])).collect()
-    assert [r.text for r in again] == ["", ""]
+    again = substrings.dedup(docs(spark, [corpus[3] + " " + " ".join(VOCAB[:40])] * 2 + [None], [1, None, None])).collect()
+    assert [r.text for r in again] == ["", "", ""]
+    twice = substrings.dedup(docs(spark, [corpus[3] + " " + " ".join(VOCAB[:40])] * 2, [1, 1])).collect()
+    assert [r.text for r in twice] == ["", ""]
     assert substrings.dedup(docs(spark, [])).count() == 0
 
 
-def test_word_hash_chunks(monkeypatch):
-    text = ("ab cde\tf \n" * 50 + "q" * 300 + "  end").encode()
-    whole = substrings._word_hashes(text)
-    monkeypatch.setattr(substrings, "_CHUNK", 64)
-    substrings._powers.clear()
-    parts = substrings._word_hashes(text)
-    words = text.split()
-    assert (whole[1] == parts[1]).all() and len(whole[0]) == len(words)
-    assert len(set(whole[0].tolist())) == len(set(parts[0].tolist())) == len(set(words))
-    substrings._powers.clear()
+def test_words_of_equal_polynomials_differ(spark):
+    """Words that every polynomial hash modulo 2**64 takes for equal."""
+    def word(bit):
+        out = [bit]
+        while len(out) < 2048:
+            out += [1 - x for x in out]
+        return "".join("ab"[x] for x in out)
+
+    common = VOCAB[:40]
+    texts = [" ".join([*common[:20], word(i), *common[20:]]) for i in (0, 1)]
+    got = by_id(substrings.dedup(docs(spark, texts)), "text")
+    assert got == dict(enumerate(texts))
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    words = [[f"w{i % 7}".encode() for i in range(90)], [f"w{i % 11}".encode() for i in range(90)]]
+    whole = substrings._anchors(words)
+    monkeypatch.setattr(substrings, "REMEMBERED", 3)
+    assert all((x == y).all() for x, y in zip(whole, substrings._anchors(words)))
+    substrings._hashes.clear()
 
 
 # --- 10
