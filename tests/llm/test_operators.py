@@ -74,6 +74,121 @@ def test_pii_learns_contexts(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def plain_candidates(t):
+    """All spans and contexts by plain scans of the words."""
+    words = [m.span() for m in re.finditer(r"\S+", t)]
+    base = plain_spans(t)
+    shaped, last = [], None
+    for a, z in words:
+        s, e = a, z
+        while e > s and t[e - 1] in pii._EDGE:
+            e -= 1
+        s = max([s, *(i + 1 for i in range(s, e) if t[i] in "=\"':(")])
+        while s < e and t[s] in pii._EDGE:
+            s += 1
+        if not any(c in "0123456789@" for c in t[a:z]):
+            last = None
+        elif s == e or any(x < e and s < y for x, _, y in base):
+            last = None
+        elif last and all(c in "0123456789()+./-" for c in t[s:e]) and a == last + 1 and t[last] == " " and t[shaped[-1][1] : s].replace("(", "").replace(")", "") == " ":
+            shaped[-1] = (shaped[-1][0], e)
+            last = z
+        else:
+            shaped.append((s, e))
+            last = z if all(c in "0123456789()+./-" for c in t[s:e]) else None
+    spots = [(s, e, k) for s, k, e in base] + [(s, e, -1) for s, e in shaped if e - s >= 5]
+    fold = lambda w: re.sub("[0-9]+", "0", w.lower())
+    out = []
+    for s, e, k in spots:
+        floor = max([y for _, y, _ in spots if y <= s], default=0)
+        roof = min([x for x, _, _ in spots if x >= e], default=len(t))
+        if floor and not any(c.isspace() for c in t[floor:s]):
+            left = [t[floor:s]] if s > floor else []
+            glued = True
+        else:
+            left, glued = t[:s].split()[-2:], s > 0 and not t[s - 1].isspace()
+        left = left if glued or left and left[-1] in ("=", ":", ":=") else left[-1:]
+        right = t[e:].split()[:1]
+        if right and t[e : e + 1] == right[0][:1] and roof - e < len(right[0]):
+            right = [t[e:roof]]
+        out.append((s, e, k, t[s:e].lower(), fold(" ".join(left)), fold("".join(right))))
+    return out
+
+
+def plain_bootstrap(texts, least=5, confidence=0.8):
+    found = [plain_candidates(t) for t in texts]
+    shapes = lambda c: [x for x in ("L " + c[4] if c[4] else "", "B " + c[4] + " _ " + c[5] if c[4] and c[5] else "") if x]
+    edges = {(c[3], c[2], p) for cs in found for c in cs for p in shapes(c)}
+    size = Counter(p for _, p in {(i, p) for i, _, p in edges})
+    seeds = {(i, k): 1.0 for i, k, _ in edges if k >= 0}
+    weights, accepted = dict(seeds), {}
+    for _ in range(3):
+        votes = defaultdict(float)
+        for i, _, p in edges:
+            for k in range(4):
+                votes[p, k] += weights.get((i, k), 0)
+        accepted = {}
+        for (p, k), v in votes.items():
+            if v >= least and v / size[p] >= confidence and (p not in accepted or (v / size[p], -k) > (accepted[p][1], -accepted[p][0])):
+                accepted[p] = (k, v / size[p])
+        weights = dict(seeds)
+        for i, k, p in edges:
+            if k < 0 and p in accepted:
+                at = (i, accepted[p][0])
+                weights[at] = max(weights.get(at, 0), accepted[p][1])
+    out = []
+    for cs in found:
+        spans = [(s, k, e) for s, e, k, *_ in cs if k >= 0]
+        for c in cs:
+            best = max(((accepted[p][1], -accepted[p][0]) for p in shapes(c) if p in accepted), default=None)
+            if c[2] < 0 and best:
+                spans.append((c[0], -best[1], c[1]))
+        out.append(spans)
+    return out
+
+
+def test_candidates_against_plain_scans():
+    rng = random.Random(33)
+    parts = ["a@b.c", "10.0.0.1", "+49 170 1234567", "tel:", "id", "=", "12", "345", "(0151)", "x1y2z3", " ", " ", "\n", "k=\"v77777\"", ",", ".", "aa-11-bb", "4111111111111111", "\u00e9"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert sorted((c["start"], c["end"], c["kind"], c["value"], c["left"], c["right"]) for c in pii.candidates(t, pii.base_spans(t))) == sorted(plain_candidates(t)), t
+
+
+def test_candidates_of_long_texts_are_linear():
+    import time
+
+    for t in ("a" * 1_000_000, "a" * 999_999 + "1", "1 " * 300_000, "=1" * 300_000, "1.1.1.1," * 60_000, "(" * 500_000 + "9", "a1b2c3" + " " * 500_000 + "a1b2c3"):
+        began = time.process_time()
+        pii.candidates(t, pii.base_spans(t))
+        assert time.process_time() - began < 5, t[:10]
+
+
+def test_pii_query(spark, tmp_path):
+    """The whole query, digests and spans, against plain Python; null texts and ids, repeated ids, columns of clashing names."""
+    rng = random.Random(34)
+    number = lambda: f"{rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    forms = [
+        lambda: f"call +1 {number()} today", lambda: f"call 0{number()} today", *[lambda: f"mail to {rng.choice(VOCAB)}{rng.randint(1, 9)}@example.org soon"] * 6, lambda: f"mail to {rng.choice(VOCAB)}{rng.randint(1, 9)}@localhost soon",
+        lambda: f"host {rng.randint(1, 250)}.{rng.randint(1, 250)}.0.9 down", lambda: f"host node-{rng.randint(100, 999)} down", lambda: f"version {rng.randint(1, 9)}.{rng.randint(10, 99)}.{rng.randint(10, 99)} of", lambda: prose(rng, 5),
+    ]
+    texts = [" ".join(rng.choice(forms)() for _ in range(rng.randint(0, 12))) for _ in range(120)] + [None, ""]
+    texts += [texts[3]] * 5
+    ids = [*range(118), None, None, 5, 5, 5, *range(200, 204)]
+    path = str(tmp_path)
+    docs(spark, texts, ids, extra=True).withColumns({c: F.lit(1) for c in ("row", "base", "added", "cands")}).write.parquet(f"{path}/documents.parquet")
+    got = pii.op1_pii_bootstrap(spark, path).collect()
+    want = []
+    for i, t, spans in zip(ids, texts, plain_bootstrap([t or "" for t in texts])):
+        base = plain_spans(t or "")
+        text = lambda x: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(x))
+        want.append((i, *(sum(b[1] == k for b in base) for k in range(4)), hashlib.sha256(text(base).encode()).hexdigest(), text(spans), len(spans) - len(base)))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum(r.n_added for r in got) > 10
+    spark.createDataFrame([], S).write.parquet(f"{path}/empty/documents.parquet")
+    assert pii.op1_pii_bootstrap(spark, f"{path}/empty").count() == 0
+
+
 # --- 2
 def test_fingerprints(spark, corpus, tmp_path):
     ids = [3 * i if i < 30 else 5000 + i for i in range(len(corpus))]
@@ -411,12 +526,20 @@ def test_words_of_equal_polynomials_differ(spark):
     assert got == dict(enumerate(texts))
 
 
-def test_remembered_words_are_bounded(monkeypatch):
-    words = [[f"w{i % 7}".encode() for i in range(90)], [f"w{i % 11}".encode() for i in range(90)]]
-    whole = substrings._anchors(words)
-    monkeypatch.setattr(substrings, "REMEMBERED", 3)
-    assert all((x == y).all() for x, y in zip(whole, substrings._anchors(words)))
-    substrings._hashes.clear()
+def test_words_are_numbered_by_their_bytes(monkeypatch):
+    rng = random.Random(41)
+    words = [rng.choice([w, w * 3, w[:1] * 200, w * 40]) for w in rng.choices(VOCAB[:50], k=3000)]
+    raw = " \n\t"[0].join(words).encode() + b"  end"
+    ids, starts = substrings._numbered(raw)
+    assert len(ids) == len(starts) == len(raw.split()) and len(set(zip(ids.tolist(), raw.split()))) == len(set(ids.tolist())) == len(set(raw.split()))
+    whole = substrings._word_hashes(raw)
+    monkeypatch.setattr(substrings, "_CHUNK", 64)
+    substrings._powers.clear()
+    assert all((x == y).all() for x, y in zip(whole, substrings._word_hashes(raw)))
+    substrings._powers.clear()
+    monkeypatch.setattr(substrings, "_mixed", lambda h: h & np.uint64(7))  # nearly all words collide
+    again, _ = substrings._numbered(raw)
+    assert len(set(zip(again.tolist(), raw.split()))) == len(set(raw.split()))
 
 
 # --- 10
