@@ -13,57 +13,58 @@ breaks are \\n alone; extra columns are carried along by dedup().
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm.batches import fresh
+from lodegraph.llm.hot import join_counted
 from lodegraph.storage import materialise
 
 WIDTH = 3
-SALTS = 16
 
 
-def _lines(documents: DataFrame, carry: list[str]) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return documents.select(*carry, F.xxhash64(text).alias("__th"), F.split(text, "\n", -1).alias("__lines"))
+def _cut(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def windows(documents: DataFrame) -> DataFrame:
     """doc_id, th, pos, h1, h2: every window of every document."""
-    lines = _lines(documents, ["doc_id"]).where(F.size("__lines") >= WIDTH)
-    line = lambda i: [F.col("__lines")[i + j] for j in range(WIDTH)]
+    lines = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), _cut(F.col("text")).alias("lines")).where(F.size("lines") >= WIDTH)
+    line = lambda i: [F.col("lines")[i + j] for j in range(WIDTH)]
     each = F.transform(
-        F.sequence(F.lit(0), F.size("__lines") - WIDTH),
+        F.sequence(F.lit(0), F.size("lines") - WIDTH),
         lambda i: F.struct(i.alias("pos"), F.xxhash64(*line(i)).alias("h1"), F.xxhash64(F.lit("second seed"), *line(i)).alias("h2")),
     )
-    return lines.select("doc_id", F.col("__th").alias("th"), F.inline(each))
+    return lines.select("doc_id", "th", F.inline(each))
 
 
 def later_windows(found: DataFrame) -> DataFrame:
     """doc_id, th, hits: positions of windows that occurred before, per document."""
     at = F.struct("doc_id", "th", "pos")
-    firsts = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
-    spread = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = found.withColumn("salt", F.pmod("th", F.lit(SALTS)).cast("int")).join(spread, ["h1", "h2", "salt"]).where(at != F.col("first"))
+    firsts = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first != last")
+    firsts = materialise(firsts.select("h1", "h2", "first", "n"), "lines")
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hits = join_counted(found, firsts, ["h1", "h2"], "n", total, F.xxhash64("doc_id", "th", "pos")).where(at != F.col("first"))
     return hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
 
 
-def dedup(documents: DataFrame) -> DataFrame:
-    """All columns of the input with ``text`` reduced (and ``n_chars``, where there is one), and __n_lines, __n_removed."""
-    hits = later_windows(windows(documents)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t2"), F.col("hits").alias("__hits"))
-    lines = _lines(documents, ["*"])
-    joined = lines.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t2")), "left")
-    covered = F.array_distinct(F.flatten(F.transform("__hits", lambda p: F.array(*[p + j for j in range(WIDTH)]))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
-    out = joined.withColumn("__covered", covered).withColumn("__kept", F.when(F.col("__hits").isNull(), F.lit(None)).otherwise(kept))
-    text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.col("__lines")[i]), "\n"))
-    out = out.withColumn("__new", text).withColumn("__n_lines", F.size("__lines").cast("bigint")).withColumn("__n_removed", F.coalesce(F.size("__covered"), F.lit(0)).cast("bigint"))
-    columns = [F.col("__new").alias("text") if c == "text" else F.length(F.coalesce("__new", F.lit(""))).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return out.select(*columns, "__n_lines", "__n_removed")
+def dedup(documents: DataFrame, counts: tuple[str, str] | None = None) -> DataFrame:
+    """All columns of the input with ``text`` reduced (and ``n_chars``, where there is one); behind them, if named, the numbers of lines and of removed lines."""
+    th, lines, id2, th2, hits, covered, new = fresh(documents, "th", "lines", "id2", "th2", "hits", "covered", "new")
+    found = later_windows(windows(documents)).select(F.col("doc_id").alias(id2), F.col("th").alias(th2), F.col("hits").alias(hits))
+    keyed = documents.withColumns({th: F.xxhash64(F.coalesce("text", F.lit(""))), lines: _cut(F.col("text"))})
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(id2)) & (F.col(th) == F.col(th2)), "left")
+    out = joined.withColumn(covered, F.array_distinct(F.flatten(F.transform(hits, lambda p: F.array(*[p + j for j in range(WIDTH)])))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
+    out = out.withColumn(new, F.when(F.col(hits).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col(lines)[i]), "\n")))
+    columns = [F.col(new).alias("text") if c == "text" else F.length(F.coalesce(new, F.lit(""))).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
+    numbers = (F.size(lines), F.coalesce(F.size(covered), F.lit(0)))
+    return out.select(*columns, *(n.cast("bigint").alias(c) for n, c in zip(numbers, counts or ())))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("kept_text"))
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("kept_text"))
 
 
 OP5_SQL = """

@@ -335,9 +335,9 @@ def test_line_dedup(spark):
     rng = random.Random(4)
     texts = ["\n".join(rng.choice(["a", "b", "", "cc"]) for _ in range(rng.randint(1, 12))) for _ in range(60)] + [None, "", "a\nb", "a\na\na\na\na"]
     df = docs(spark, texts, extra=True)
-    got = linededup.dedup(df)
-    assert got.columns[: len(df.columns)] == df.columns
-    rows = by_id(got, "text", "n_chars", "__n_lines")
+    got = linededup.dedup(df, ("lines", "gone"))
+    assert got.columns == [*df.columns, "lines", "gone"] and linededup.dedup(df).columns == df.columns
+    rows = by_id(got, "text", "n_chars", "lines")
     want = plain_lines(texts)
     assert {i: r[0] or "" for i, r in rows.items()} == dict(enumerate(want))
     assert all(r[1] == len(r[0] or "") for r in rows.values()) and rows[60][0] is None
@@ -346,6 +346,18 @@ def test_line_dedup(spark):
     assert linededup.dedup(df.where("false")).count() == 0
 
 
+def test_line_dedup_of_a_hot_document(spark, monkeypatch):
+    """A thousand copies, a third of them without an id: one keeps its lines; and a very long text."""
+    from lodegraph.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", 100)
+    text = "\n".join(VOCAB[:8])
+    df = docs(spark, [text + f"\nown {i}" for i in range(1000)] + ["\n".join(f"l{i}" for i in range(50_000))], [i if i % 3 else None for i in range(1001)])
+    got = linededup.dedup(df, ("lines", "gone")).groupBy("gone", F.col("lines") > 9).count().collect()
+    assert sorted(map(tuple, got)) == [(0, False, 1), (0, True, 1), (8, False, 999)]
+
+
+
 # --- 6
 def plain_license(t):
     t = re.sub("[A-Z]", lambda m: m.group().lower(), t)
