@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.storage import materialise
+from lodegraph.storage import materialise, size_checked
 
 FIELDS = ("name", "description", "file_path")
 
@@ -25,7 +30,7 @@ def tokens(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """The full-text index's tokens: all runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def search_like(nodes: DataFrame, query: str, limit: int | None = 100, literal: bool = False) -> DataFrame:
@@ -35,9 +40,20 @@ def search_like(nodes: DataFrame, query: str, limit: int | None = 100, literal:
     return out if limit is None else out.limit(limit)
 
 
-def postings(docs: DataFrame, text: Column, key: str = "id", tokenizer=tokens) -> DataFrame:
-    """key, term, tf (count): one row per document and term."""
-    return docs.select(key, F.explode(tokenizer(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)``, with the value computed once a row."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def counted(tokens: Column) -> Column:
+    """array of (term, tf) in order of term: the tokens are sorted in their row and runs are counted, without a shuffle."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _once(first, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), lambda i, j: F.struct(F.get(s, i).alias("term"), (j - i).alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    return _once(F.array_sort(tokens), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
 
 
 def _terms(query: str) -> list[str]:
@@ -50,88 +66,105 @@ def _raises(query: str) -> bool:
     return any(c in query for c in ".-")
 
 
-def match_prefix(index: DataFrame, query: str, key: str = "id") -> DataFrame:
-    """key, slot, tf of documents that hold all terms, the last as a prefix."""
-    terms = _terms(query)
-    if not terms or _raises(query):
-        return index.where("false").select(key, F.lit(0).alias("slot"), "tf")
-    test = lambda i, t: F.startswith("term", F.lit(t)) if i == len(terms) - 1 else F.col("term") == t
-    slots = F.array_compact(F.array(*[F.when(test(i, t), F.lit(i)) for i, t in enumerate(terms)]))
-    hits = index.select(key, "tf", F.explode(slots).alias("slot")).groupBy(key, "slot").agg(F.sum("tf").alias("tf"))
-    whole = hits.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") == len(set(range(len(terms))))).select(key)
-    return hits.join(whole, key, "left_semi")
+def _frequencies(text: Column, terms: list[str]) -> Column:
+    """(len, tf of each term, the last as a prefix) of one text; texts that hold no term as a substring are only counted."""
+    each = lambda t, last: (lambda x: F.startswith(x, F.lit(t))) if last else (lambda x: x == t)
+    tf = lambda tok, i: F.when(F.contains(F.lower(text), F.lit(terms[i])), F.size(F.filter(tok, each(terms[i], i == len(terms) - 1)))).otherwise(0)
+    return _once(index_tokens(text), lambda tok: F.struct(F.size(tok).alias("len"), F.array(*[tf(tok, i) for i in range(len(terms))]).alias("tf")))
 
 
 def fts_prefix(nodes: DataFrame, query: str, limit: int | None = 100) -> DataFrame:
-    index = postings(nodes, F.concat_ws(" ", *FIELDS), "id", index_tokens)
-    found = match_prefix(index, query).select("id").distinct()
-    out = nodes.join(found, "id", "left_semi").orderBy("id")
+    """Nodes that hold all terms, the last as a prefix; a filter over the rows."""
+    terms = _terms(query)
+    if not terms or _raises(query):
+        out = nodes.where("false")
+    else:
+        text = F.concat_ws(" ", *FIELDS)
+        likely = reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(t)) for t in terms])
+        out = nodes.where(likely & ~F.array_contains(_frequencies(text, terms)["tf"], 0))
+    out = out.orderBy("id")
     return out if limit is None else out.limit(limit)
 
 
 def bm25(nodes: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
-    """id, score by BM25 over the indexed columns together; higher is better. Document frequencies are the whole table's."""
-    index = postings(nodes, F.concat_ws(" ", *FIELDS), "id", index_tokens)
+    """id, score by BM25 over the indexed columns together; higher is better. Document frequencies are the whole table's.
+
+    Lengths and term counts are taken row by row and kept as a narrow table; only totals are aggregated.
+    """
     terms = _terms(query)
     if not terms or _raises(query):
         return nodes.where("false").select("id", F.lit(0.0).alias("score"))
-    index = materialise(index, "postings")
-    size = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    corpus = nodes.agg(F.count("*").alias("n_docs")).crossJoin(size.agg(F.sum("len").alias("total")))
-    test = lambda i, t: F.startswith("term", F.lit(t)) if i == len(terms) - 1 else F.col("term") == t
-    slots = F.array_compact(F.array(*[F.when(test(i, t), F.lit(i)) for i, t in enumerate(terms)]))
-    per = index.select("id", "tf", F.explode(slots).alias("slot")).groupBy("id", "slot").agg(F.sum("tf").alias("tf"))
-    df = per.groupBy("slot").agg(F.count("*").alias("n"))
-    hits = match_prefix(index, query).join(F.broadcast(df), "slot").join(size, "id").crossJoin(F.broadcast(corpus))
-    idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / (F.col("total") / F.col("n_docs"))))
-    out = hits.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id")
+    rows = materialise(nodes.select("id", _frequencies(F.concat_ws(" ", *FIELDS), terms).alias("f")).select("id", "f.len", "f.tf"), "terms")
+    n = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"n{i}") for i in range(len(terms))]
+    c = rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"), *n).first()
+    mean = c["total"] / c["n_docs"] if c["total"] else 1.0
+
+    def part(i: int) -> Column:
+        idf = math.log((c["n_docs"] - c[f"n{i}"] + 0.5) / (c[f"n{i}"] + 0.5))
+        tf = F.get("tf", F.lit(i))
+        return (idf if idf > 0 else 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / mean))
+
+    score = reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])
+    out = rows.where(~F.array_contains("tf", 0)).select("id", score.alias("score")).orderBy(F.desc("score"), "id")
     return out if limit is None else out.limit(limit)
 
 
-def tfidf_index(nodes: DataFrame, text: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(weights: id, term, w; idf: term, idf) of non-external nodes, both materialised: the index of repeated searches."""
+class Index(NamedTuple):
+    """What repeated searches read: docs (id, total, norm, terms: array of (term, tf)) and idf (term, idf)."""
+
+    docs: DataFrame
+    idf: DataFrame
+
+
+def tfidf_index(nodes: DataFrame, text: Column | None = None, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> Index:
+    """The index of non-external nodes. ``keep(name, build)`` says where its tables are; the shared folder, if None.
+
+    One pass cuts and counts row by row; document frequencies are one partial aggregation by term, norms one by document.
+    """
+    keep = keep or (lambda name, build: materialise(build(), name))
     docs = nodes.where("not is_external")
     text = F.concat_ws(" ", "name", "kind", "file_path", "description") if text is None else text
-    tf = materialise(postings(docs, text), "tfidf")
-    total = tf.groupBy("id").agg(F.sum("tf").alias("total"))
-    count = docs.agg(F.count("*").alias("n_docs"))
-    idf = materialise(tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(count)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "tfidf")
-    weights = materialise(tf.join(total, "id").join(idf, "term").select("id", "term", (F.col("tf") / F.col("total") * F.col("idf")).alias("w")), "tfidf")
-    return weights, idf
-
-
-def _cosine(weights: DataFrame, query: DataFrame, limit: int | None) -> DataFrame:
-    """id, score of documents against query (term, q), a vector of few terms."""
-    norm_q = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("nq"))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
-    dots = weights.join(query, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    score = F.col("dot") / (F.col("nq") * F.col("nd"))
-    out = dots.join(norms, "id").crossJoin(F.broadcast(norm_q)).select("id", score.alias("raw")).where("raw > 0")
+    cut = materialise(docs.select("id", counted(tokens(text)).alias("terms")), "cut")
+    n_docs = cut.count()
+    idf = keep("tfidf_idf", lambda: cut.select(F.explode("terms.term").alias("term")).groupBy("term").agg((F.log((F.lit(n_docs) + 1) / (F.count("*") + 1)) + 1).alias("idf")))
+    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + t["tf"])
+    each = cut.select("id", F.inline("terms")).join(size_checked(idf, 64), "term")  # tokens have 40 characters at most
+    squares = each.groupBy("id").agg(F.sum((F.col("tf") * F.col("idf")) * (F.col("tf") * F.col("idf"))).alias("squares"))
+    built = keep("tfidf_docs", lambda: cut.join(squares, "id").select("id", total.alias("total"), (F.sqrt("squares") / total).alias("norm"), "terms"))
+    return Index(built, idf)
+
+
+def _best(dots: DataFrame, norm: float | Column, limit: int | None) -> DataFrame:
+    """id, score from id, norm, dot: cosines above zero, the best first."""
+    out = dots.select("id", (F.col("dot") / (norm * F.col("norm"))).alias("raw")).where("raw > 0")
     out = out.orderBy(F.desc(round_half_up(F.col("raw"), 9)), "id")
     out = out if limit is None else out.limit(limit)
     return out.select("id", round_half_up(F.col("raw"), 3).alias("score"))
 
 
-def query_vector(idf: DataFrame, query: str) -> DataFrame:
-    """term, q of the query's terms; a term that the corpus lacks has idf 1."""
-    spark = idf.sparkSession
-    t = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term"))
-    tf = t.groupBy("term").agg(F.count("*").alias("c")).crossJoin(t.agg(F.count("*").alias("n")))
-    return F.broadcast(tf.join(idf, "term", "left").select("term", (F.col("c") / F.col("n") * F.coalesce("idf", F.lit(1.0))).alias("q")))
-
-
-def tfidf_search(nodes: DataFrame, query: str, limit: int | None = 20, index=None) -> DataFrame:
-    weights, idf = index or tfidf_index(nodes)
-    return _cosine(weights, query_vector(idf, query), limit)
+def tfidf_search(nodes: DataFrame, query: str, limit: int | None = 20, index: Index | None = None) -> DataFrame:
+    """Documents like the query's words; a term that the corpus lacks has idf 1. A filter over the index's rows."""
+    docs, idf = index or tfidf_index(nodes)
+    words = [t for t in re.split("[^a-z0-9]+", query.lower()) if 2 <= len(t) <= 40]
+    count = Counter(words)
+    known = {r.term: r.idf for r in idf.where(F.col("term").isin(list(count))).collect()} if count else {}
+    q = {t: c / len(words) * known.get(t, 1.0) for t, c in count.items()}
+    if not known:
+        return nodes.where("false").select("id", F.lit(0.0).alias("score"))
+    weight = F.create_map(*[F.lit(x) for t in sorted(known) for x in (t, known[t] * q[t])])
+    hit = F.filter("terms", lambda t: F.map_contains_key(weight, t["term"]))
+    dot = F.aggregate(hit, F.lit(0.0), lambda a, t: a + t["tf"] * F.element_at(weight, t["term"])) / F.col("total")
+    return _best(docs.select("id", "norm", dot.alias("dot")), math.sqrt(sum(x * x for x in q.values())), limit)
 
 
-def tfidf_similar(nodes: DataFrame, node_id: str, limit: int | None = 10, index=None) -> DataFrame:
+def tfidf_similar(nodes: DataFrame, node_id: str, limit: int | None = 10, index: Index | None = None) -> DataFrame:
     """Documents like a node's, itself left out; none if it is unknown or external."""
-    weights, _ = index or tfidf_index(nodes)
-    own = weights.where(F.col("id") == node_id).select("term", F.col("w").alias("q"))
-    return _cosine(weights.where(F.col("id") != node_id), own, limit)
+    docs, idf = index or tfidf_index(nodes)
+    own = docs.where(F.col("id") == node_id).select("total", F.col("norm").alias("own"), F.inline("terms")).join(idf, "term")
+    own = materialise(own.select("term", "own", (F.col("tf") / F.col("total") * F.col("idf") * F.col("idf")).alias("q")), "query")
+    each = docs.where(F.col("id") != node_id).select("id", "norm", "total", F.inline("terms")).join(size_checked(own, 96), "term")
+    dots = each.groupBy("id").agg(F.first("norm").alias("norm"), F.first("own").alias("own"), F.sum(F.col("tf") / F.col("total") * F.col("q")).alias("dot"))
+    return _best(dots, F.col("own"), limit)
 
 
 def rrf(legs: list[DataFrame], k: int = 60) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions import text, vectors
 from lodegraph.plans.register import query
 from lodegraph.sources.tables import GRAPH_SQL, star_graph, table
+from lodegraph.storage import kept
 
 G = "WITH RECURSIVE " + GRAPH_SQL
 #: Documents as nodes.
@@ -54,14 +55,26 @@ _COS = """, s AS (SELECT w.id, sum(w.w * q.q) / ((SELECT sqrt(sum(q * q)) FROM q
 SELECT id, floor(raw * 1000 + 0.5) / 1000.0 AS score FROM s WHERE raw > 0 {where} ORDER BY floor(raw * 1000000000 + 0.5) DESC, id LIMIT {n}"""
 
 
+def index(spark, sf):
+    """The documents' index, built once a session."""
+    made = {}
+
+    def build(name):
+        if not made:
+            made.update(zip(("tfidf_docs", "tfidf_idf"), text.tfidf_index(documents(spark, sf))))
+        return made[name]
+
+    return text.Index(*(kept(spark, f"{name} {sf}", lambda name=name: build(name)) for name in ("tfidf_docs", "tfidf_idf")))
+
+
 @query(_TFIDF + _QUERY + _COS.format(where="", n=20))
 def tfidf_search(spark, sf):
-    return text.tfidf_search(documents(spark, sf), WORDS)
+    return text.tfidf_search(documents(spark, sf), WORDS, index=index(spark, sf))
 
 
 @query(_TFIDF + ", q AS (SELECT t, w AS q FROM w WHERE id = '7')" + _COS.format(where="AND id <> '7'", n=10))
 def tfidf_similar(spark, sf):
-    return text.tfidf_similar(documents(spark, sf), "7")
+    return text.tfidf_similar(documents(spark, sf), "7", index=index(spark, sf))
 
 
 @query(f"""WITH {D}, a AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM d WHERE description ILIKE '%license%' QUALIFY r < 50),
