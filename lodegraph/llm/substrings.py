@@ -31,9 +31,8 @@ doc_id is a value.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from functools import reduce
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +56,17 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 #: Windows starts that share a prefix: all of an anchor's, four ranges of them, single ones.
 WIDTHS = (SPREAD, SPREAD // 4, 1)
-#: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
 
 _rng = np.random.default_rng(35)
+_VALUE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(1, 2**63, PREFIX, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_powers: list[np.ndarray] = []
+_CHUNK = 1 << 18
 SUFFIX = "doc_id bigint, th bigint, pos int, lo int, key bigint, before binary, after binary"
 FOUND = "doc_id bigint, th bigint, pos int, mask bigint"
 
@@ -72,17 +77,61 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Hashes(dict):
-    """A strong 64-bit hash for every word, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return got
-
-
-_hashes = _Hashes()
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash (a polynomial, so different words may share it), the start and the length of every word of ``raw``."""
+    out: list[tuple] = []
+    lo = 0
+    while lo < len(raw):
+        hi = min(len(raw), lo + _CHUNK)
+        if hi < len(raw):  # end a chunk behind white space; a single longer word makes a longer chunk
+            back = max(raw.rfind(c, lo, hi) for c in _SPACES)
+            if back < lo:
+                ahead = [p for p in (raw.find(c, hi) for c in _SPACES) if p >= 0]
+                back = min(ahead, default=len(raw) - 1)
+            hi = back + 1
+        a = np.frombuffer(raw, np.uint8, hi - lo, lo)
+        if not _powers or len(_powers[0]) <= len(a):
+            n = max(_CHUNK, len(a)) + 1
+            _powers[:] = [np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
+        space = _SPACE[a]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+        start, end = edge[::2], edge[1::2]
+        total = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_VALUE[a] * _powers[0][: len(a)], out=total[1:])
+        out.append((_mixed((total[end] - total[start]) * _powers[1][start] + (end - start).astype(np.uint64)), start + lo, end - start))
+        lo = hi
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
+
+
+def _same_bytes(raw: bytes, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> bool:
+    """Whether raw[one : one + size] equals raw[other : other + size] for all, by eight bytes at once."""
+    at = np.flatnonzero(one != other)
+    one, other, size = one[at], other[at], size[at]
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    for _ in range(8):
+        if not len(one):
+            return True
+        differ = eight[one] ^ eight[other]
+        if (differ << (64 - 8 * np.minimum(size, 8)).astype(np.uint64)).any():
+            return False
+        longer = size > 8
+        one, other, size = one[longer] + 8, other[longer] + 8, size[longer] - 8
+    return all(raw[i : i + n] == raw[j : j + n] for i, j, n in zip(one.tolist(), other.tolist(), size.tolist()))
+
+
+def _numbered(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal for equal words of ``raw`` and for no others, and where the words start.
+
+    Words are gathered by hash and compared with the first of their hash; if one differs, all are numbered by dictionary.
+    """
+    h, start, size = _word_hashes(raw)
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    if not ((size[first][ids] == size).all() and _same_bytes(raw, start, start[first][ids], size)):
+        numbers: dict[bytes, int] = {}
+        ids = np.array([numbers.setdefault(w, len(numbers)) for w in raw.split()])
+    return ids, start
 
 
 def _least(gram: np.ndarray, width: int) -> np.ndarray:
@@ -96,15 +145,15 @@ def _least(gram: np.ndarray, width: int) -> np.ndarray:
     return p
 
 
-def _anchors(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word position, prefix hash) of every anchor of texts cut into words."""
-    sizes = np.array([len(w) for w in texts], np.int64)
-    n = int(sizes.sum()) - PREFIX + 1
+def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word position, prefix hash) of every anchor."""
+    h, starts, _ = _word_hashes(b"\n".join(raws))
     none = np.zeros(0, np.int64)
-    if n < SPREAD:
+    if len(h) < WINDOW:
         return none, none, np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(texts)), np.uint64, n + PREFIX - 1)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    owner = np.searchsorted(np.array([len(r) + 1 for r in raws]).cumsum(), starts, "right")
+    first = np.searchsorted(owner, np.arange(len(raws)), "left")
+    n = len(h) - PREFIX + 1
     gram = np.zeros(n, np.uint64)
     for j in range(PREFIX):
         gram += h[j : j + n] * _MIX[j]
@@ -112,12 +161,11 @@ def _anchors(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     least = _least(gram, SPREAD)
     at = least[owner[: len(least)] == owner[WINDOW - 1 :]]  # windows inside one text
     at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # places never fall
-    first = sizes.cumsum() - sizes
     return owner[at], at - first[owner[at]], gram[at]
 
 
-def _words(texts: list) -> list[list[bytes]]:
-    return [(t or "").encode("utf-8", "replace").split() for t in texts]
+def _raw(texts: list) -> list[bytes]:
+    return [(t or "").encode("utf-8", "replace") for t in texts]
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -131,7 +179,7 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
         for b in batches:
             ids, ths, texts = b.column("doc_id"), b.column("th"), b.column("text").to_pylist()
             for lo, hi in slices(texts):
-                owner, pos, key = _anchors(_words(texts[lo:hi]))
+                owner, pos, key = _anchors(_raw(texts[lo:hi]))
                 at = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([ids.take(at), ths.take(at), pa.array(pos, pa.int32()), pa.array(key.view(np.int64))], ["doc_id", "th", "pos", "key"])
 
@@ -169,15 +217,15 @@ def _suffixes(documents: DataFrame, bitmap, bits: int) -> DataFrame:
         for b in batches:
             ids, ths, texts = (b.column(c).to_pylist() for c in ("doc_id", "th", "text"))
             for lo, hi in slices(texts):
-                words = _words(texts[lo:hi])
-                owner, pos, key = _anchors(words)
+                raws = _raw(texts[lo:hi])
+                owner, pos, key = _anchors(raws)
                 bit = key & np.uint64(bits - 1)
                 seen = (flags[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 owner, pos, key = owner[seen], pos[seen], key[seen]
                 cut = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1, [len(owner)]]) if len(owner) else [0]
                 for i, j in zip(cut[:-1], cut[1:]):
                     o = int(owner[i])
-                    yield _around(ids[lo + o], ths[lo + o], words[o], pos[i:j], key[i:j])
+                    yield _around(ids[lo + o], ths[lo + o], raws[o].split(), pos[i:j], key[i:j])
 
     return _keyed(documents).mapInArrow(lambda batches: _gathered(parts(batches)), SUFFIX)
 
@@ -193,7 +241,7 @@ def _joined_suffixes(documents: DataFrame, counts: DataFrame) -> DataFrame:
         for b in batches:
             for i, th, text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text", "spots"))):
                 pos, key = np.array([x["pos"] for x in spots]), np.array([x["key"] for x in spots])
-                yield _around(i, th, _words([text])[0], pos, key)
+                yield _around(i, th, _raw([text])[0].split(), pos, key)
 
     return docs.mapInArrow(lambda batches: _gathered(parts(batches)), SUFFIX)
 
@@ -229,26 +277,25 @@ def _order(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], common])
 
 
-def _matrix(texts: list[bytes], width: int, backwards: bool, ids: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of short texts as rows (reversed, if asked), 0 behind the last word; and how many there are."""
-    words = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.uint32, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(len(flat)) - (sizes.cumsum() - sizes)[owner]
-    m = np.zeros((len(texts), width), np.uint32)
-    m[owner, sizes[owner] - 1 - at if backwards else at] = flat + 1
+def _matrix(ids: np.ndarray, owner: np.ndarray, n: int, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of ``n`` short texts as rows (reversed, if asked), 0 behind the last word; and how many there are."""
+    sizes = np.bincount(owner, minlength=n)
+    at = np.arange(len(ids)) - (sizes.cumsum() - sizes)[owner]
+    m = np.zeros((n, width), np.uint32)
+    m[owner, sizes[owner] - 1 - at if backwards else at] = ids + 1
     return m, sizes
 
 
 def _repeated(keys: np.ndarray, lo: np.ndarray, width: int, before: list[bytes], after: list[bytes]) -> np.ndarray:
     """For each suffix the set, as bits d, of repeated windows that start d words before it, lo <= d < lo + width."""
     n = len(keys)
-    ids: defaultdict = defaultdict()
-    ids.default_factory = ids.__len__
+    texts = [*after, *before]
+    ids, starts = _numbered(b"\n".join(texts))
+    owner = np.searchsorted(np.array([len(t) + 1 for t in texts]).cumsum(), starts, "right")
+    cut = np.searchsorted(owner, n)
     top = np.unique(keys, return_inverse=True)[1].astype(np.uint32)[:, None]
-    right, n_right = _matrix(after, WINDOW, False, ids)
-    left, n_left = _matrix(before, SPREAD - 1, True, ids)
+    right, n_right = _matrix(ids[:cut], owner[:cut], n, WINDOW, False)
+    left, n_left = _matrix(ids[cut:], owner[cut:] - n, n, SPREAD - 1, True)
     (ro, rc), (lf, lc) = (_order(np.concatenate([top, m], 1)) for m in (right, left))
     mask = np.zeros(n, np.int64)
     node, leaf = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -295,7 +342,7 @@ def _trees(rows: DataFrame, width: int) -> DataFrame:
 
 def _equal_windows(rows: DataFrame) -> DataFrame:
     """doc_id, th, pos, mask of rows keyed by single whole windows."""
-    each = rows.select("doc_id", "th", "pos", "lo", "key", "key2")
+    each = materialise(rows.select("doc_id", "th", "pos", "lo", "key", "key2"), "each")
     twice = materialise(each.groupBy("key", "key2").agg(F.count("*").alias("c")).where("c > 1"), "twice")
     total = twice.agg(F.sum("c")).first()[0] or 0
     hit = join_counted(each, twice, ["key", "key2"], "c", total, F.xxhash64("doc_id", "th", "pos"))
@@ -323,18 +370,17 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
         return materialise(_trees(suffixes, SPREAD), "windows")
     # written once, since both the groups that fit and the wide ones read it
     suffixes = materialise(suffixes, "suffixes")
-    found = []
-    rows = suffixes
-    for width, longer in zip(WIDTHS, WIDTHS[1:]):
-        big = size_checked(wide, 24)
-        found.append(materialise(_trees(rows.join(big, "key", "left_anti"), width), "windows"))
-        rows = _lengthened(rows.join(big, "key", "left_semi"), longer)
-        if longer == 1:
-            break
-        wide = materialise(rows.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "wide")
-    found.append(materialise(_equal_windows(rows), "windows"))
+    found = [materialise(_trees(suffixes.join(size_checked(wide, 24), "key", "left_anti"), SPREAD), "windows")]
+    rows = materialise(suffixes.join(size_checked(wide, 24), "key", "left_semi"), "wide")
     drop(suffixes)
-    return reduce(DataFrame.unionByName, found)
+    for width in WIDTHS[1:-1]:
+        longer = _lengthened(rows, width)
+        wide = materialise(longer.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "wide")
+        found.append(materialise(_trees(longer.join(size_checked(wide, 24), "key", "left_anti"), width), "windows"))
+        rows = longer.join(size_checked(wide, 24), "key", "left_semi")
+        if wide.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [*found, materialise(_equal_windows(_lengthened(rows, 1)), "windows")])
 
 
 def _kept(text: str | None, pos: np.ndarray | None, mask: np.ndarray | None) -> tuple[int, int, bytes]:
