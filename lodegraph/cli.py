@@ -20,16 +20,18 @@ COMMANDS = {
     "dead-code": ("dead_code", [("--limit", int)]), "suggest": ("suggestions", [("--limit", int)]), "rename-preview": ("rename_preview", [("target", str), ("--new-name", str)]),
     "apply-rename": ("apply_rename", [("key", str)]), "embed": ("embed_nodes", []), "hybrid-search": ("hybrid_search", [("query", str), ("--limit", int)]), "similar": ("find_similar", [("target", str), ("--limit", int)]),
     "communities": ("persist_communities", []), "architecture": ("overview", []), "bundle": ("bundle", [("file_path", str), ("--depth", int)]), "wiki": ("wiki", [("folder", str)]),
-    "visualize": ("drawing", [("file", str)]), "detect-changes": ("analyze_changes", [("--base", str)]), "review-context": ("review_context", [("--base", str)]),
+    "visualize": ("drawing", [("file", str)]), "wiki-section": ("wiki_section", [("label", str)]), "watch": ("watch", [("--every", float), ("--rounds", int)]),
+    "eval": ("evaluate", [("spec", str), ("--csv", str)]), "eval-list": ("eval_repos", [("spec", str)]), "file": ("file", [("target", str)]), "embedding-count": ("embedding_count", []),
+    "community-list": ("stored_communities", [("--level", int)]), "community-members": ("community_members", [("community_id", int)]), "tfidf-search": ("tfidf_search", [("query", str), ("--limit", int)]), "detect-changes": ("analyze_changes", [("--base", str)]), "review-context": ("review_context", [("--base", str)]),
 }
 
 
-def shown(value, most: int = 1000):
-    """Results as plain data; tables are cut at ``most`` rows for display."""
+def shown(value):
+    """Results as plain data; tables come a partition at a time, with all their rows."""
     if isinstance(value, DataFrame):
-        return [r.asDict(True) for r in value.limit(most).collect()]
+        return [r.asDict(True) for r in value.toLocalIterator()]
     if isinstance(value, dict):
-        return {k: shown(v, most) for k, v in value.items()}
+        return {k: shown(v) for k, v in value.items()}
     return value
 
 

@@ -17,6 +17,7 @@ from lodegraph.functions import text, vectors
 from lodegraph.operators import community, graph as ops, risk, store as st
 from lodegraph.plans import reports
 from lodegraph.sources import files, gitdiff
+from lodegraph.streaming import watch
 from lodegraph.storage import materialise
 
 PREVIEW_SECONDS = 600
@@ -49,6 +50,30 @@ class Engine:
     def remove_file(self, file_path: str) -> None:
         files.remove_file(self.spark, self.store.path, file_path)
 
+    def watch(self, every: float = 2.0, rounds: int | None = None) -> int:
+        """Keep the store up to date with the tree; see streaming.watch for change files as a stream."""
+        return watch.watch_tree(self.spark, self.root, self.store.path, None, every, rounds)
+
+    # --- lookups ---
+    def file(self, target: str) -> DataFrame:
+        return st.file(self.store.load("files", schema.FILES), self.node_id(target).split(":", 1)[1])
+
+    def embedding(self, target: str, provider: str | None = None) -> DataFrame:
+        return st.embedding(self.store.load("embeddings", schema.EMBEDDINGS), self.node_id(target), provider)
+
+    def embedding_count(self) -> DataFrame:
+        return st.embedding_count(self.store.load("embeddings", schema.EMBEDDINGS))
+
+    def delete_embedding(self, target: str) -> None:
+        left = materialise(st.delete_embeddings(self.store.load("embeddings", schema.EMBEDDINGS), self._ids(target)), "embeddings")
+        self.store.save("embeddings", left)
+
+    def stored_communities(self, level: int | None = None) -> DataFrame:
+        return st.communities(self.store.load("communities", schema.COMMUNITIES), level)
+
+    def community_members(self, community_id: int) -> DataFrame:
+        return st.community_members(self.graph, community_id)
+
     # --- graph ---
     def stats(self) -> dict:
         g = self.graph
@@ -168,8 +193,26 @@ class Engine:
         v = self.store.load("embeddings", schema.EMBEDDINGS).where(F.col("provider") == name)
         return text.hybrid_search(self.graph.nodes, query, v, provider([query])[0], list(context_files), True, limit)
 
+    def build_index(self) -> None:
+        """Store the search index of the nodes as they are."""
+        docs, idf = text.tfidf_index(self.graph.nodes)
+        self.store.save_all({"index_docs": docs, "index_idf": idf, "index_of": self.spark.createDataFrame([(self._version(),)], "version string")})
+
+    def _version(self) -> str:
+        row = self.graph.nodes.agg(F.count("*").alias("n"), F.max("updated_at").alias("at"), F.sum(F.xxhash64("id", "name", "description").cast("decimal(38,0)")).alias("h")).first()
+        return f"{row.n} {row.at} {row.h}"
+
+    def index(self) -> text.Index:
+        """The stored search index, built anew if the nodes have changed since."""
+        if not self.store.exists("index_of") or self.store.load("index_of").first().version != self._version():
+            self.build_index()
+        return text.Index(self.store.load("index_docs"), self.store.load("index_idf"))
+
+    def tfidf_search(self, query: str, limit: int = 20) -> DataFrame:
+        return text.tfidf_search(self.graph.nodes, query, limit, self.index())
+
     def find_similar(self, target: str, limit: int = 10) -> DataFrame:
-        return text.tfidf_similar(self.graph.nodes, self.node_id(target), limit)
+        return text.tfidf_similar(self.graph.nodes, self.node_id(target), limit, self.index())
 
     # --- architecture ---
     def communities(self) -> DataFrame:
@@ -196,9 +239,36 @@ class Engine:
         pages = reports.wiki_pages(self.graph, materialise(self.communities(), "members"))
         return pages if folder is None else reports.write_wiki(pages, folder)
 
-    def drawing(self, file: str) -> None:
-        with open(file, "w", encoding="utf-8") as f:
-            f.write(reports.drawing_html(reports.drawing(self.graph)))
+    def wiki_section(self, label: str) -> str:
+        return reports.wiki_section(reports.wiki_pages(self.graph, materialise(self.communities(), "members")), label)
+
+    def drawing(self, file: str) -> dict:
+        return dict(zip(("nodes", "links"), reports.write_drawing(self.graph, file)))
+
+    # --- evaluation
+    def evaluate(self, spec: str, csv: str | None = None) -> str:
+        """The five benchmarks over every repository of a JSON list, as Markdown, and as CSV into a file.
+
+        An entry has name, root, store, and as far as they are known searches (query: expected), impacts (id: ids), entries, bundle_file.
+        """
+        results = []
+        with open(spec, encoding="utf-8") as f:
+            repos = json.load(f)
+        for r in repos:
+            one = Engine(self.spark, r["store"], r["root"])
+            built = lambda one=one: (one.build(force=True), one.graph)[1]
+            bundle_file = one.node_id(r["bundle_file"]).split(":", 1)[1] if "bundle_file" in r else ""
+            size = -(-os.path.getsize(bundle_file) // 4) if os.path.isfile(bundle_file) else 0
+            results += [{"repo": r["name"], **x} for x in reports.run_eval(built, r.get("searches", {}), r.get("impacts", {}), r.get("entries", []), size, bundle_file)]
+        if csv:
+            with open(csv, "w", encoding="utf-8") as f:
+                f.write(reports.eval_csv(results))
+        return reports.eval_markdown(reports.eval_summary(self.spark.createDataFrame(results, "repo string, benchmark string, score double, passed boolean, seconds double")))
+
+    def eval_repos(self, spec: str) -> list[dict]:
+        """Name and root of the repositories of an evaluation."""
+        with open(spec, encoding="utf-8") as f:
+            return [{k: r[k] for k in ("name", "root")} for r in json.load(f)]
 
     # --- changes ---
     def _contents(self, changes: DataFrame) -> DataFrame:

@@ -82,6 +82,30 @@ def view_edges(graph: Graph, nodes: DataFrame | None = None) -> DataFrame:
     return induced_edges(graph, graph.nodes if nodes is None else nodes)
 
 
+def file(files: DataFrame, path: str) -> DataFrame:
+    return files.where(F.col("file_path") == path)
+
+
+def embedding(embeddings: DataFrame, node_id: str, provider: str | None = None) -> DataFrame:
+    e = embeddings.where(F.col("node_id") == node_id)
+    return e if provider is None else e.where(F.col("provider") == provider)
+
+
+def embedding_count(embeddings: DataFrame) -> DataFrame:
+    """provider, n of stored vectors."""
+    return embeddings.groupBy("provider").agg(F.count("*").alias("n"))
+
+
+def communities(table: DataFrame, level: int | None = None) -> DataFrame:
+    """All communities, or those of a level, the largest first."""
+    t = table if level is None else table.where(F.col("level") == level)
+    return t.orderBy(F.desc("size"), "id")
+
+
+def community_members(graph: Graph, community_id: int) -> DataFrame:
+    return graph.nodes.where(F.col("community_id") == community_id).orderBy("id")
+
+
 # --- changes
 def upsert(table: DataFrame, rows: DataFrame, key: list[str], update: list[str] | None = None, order: list[str] = ()) -> DataFrame:
     """``table`` with ``rows`` merged in by key; of rows with one key the last by ``order`` counts.
@@ -116,6 +140,20 @@ def delete_files(graph: Graph, paths: DataFrame, files: DataFrame | None = None)
     return Graph(nodes, edges), None if files is None else files.join(paths, "file_path", "left_anti").select(*files.columns)
 
 
+def upsert_files(files: DataFrame, rows: DataFrame, order: list[str] = ()) -> DataFrame:
+    return upsert(files, rows, ["file_path"], None, order)
+
+
+def upsert_embeddings(embeddings: DataFrame, rows: DataFrame, order: list[str] = ()) -> DataFrame:
+    """One vector for each node and provider."""
+    return upsert(embeddings, rows, ["node_id", "provider"], None, order)
+
+
+def delete_embeddings(embeddings: DataFrame, ids: DataFrame) -> DataFrame:
+    """Without the vectors of the nodes in ``ids`` (column id)."""
+    return embeddings.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_anti").select(*embeddings.columns)
+
+
 def assign_communities(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Nodes with community_id set from members (id, community_id), null elsewhere."""
     return nodes.drop("community_id").join(members.select("id", "community_id"), "id", "left")
@@ -160,15 +198,22 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-        fs = self._fs()
-        fs.delete(self._path(f"{name}.old"), True)
-        if fs.exists(self._path(name)):
-            fs.rename(self._path(name), self._path(f"{name}.old"))
-        fs.rename(self._path(f"{name}.new"), self._path(name))
-        fs.delete(self._path(f"{name}.old"), True)
+        self.save_all({name: df})
         return self.load(name)
 
+    def save_all(self, tables: dict[str, DataFrame]) -> None:
+        """Write all tables beside the old ones, then swap all names, so that only renames stand between old and new."""
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
+        fs = self._fs()
+        for name in tables:
+            fs.delete(self._path(f"{name}.old"), True)
+            if fs.exists(self._path(name)):
+                fs.rename(self._path(name), self._path(f"{name}.old"))
+            fs.rename(self._path(f"{name}.new"), self._path(name))
+        for name in tables:
+            fs.delete(self._path(f"{name}.old"), True)
+
     def graph(self) -> Graph:
         from lodegraph import schema
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import json
 import os
 import re
@@ -24,10 +26,9 @@ from lodegraph.storage import materialise
 
 
 def _section(no: int, title: str, rows: DataFrame, line: Column, order: list, most: int | None = None) -> DataFrame:
-    """section_no, title, pos, line; at most ``most`` lines in a fixed order."""
-    rows = rows.orderBy(*order)
-    rows = rows if most is None else rows.limit(most)
-    numbered = rows.withColumn("pos", F.row_number().over(W.orderBy(*order)) if most is not None else F.lit(0))
+    """section_no, title, pos, line in a fixed order; at most ``most`` lines, or all, which then are those of one file."""
+    rows = rows if most is None else rows.orderBy(*order).limit(most)
+    numbered = rows.withColumn("pos", F.row_number().over(W.orderBy(*order)))
     return numbered.select(F.lit(no).alias("section_no"), F.lit(title).alias("title"), "pos", line.alias("line"))
 
 
@@ -42,8 +43,8 @@ def bundle_lines(graph: Graph, file_path: str, depth: int = 2, source: str | Non
     parts = [
         _section(1, "File", n.sparkSession.range(1), F.concat(F.lit("Bundle for `"), F.lit(file_path), F.lit("`")), ["id"], 1),
         _section(2, "Layers", ops.layers(graph).limit(12), F.concat(F.lit("- "), "layer", F.lit(": "), F.col("n_files").cast("string"), F.lit(" files")), [F.desc("n_files"), "layer"], 12),
-        _section(3, "Symbols", own.where("kind != 'file'"), F.concat(F.lit("- "), "kind", F.lit(" "), code("name")), ["kind", "name", "id"], 10_000),
-        _section(4, "Imports", direct, F.concat(F.lit("- "), code("name"), F.when(F.col("is_external"), " (external)").otherwise("")), ["name", "id"], 10_000),
+        _section(3, "Symbols", own.where("kind != 'file'"), F.concat(F.lit("- "), "kind", F.lit(" "), code("name")), ["kind", "name", "id"]),
+        _section(4, "Imports", direct, F.concat(F.lit("- "), code("name"), F.when(F.col("is_external"), " (external)").otherwise("")), ["name", "id"]),
     ]
     if depth > 1:
         far = traverse(graph, start, ["imports"], "out", depth).where("depth > 1").select("id").distinct().join(n.where("not is_external"), "id")
@@ -54,7 +55,7 @@ def bundle_lines(graph: Graph, file_path: str, depth: int = 2, source: str | Non
     kin = e.where("kind in ('inherits', 'implements')")
     up = kin.join(classes.select(F.col("id").alias("from_id"), "name"), "from_id").join(n.select(F.col("id").alias("to_id"), F.col("name").alias("other")), "to_id", "left").select("name", F.when(F.col("kind") == "inherits", "extends").otherwise("implements").alias("how"), F.coalesce("other", "to_id").alias("other"))
     down = kin.join(classes.select(F.col("id").alias("to_id"), "name"), "to_id").join(n.select(F.col("id").alias("from_id"), F.col("name").alias("other")), "from_id", "left").select("name", F.lit("extended by").alias("how"), F.coalesce("other", "from_id").alias("other"))
-    parts.append(_section(7, "Hierarchy", up.unionByName(down), F.concat_ws(" ", F.lit("-"), code("name"), "how", code("other")), ["name", "how", "other"], 10_000))
+    parts.append(_section(7, "Hierarchy", up.unionByName(down), F.concat_ws(" ", F.lit("-"), code("name"), "how", code("other")), ["name", "how", "other"]))
     if source is not None:
         parts.append(_section(8, "Source", n.sparkSession.range(1), F.lit(f"```\n{source}\n```"), ["id"], 1))
     return reduce(DataFrame.unionByName, parts)
@@ -103,6 +104,10 @@ def wiki_pages(graph: Graph, members: DataFrame, most_files: int = 40, most_expo
     return out.select("community", "label", slug(F.col("label")).alias("slug"), "role", "n_nodes", "n_files", none("files"), none("hubs"), none("exported"))
 
 
+def page_text(r) -> str:
+    return f"# {r.label}\n\nRole: {r.role}, {r.n_nodes} nodes in {r.n_files} files\n\n## Files\n\n{r.files}\n\n## Hubs\n\n| Name | Used by |\n|---|---|\n{r.hubs}\n\n## Exported\n\n{r.exported}\n"
+
+
 def write_wiki(pages: DataFrame, folder: str) -> list[str]:
     """README.md and one page per community; rows come one at a time."""
     os.makedirs(folder, exist_ok=True)
@@ -110,7 +115,7 @@ def write_wiki(pages: DataFrame, folder: str) -> list[str]:
     for r in pages.orderBy(F.desc("n_nodes"), "community").toLocalIterator():
         name = f"{r.slug}.md" if f"{r.slug}.md" not in written else f"{r.slug}-{len(written)}.md"
         with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
-            f.write(f"# {r.label}\n\nRole: {r.role}, {r.n_nodes} nodes in {r.n_files} files\n\n## Files\n\n{r.files}\n\n## Hubs\n\n| Name | Used by |\n|---|---|\n{r.hubs}\n\n## Exported\n\n{r.exported}\n")
+            f.write(page_text(r))
         index.append(f"| [{r.label}]({name}) | {r.role} | {r.n_nodes} | {r.n_files} |")
         written.append(name)
     with open(f"{folder}/README.md", "w", encoding="utf-8") as f:
@@ -118,18 +123,47 @@ def write_wiki(pages: DataFrame, folder: str) -> list[str]:
     return ["README.md", *written]
 
 
-def drawing(graph: Graph, most_nodes: int = 500, most_edges: int = 2000) -> dict:
-    """Nodes and links for drawing, a bounded part of the graph."""
-    nodes = materialise(store.view_nodes(Graph(graph.nodes.where("not is_external"), graph.edges)).orderBy("id").limit(most_nodes), "drawing")
-    links = store.view_edges(graph, nodes).orderBy("id").limit(most_edges)
-    return {"nodes": [r.asDict() for r in nodes.collect()], "links": [{"source": r.from_id, "target": r.to_id, "kind": r.kind} for r in links.select("from_id", "to_id", "kind").collect()]}
+def wiki_section(pages: DataFrame, label: str) -> str:
+    """One community's page by its label or slug, in any case; what there is, if none has it."""
+    rows = pages.where((F.lower("label") == label.lower()) | (F.col("slug") == label.lower())).orderBy(F.desc("n_nodes"), "community").limit(1).collect()
+    if not rows:
+        return f"No section {label}. Sections: " + ", ".join(r.label for r in pages.select("label").distinct().orderBy("label").toLocalIterator())
+    return page_text(rows[0])
+
+
+_DRAW = """const v=document.getElementById("v"),g=v.getContext("2d"),q=document.getElementById("q"),k=document.getElementById("k");
+const at=new Map(d.nodes.map((n,i)=>[n.id,i])),N=d.nodes.length,L=d.links.map(l=>[at.get(l.source),at.get(l.target)]).filter(l=>l[0]!==undefined&&l[1]!==undefined);
+for(const x of [...new Set(d.nodes.map(n=>n.kind))].sort()){const o=document.createElement("option");o.textContent=x;k.append(o)}
+const R=30*Math.sqrt(N+1);d.nodes.forEach((n,i)=>{const a=i*2.399963;n.x=R*Math.sqrt((i+.5)/N)*Math.cos(a);n.y=R*Math.sqrt((i+.5)/N)*Math.sin(a)});
+let heat=N<20000?60:0,s=1,ox=0,oy=0;const step=()=>{for(const [a,b] of L){const p=d.nodes[a],r=d.nodes[b],dx=r.x-p.x,dy=r.y-p.y,z=Math.hypot(dx,dy)||1,f=(z-40)/z*.05;p.x+=dx*f;p.y+=dy*f;r.x-=dx*f;r.y-=dy*f}
+const cells=new Map();for(const n of d.nodes){const c=Math.floor(n.x/40)+","+Math.floor(n.y/40),m=cells.get(c);if(m){const dx=n.x-m.x||Math.random()-.5,dy=n.y-m.y||Math.random()-.5,z=Math.hypot(dx,dy);n.x+=dx/z*4;n.y+=dy/z*4}else cells.set(c,n)}};
+const draw=()=>{v.width=innerWidth;v.height=innerHeight-60;g.translate(v.width/2+ox,v.height/2+oy);const z=s*Math.min(v.width,v.height)/(2*R+80);g.scale(z,z);const t=q.value.toLowerCase(),on=n=>(!k.value||n.kind===k.value)&&n.label.toLowerCase().includes(t);
+g.strokeStyle="#8886";g.beginPath();for(const [a,b] of L){const p=d.nodes[a],r=d.nodes[b];if(on(p)&&on(r)){g.moveTo(p.x,p.y);g.lineTo(r.x,r.y)}}g.stroke();
+for(const n of d.nodes)if(on(n)){g.fillStyle=`hsl(${n.bucket*40} 60% 50%)`;g.beginPath();g.arc(n.x,n.y,5,0,7);g.fill();if(N<300||t){g.fillStyle="#333";g.fillText(n.label,n.x+7,n.y+3)}}};
+const run=()=>{if(heat-->0){step();requestAnimationFrame(run)}draw()};q.oninput=k.onchange=draw;v.onwheel=e=>{s*=e.deltaY<0?1.1:.9;draw();e.preventDefault()};v.onpointermove=e=>{if(e.buttons){ox+=e.movementX;oy+=e.movementY;draw()}};run()"""
 
 
-def drawing_html(data: dict, title: str = "graph") -> str:
-    """A page that holds its data and lists it; it loads nothing from elsewhere."""
-    body = json.dumps(data).replace("</", "<\\/")
-    return f"""<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><input id="q" placeholder="name"><ul id="n"></ul>
-<script>const d={body};const draw=()=>{{const q=document.getElementById("q").value.toLowerCase();document.getElementById("n").replaceChildren(...d.nodes.filter(x=>x.label.toLowerCase().includes(q)).map(x=>{{const li=document.createElement("li");li.textContent=x.kind+" "+x.label;return li}}))}};document.getElementById("q").oninput=draw;draw()</script>"""
+def write_drawing(graph: Graph, file: str, title: str = "graph") -> tuple[int, int]:
+    """A page that draws the whole graph, external nodes left out, with filters by kind and name; it loads nothing from elsewhere.
+
+    Rows go into the file a partition at a time. Returns the numbers of nodes and links.
+    """
+    own = Graph(graph.nodes.where("not is_external"), graph.edges)
+    nodes = store.view_nodes(own).select("id", "label", "kind", "bucket").orderBy("id")
+    links = store.view_edges(own).select(F.col("from_id").alias("source"), F.col("to_id").alias("target"), "kind").orderBy("source", "target", "kind")
+    count = []
+    with open(file, "w", encoding="utf-8") as f:
+        f.write(f"""<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1 style="font-size:1em">{html.escape(title)}</h1><input id="q" placeholder="name"><select id="k"><option></option></select><canvas id="v"></canvas>\n<script>const d={{""")
+        for name, rows in (("nodes", nodes), ("links", links)):
+            f.write(f'"{name}":[')
+            n = 0
+            for r in rows.toLocalIterator():
+                f.write(",\n" * bool(n) + json.dumps(r.asDict()).replace("</", "<\\/"))
+                n += 1
+            f.write("],")
+            count.append(n)
+        f.write(f"}};\n{_DRAW}</script>\n")
+    return count[0], count[1]
 
 
 # --- evaluation
@@ -190,6 +224,15 @@ def eval_markdown(summary: DataFrame) -> str:
     return "\n".join(["| Benchmark | Runs | Passed | Score |", "|---|---|---|---|", *[f"| {r.benchmark} | {r.runs} | {r.passed} | {r.avg_score:.3f} |" for r in rows]]) + "\n"
 
 
+def eval_csv(results: list[dict]) -> str:
+    """One line for each repository and benchmark."""
+    out = io.StringIO()
+    w = csv.DictWriter(out, ["repo", "benchmark", "score", "passed", "seconds"], lineterminator="\n")
+    w.writeheader()
+    w.writerows({k: f"{v:.3f}" if isinstance(v, float) else v for k, v in r.items()} for r in results)
+    return out.getvalue()
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """page_id, target: every href of a page, in order of appearance, repeats kept."""
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))

@@ -57,9 +57,7 @@ def apply_scan(store: st.Store, scan: DataFrame, now: int, force: bool = False,
     new_nodes = materialise(st.upsert(kept.nodes, nodes, ["id"], None, ["updated_at"]), "nodes")
     new_edges = materialise(st.upsert(kept.edges, edges, ["id"], ["reason", "updated_at"], ["updated_at"]), "edges")
     new_files = materialise(kept_files.unionByName(rows), "files")
-    store.save("nodes", new_nodes)
-    store.save("edges", new_edges)
-    store.save("files", new_files)
+    store.save_all({"nodes": new_nodes, "edges": new_edges, "files": new_files})
     return {"parsed": done.count(), "skipped": seen.count() - todo.count(), "errors": errors}
 
 
@@ -68,12 +66,20 @@ def build(spark: SparkSession, root: str, path: str, now: int = 0, force: bool =
     return apply_scan(st.Store(spark, path), discover(spark, root), now, force, True, calls)
 
 
+def remove_files(spark: SparkSession, path: str, paths: DataFrame) -> None:
+    """Take all files in ``paths`` (column file_path) out of a store, with their nodes' vectors, by one rewrite."""
+    store = st.Store(spark, path)
+    before = store.graph()
+    graph, files = st.delete_files(before, paths, store.load("files", schema.FILES))
+    tables = {"nodes": graph.nodes, "edges": graph.edges, "files": files}
+    if store.exists("embeddings"):
+        gone = before.nodes.join(paths, "file_path", "left_semi").select("id")
+        tables["embeddings"] = st.delete_embeddings(store.load("embeddings", schema.EMBEDDINGS), gone)
+    # all are computed before any is replaced, since edges and vectors are found by the old nodes
+    new = {name: materialise(df, name) for name, df in tables.items()}
+    store.save_all(new)
+
+
 def remove_file(spark: SparkSession, path: str, file_path: str) -> None:
     """Take one file out of a store."""
-    store = st.Store(spark, path)
-    one = spark.range(1).select(F.lit(file_path).alias("file_path"))
-    graph, files = st.delete_files(store.graph(), one, store.load("files", schema.FILES))
-    # all three are computed before any is replaced, since edges are found by the old nodes
-    new = {name: materialise(df, name) for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("files", files))}
-    for name, df in new.items():
-        store.save(name, df)
+    remove_files(spark, path, spark.range(1).select(F.lit(file_path).alias("file_path")))

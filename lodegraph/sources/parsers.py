@@ -246,10 +246,10 @@ def resolve_imports(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Edges whose ``file:`` end lacks a suffix, pointed at the first candidate among existing files; unresolved ones stay."""
     suffixes = [f".{e}" for e in "ts tsx js jsx mjs cjs".split()] + [f"/index.{e}" for e in "ts tsx js jsx".split()]
     open_ = edges.where("kind = 'imports' and to_id like 'file:%'")
-    bases = open_.select(F.substring("to_id", 6, 10_000).alias("base")).distinct()
+    bases = open_.select(F.expr("substring(to_id, 6)").alias("base")).distinct()
     tried = bases.select("base", F.posexplode(F.array(*[F.concat("base", F.lit(s)) for s in suffixes])).alias("rank", "file_path"))
     hit = tried.join(paths.select("file_path").distinct(), "file_path").groupBy("base").agg(F.min_by("file_path", "rank").alias("found"))
-    j = edges.withColumn("base", F.when((F.col("kind") == "imports") & F.col("to_id").startswith("file:"), F.substring("to_id", 6, 10_000))).join(hit, "base", "left")
+    j = edges.withColumn("base", F.when((F.col("kind") == "imports") & F.col("to_id").startswith("file:"), F.expr("substring(to_id, 6)"))).join(hit, "base", "left")
     to = F.when(F.col("found").isNotNull(), F.concat(F.lit("file:"), "found")).otherwise(F.col("to_id"))
     return j.withColumn("to_id", to).withColumn("id", F.concat_ws("|", "from_id", "kind", "to_id")).select(*edges.columns).dropDuplicates(["id"])
 

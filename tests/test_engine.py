@@ -53,6 +53,59 @@ def test_command_line(tree, spark):
     assert json.loads(run("registry-search", "help"))[0]["repo"] == root.name
 
 
+def test_lookups_index_and_sections(tree, spark):
+    e, root = tree
+    assert e.file("a.ts").first().language == "typescript" and e.file("zz.ts").count() == 0
+    e.embed_nodes()
+    n = e.embedding_count().first().n
+    assert e.embedding("a.ts").count() == 1
+    e.delete_embedding("a.ts")
+    assert e.embedding("a.ts").count() == 0 and e.embedding_count().first().n == n - 1
+    assert e.tfidf_search("start").count() >= 1
+    stamp = e.store.load("index_of").inputFiles()
+    assert e.find_similar("a.ts").count() >= 0 and e.store.load("index_of").inputFiles() == stamp
+    e.persist_communities()
+    first = e.stored_communities().first()
+    assert e.stored_communities(0).count() >= 1 and e.stored_communities(7).count() == 0 and e.community_members(first.id).count() == first["size"]
+    assert e.wiki_section("zzz").startswith("No section zzz. Sections: ") and "## Files" in e.wiki_section(first.name)
+    page = root / "g.html"
+    drawn = e.drawing(str(page))
+    assert drawn["nodes"] == e.graph.nodes.where("not is_external").count() and drawn["links"] > 0 and page.read_text().count('"source"') == drawn["links"]
+
+
+def test_watching_a_tree(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for n in "abc":
+        (src / f"{n}.py").write_text(f"def {n}1(): pass\n")
+    e = Engine(spark, str(tmp_path / "store"), str(src))
+    assert e.watch(rounds=1) == 1 and e.store.load("files").count() == 3
+    assert e.watch(rounds=1) == 0
+    e.embed_nodes()
+    (src / "a.py").unlink()
+    (src / "b.py").unlink()
+    (src / "c.py").write_text("def c2(): pass\n")
+    assert e.watch(rounds=1) == 1
+    left = {r.id for r in e.graph.nodes.collect()}
+    assert any(x.endswith("#c2") for x in left) and not any("/a.py" in x or "/b.py" in x for x in left)
+    assert not any("/a.py" in r.node_id for r in e.store.load("embeddings").collect())
+
+
+def test_evaluation(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("import b\ndef start():\n    return b.help()\n")
+    (src / "b.py").write_text("def help():\n    return 1\n")
+    spec = tmp_path / "repos.json"
+    spec.write_text(json.dumps([{"name": "two", "root": str(src), "store": str(tmp_path / "store"), "searches": {"help": "b.py"}, "entries": [], "bundle_file": "a.py"}]))
+    e = Engine(spark, str(tmp_path / "none"), str(src))
+    text = e.evaluate(str(spec), str(tmp_path / "out.csv"))
+    assert text.count("|") > 20 and "search_quality | 1 | 1 | 1.000" in text
+    lines = (tmp_path / "out.csv").read_text().splitlines()
+    assert lines[0] == "repo,benchmark,score,passed,seconds" and len(lines) == 6
+    assert e.eval_repos(str(spec)) == [{"name": "two", "root": str(src)}]
+
+
 def test_more_than_ten_thousand_files(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -78,8 +78,10 @@ def test_reports(spark, tmp_path):
     members = g.nodes.where("not is_external").selectExpr("id", "'all' as community")
     written = reports.write_wiki(reports.wiki_pages(g, members), str(tmp_path / "wiki"))
     assert len(written) == 2 and "Exported" in (tmp_path / "wiki" / written[1]).read_text()
-    d = reports.drawing(g)
-    assert {n["label"] for n in d["nodes"]} >= {"a.ts", "A"} and "<script>" in reports.drawing_html(d)
+    page = tmp_path / "g.html"
+    n, links = reports.write_drawing(g, str(page), "</script>")
+    text = page.read_text()
+    assert n == g.nodes.where("not is_external").count() and text.count('"bucket"') == n and text.count('"source"') == links and text.count("<script>") == 1
     rows = reports.run_eval(lambda: g, {"go": "go"}, {}, ["f"], 10_000, "/r/a.ts")
     assert [r["benchmark"] for r in rows] == list(reports.THRESHOLDS) and rows[1]["passed"] and rows[2]["score"] == 1
     assert "| search_quality | 1 | 1 | 1.000 |" in reports.eval_markdown(reports.eval_summary(spark.createDataFrame(rows)))
