@@ -14,7 +14,8 @@ apart when their characters are joined by rank. Characters outside the
 vocabulary are spelled in byte pieces. Results equal the library's, ids and text.
 
 Defined cases: a null text counts as empty and has no pieces; decoding gives
-back the normalised text; repeated rows give repeated results.
+back the normalised text; repeated rows give repeated results; words of more
+than ``LONG`` characters cost a step a character and are not remembered.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose pieces a worker remembers.
 REMEMBERED = 300_000
+#: Longer words are relaxed alone and not remembered.
+LONG = 2_000
 
 
 class _Pairs:
@@ -175,6 +178,36 @@ class Codec:
         start = suffixes[at]
         return start, start + self.sizes[piece], piece
 
+    def _encode_long(self, word: str) -> list[int]:
+        """The pieces of one long word, position by position."""
+        start, end, piece = self._edges(word + "\0")
+        order = np.lexsort((start, end))  # by end, the longest first
+        cut = np.searchsorted(end[order], np.arange(len(word) + 2)).tolist()
+        start, piece = start[order].tolist(), piece[order].tolist()
+        names, apart = self.search, {}
+        last, came = [-1] * (len(word) + 1), list(range(-1, len(word)))
+        for e in range(1, len(word) + 1):
+            for k in range(cut[e], cut[e + 1]):
+                s, p = start[k], piece[k]
+                pair = last[s], p
+                if s and pair[0] >= 0 and pair not in apart:
+                    apart[pair] = self._merge(list(names[pair[0]] + names[p])) == [names[pair[0]], names[p]]
+                if not s or pair[0] < 0 or apart[pair]:
+                    last[e], came[e] = p, s
+                    break
+        return self._ids(word, len(word), 0, last, came)
+
+    def _ids(self, text: str, e: int, b: int, last: list[int], came: list[int]) -> list[int]:
+        """The ids on the way back from ``e`` to ``b``."""
+        out: list[int] = []
+        while e > b:
+            if last[e] >= 0:
+                out.append(self.id[self.search[last[e]]])
+            else:
+                out.extend(self.byte[x] for x in reversed(text[e - 1].encode("utf-8", "replace")))
+            e = came[e]
+        return out[::-1]
+
     def _encode_words(self, words: list[str]) -> None:
         """Put the pieces of new words into the memory; all words are relaxed together, one position after another."""
         text = "\0".join(words) + "\0"  # a character between words that no piece holds
@@ -203,18 +236,9 @@ class Codec:
                 ok[check] = self._apart(before[check], p[check])
                 at = at[ok]
                 last[end[at]], came[end[at]], found[word[at]] = piece[at], start[at], e
-        ids = [self.id[p] for p in self.search]
         last, came = last.tolist(), came.tolist()
         for w, b in zip(words, base.tolist()):
-            out: list[int] = []
-            e = b + len(w)
-            while e > b:
-                if last[e] >= 0:
-                    out.append(ids[last[e]])
-                else:
-                    out.extend(self.byte[x] for x in reversed(text[e - 1].encode("utf-8", "replace")))
-                e = came[e]
-            self.known[w] = tuple(out[::-1])
+            self.known[w] = tuple(self._ids(text, b + len(w), b, last, came))
 
     def encode(self, texts: list) -> list[list[int]]:
         """Ids of every text."""
@@ -226,11 +250,15 @@ class Codec:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
                 new = {w for ws in cut for w in ws}
-            listed = list(new)
+            listed = [w for w in new if len(w) <= LONG]
             for i, j in slices(listed, 400_000):
                 self._encode_words(listed[i:j])
+            long = [w for w in new if len(w) > LONG]
+            self.known.update((w, tuple(self._encode_long(w))) for w in long)
             known = self.known.__getitem__
             out += [list(chain.from_iterable(map(known, ws))) for ws in cut]
+            for w in long:
+                del self.known[w]
         return out
 
     def _words(self, text: str) -> list[str]:

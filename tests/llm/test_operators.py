@@ -405,6 +405,48 @@ def test_subword_memory_is_bounded(monkeypatch, corpus):
     assert c.encode(texts) == c.model.encode(texts)
 
 
+def test_long_words_equal_the_library(spark):
+    c = subword.codec()
+    rng = random.Random(51)
+    texts = ["".join(rng.choice(["the", "ing", "a", "\u00e9", "zq", "\u4e2d"]) for _ in range(n)) for n in (700, 1500, 30_000)] + ["x" * 2_001 + " the end " + "ab" * 5_000]
+    assert c.encode(texts) == c.model.encode(texts) and not any(len(w) > subword.LONG for w in c.known)
+    df = docs(spark, [texts[0], None, "", texts[0]], [1, None, 2, 1], extra=True).withColumns({x: F.lit(0) for x in ("ids", "n_pieces", "round_trip")})
+    got = sorted(tuple(r) for r in subword.encode_and_decode(df).select("n_pieces", "round_trip").collect())
+    assert got == [(0, True), (0, True), *[(len(c.model.encode(texts[0])), True)] * 2]
+    assert subword.encode_and_decode(df.where("false")).count() == 0
+
+
+# --- edge cases of several operators
+def test_tables_with_null_and_repeated_ids_and_other_columns(spark, tmp_path):
+    texts = ["MIT license", "mit  LICENSE", None, "", "SPDX-License-Identifier: MIT", "MIT license", "long " * 60_000]
+    ids = [5, None, None, 7, 7, 5, 2000]
+    df = docs(spark, texts, ids, extra=True).withColumns({c: F.lit("x") for c in ("fingerprint", "canon", "labels", "score", "n_words", "held_out", "next_text", "lead", "edited", "y", "x")})
+    path = str(tmp_path)
+    df.write.parquet(f"{path}/documents.parquet")
+    got = fingerprints.op2_fingerprints(spark, path).collect()
+    assert len(got) == 7 and len({r.fingerprint for r in got if r.n_chars in (11, 12)}) == 1
+    by_chars = {(r.doc_id, r.n_chars) for r in got}
+    assert by_chars == {(i, len(t or "")) for i, t in zip(ids, texts)}
+    scanned = licenses.scan_documents(df)
+    assert sorted(r.n_base for r in scanned.collect()) == [0, 0, 0, 0, 1, 1, 1]
+    spark.createDataFrame([(5, 1, 0), (7, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    scored = quality.op10_quality_classifier(spark, path).collect()
+    assert len(scored) == 7 and all(0 <= r.score <= 1 for r in scored) and not any(r.held_out for r in scored if r.doc_id is None)
+    none = f"{path}/none"
+    df.where("false").write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert all(q(spark, none).count() == 0 for q in (fingerprints.op2_fingerprints, licenses.op6_license_scan, subword.op7_sentencepiece, quality.op10_quality_classifier))
+
+
+def test_warc_of_a_long_page(spark, tmp_path):
+    long = "<p>\u00e9</p>" * 400_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, None, "x")], "page_id bigint, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.op3_warc_archive(spark, str(tmp_path)).collect()}
+    n = len(long.encode())
+    assert got == {1: (n, "revisit", 2), 2: (n, "response", None), 3: (1, "response", None)}
+
+
 # --- 8
 def test_decontamination(spark):
     rng = random.Random(10)

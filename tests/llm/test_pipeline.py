@@ -46,3 +46,28 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, empty, path)
         assert out.columns == empty.columns and out.count() == 0
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_stages_with_null_ids_repeats_and_other_columns(spark, tmp_path):
+    rng = random.Random(22)
+    base = [prose(rng, rng.randint(5, 120)) for _ in range(25)]
+    texts = [*base, base[0], base[0], None, "", None, "w" * 30_000, " ".join(base)]
+    ids = [*range(24), None, 0, None, None, 30, 30, 31, 32]
+    path = str(tmp_path)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts)], S)
+    from pyspark.sql import functions as F
+
+    df = df.withColumns({c: F.lit(3) for c in ("th", "th_", "id_", "hits_", "score", "__th", "__id", "__hits", "n", "w")})
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(30, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, base[3]), (None, base[4])], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    at = spark.read.parquet(f"{path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, at, path)
+        assert out.columns == df.columns, name
+        out.write.parquet(f"{path}/{k}")
+        at = spark.read.parquet(f"{path}/{k}")
+    left = {(r.doc_id, r.text) for r in at.collect()}
+    assert not any(t and (base[3] in t or base[4] in t) for _, t in left) and len(left) > 15
+    assert len({t for _, t in left}) == len(left)
+    assert corpus_pipeline.STAGES[-1][1](spark, at, path).count() == at.count()
