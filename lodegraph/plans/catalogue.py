@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import graph_queries, risk_queries, source_queries, text_queries, whole_queries  # noqa: F401  (registers their queries)
+from lodegraph.plans import graph_queries, risk_queries, source_queries, store_queries, text_queries  # noqa: F401  (registers their queries)
 from lodegraph.plans.register import ORACLES, QUERIES  # noqa: F401

@@ -187,30 +187,38 @@ def impact_multi(spark, sf):
     return ops.impact(g, g.nodes.where("kind in ('module', 'type')").select("id"))
 
 
-@query(None)
+_FAR = """, w AS (SELECT id, 0 AS depth FROM g_nodes WHERE id = '{start}' UNION SELECT e.{far}, w.depth + 1 FROM w JOIN g_edges e ON e.{near} = w.id {kinds} WHERE w.depth < 10), d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
+par AS (SELECT d.id, d.depth, arg_min(p.id, (p.id, e.id)) AS parent, arg_min(e.id, (p.id, e.id)) AS edge FROM d JOIN g_edges e ON e.{far} = d.id {kinds} JOIN d p ON p.id = e.{near} AND p.depth = d.depth - 1 GROUP BY 1, 2)"""
+
+
+@query(G + _FAR.format(start=MODULE, far="from_id", near="to_id", kinds="AND e.kind IN ('imports', 'exports')") + f""", r AS (SELECT id, id AS path, 0 AS depth FROM d WHERE depth = 0 UNION ALL SELECT par.id, r.path || ' > ' || par.id, par.depth FROM r JOIN par ON par.parent = r.id)
+SELECT id, CAST(depth AS INTEGER) AS depth, path FROM r WHERE depth > 0""")
 def impact_paths(spark, sf):
     g = star_graph(spark, sf)
     return ops.impact(g, store.node(g, MODULE).select("id"), with_path=True).select("id", "depth", F.array_join("path", " > ").alias("path"))
 
 
-def _recent_order(g):
+def _first_order(g):
     return g.edges.where("kind = 'imports' and from_id like 'file:order/%'").agg(F.min(F.substring("from_id", 12, 20).cast("bigint")).alias("k")).first().k
 
 
-_PATH = """, s AS (SELECT 'file:order/' || min(o_orderkey) AS id FROM g_recent), w AS (SELECT id, 0 AS depth FROM s UNION
+_PATH = """, s AS (SELECT 'file:order/' || min(o_orderkey) AS id FROM orders), w AS (SELECT id, 0 AS depth FROM s UNION
 SELECT e.to_id, w.depth + 1 FROM w JOIN g_edges e ON e.from_id = w.id WHERE w.depth < 6) SELECT CAST(min(depth) AS INTEGER) AS depth FROM w WHERE id = 'external_dep:Brand#2' HAVING count(*) > 0"""
 
 
 @query(G + _PATH)
 def shortest_path_len(spark, sf):
     g = star_graph(spark, sf)
-    return ops.shortest_path(g, f"file:order/{_recent_order(g)}", "external_dep:Brand#2").select("depth")
+    return ops.shortest_path(g, f"file:order/{_first_order(g)}", "external_dep:Brand#2").select("depth")
 
 
-@query(None)
+@query(G + """, w AS (SELECT 'file:order/' || min(o_orderkey) AS id, 0 AS depth FROM orders UNION SELECT e.to_id, w.depth + 1 FROM w JOIN g_edges e ON e.from_id = w.id WHERE w.depth < 6), d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
+par AS (SELECT d.id, arg_min(p.id, (p.id, e.id)) AS parent, arg_min(e.id, (p.id, e.id)) AS edge FROM d JOIN g_edges e ON e.to_id = d.id JOIN d p ON p.id = e.from_id AND p.depth = d.depth - 1 GROUP BY 1),
+b AS (SELECT id, id AS path, '' AS edges FROM d WHERE id = 'external_dep:Brand#2' UNION ALL SELECT par.parent, par.parent || ' > ' || b.path, par.edge || CASE WHEN b.edges = '' THEN '' ELSE ', ' || b.edges END FROM b JOIN par ON par.id = b.id)
+SELECT path, edges FROM b WHERE id = (SELECT 'file:order/' || min(o_orderkey) FROM orders)""")
 def shortest_path_nodes(spark, sf):
     g = star_graph(spark, sf)
-    got = ops.shortest_path(g, f"file:order/{_recent_order(g)}", "external_dep:Brand#2")
+    got = ops.shortest_path(g, f"file:order/{_first_order(g)}", "external_dep:Brand#2")
     return got.select(F.array_join("path", " > ").alias("path"), F.array_join("edge_ids", ", ").alias("edges"))
 
 
@@ -274,6 +282,17 @@ def connected_components(spark, sf):
     return components.connected_components(star_graph(spark, sf).edges.where("kind = 'imports'"), "from_id", "to_id")
 
 
-@query(None)
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_$]+|[^a-zA-Z0-9_$]+') AS p FROM documents)
+SELECT doc_id, len(list_filter(p, lambda x: x = 'the')) AS n_replaced, sha256(array_to_string(list_transform(p, lambda x: CASE WHEN x = 'the' THEN '$the' ELSE x END), '')) AS new_sha256 FROM t""")
 def apply_rename(spark, sf):
     return ops.apply_rename(table(spark, sf, "documents").select("doc_id", "text"), "text", "the", "$the").select("doc_id", "n_replaced", F.sha2("new_text", 256).alias("new_sha256"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orders_without_lines(spark, sf):
+    return table(spark, sf, "orders").join(table(spark, sf, "lineitem").selectExpr("l_orderkey AS o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def customers_without_orders(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").selectExpr("o_custkey AS c_custkey"), "c_custkey", "left_anti").select("c_custkey")

@@ -161,15 +161,17 @@ def dominant_language(spark, sf):
 _ROLE = " ".join(f"WHEN bool_or(regexp_matches(p, '{rx}')) THEN '{r}'" for r, rx in com.ROLES)
 
 
-@query(f"WITH p AS (SELECT page_id % 40 AS c, lower(url || '/' || (CASE page_id % 9 WHEN 0 THEN 'util/x' WHEN 1 THEN 'a.test.ts' WHEN 2 THEN 'api/x' WHEN 3 THEN 'ui/x' ELSE 'x' END)) AS p FROM pages WHERE page_id % 40 >= page_id % 9) SELECT CAST(c AS VARCHAR) AS community, CASE {_ROLE} ELSE 'unknown' END AS role FROM p GROUP BY c")
+_TAIL = "CASE page_id % 40 % 9 WHEN 0 THEN 'util/x' WHEN 1 THEN 'a.test.ts' WHEN 2 THEN 'api/x' WHEN 3 THEN 'ui/x' ELSE 'x' END"
+
+
+@query(f"WITH p AS (SELECT page_id % 40 AS c, lower(url || '/' || ({_TAIL})) AS p FROM pages) SELECT CAST(c AS VARCHAR) AS community, count(*) AS pages, CASE {_ROLE} ELSE 'unknown' END AS role FROM p GROUP BY c")
 def infer_role(spark, sf):
+    """Roles of forty communities of all pages, with paths that differ by community."""
     from lodegraph.schema import Graph
 
-    m = F.col("page_id") % 9
-    tail = F.when(m == 0, "util/x").when(m == 1, "a.test.ts").when(m == 2, "api/x").when(m == 3, "ui/x").otherwise("x")
-    p = table(spark, sf, "pages").where(F.col("page_id") % 40 >= m)
-    nodes = p.select(F.col("page_id").cast("string").alias("id"), F.concat("url", F.lit("/"), tail).alias("file_path"))
-    return com.roles(Graph(nodes, nodes), p.select(F.col("page_id").cast("string").alias("id"), (F.col("page_id") % 40).cast("string").alias("community")))
+    p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), (F.col("page_id") % 40).cast("string").alias("community"), F.concat("url", F.lit("/"), F.expr(_TAIL)).alias("file_path"))
+    nodes = p.select("id", "file_path")
+    return com.roles(Graph(nodes, nodes), p.select("id", "community")).join(p.groupBy("community").agg(F.count("*").alias("pages")), "community")
 
 
 _NAMES = """, mm AS (SELECT m.id, m.community, kind, name, string_split(file_path, '/') AS s FROM m JOIN g_nodes USING (id)), sz AS (SELECT community, count(*) AS n, avg(CAST(kind IN ('class', 'interface') AS INTEGER)) AS share, min_by(name, id) FILTER (kind IN ('class', 'interface')) AS fc FROM mm GROUP BY 1),
@@ -198,14 +200,15 @@ def communities_persisted(spark, sf):
     return com.persist(g, com.detect(g))[0]
 
 
-@query("SELECT 'file' AS what, count(*) AS n FROM (SELECT DISTINCT c_custkey FROM customer)")
+@query("SELECT size, count(*) AS n FROM (SELECT 1 + count(o_orderkey) AS size FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) GROUP BY size")
 def file_component_count(spark, sf):
-    """Files joined by imports: every customer's file stands for itself in this graph."""
+    """Customers and their orders as files joined by imports: sizes of components and how many there are of each."""
     from lodegraph.schema import Graph
 
     g = star_graph(spark, sf)
-    nodes = g.nodes.where("kind = 'class'").withColumns({"kind": F.lit("file"), "file_path": F.col("id")})
-    return com.file_components(Graph(nodes, g.edges)).groupBy(F.lit("file").alias("what")).agg(F.countDistinct("component").alias("n"))
+    nodes = g.nodes.where("kind in ('class', 'file')").withColumns({"kind": F.lit("file"), "file_path": F.col("id")})
+    size = com.file_components(Graph(nodes, g.edges)).groupBy("component").agg(F.count("*").alias("size"))
+    return size.groupBy("size").agg(F.count("*").alias("n"))
 
 
 _LABELS = """WITH f AS (SELECT page_id % 17 AS c, url AS p FROM pages), s AS (SELECT c, regexp_split_to_array(p, '[/\\\\]') AS s FROM f), z AS (SELECT c, count(*) AS n, min(s) AS one FROM s GROUP BY 1),

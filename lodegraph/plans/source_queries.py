@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.text import round_half_up
 from lodegraph.plans import reports
+from lodegraph.plans.graph_queries import _LAYER
 from lodegraph.plans.register import query
 from lodegraph.sources import parsers
 from lodegraph.sources.tables import GRAPH_SQL, star_graph, table
@@ -28,11 +29,15 @@ def detect_language(spark, sf):
     return table(spark, sf, "pages").select("page_id", parsers.language(F.concat("url", e)).alias("language"))
 
 
-@query(None)
+@query("""WITH d AS (SELECT doc_id, source, lang, '/docs/' || doc_id || '.py' AS f FROM documents)
+SELECT 'file:' || f AS from_id, 'external_dep:' || source AS to_id, 'imports' AS kind, 'imports ' || source AS reason FROM d
+UNION ALL SELECT 'file:' || f, 'class:' || f || '#Doc' || doc_id, 'exports', 'exports class Doc' || doc_id FROM d
+UNION ALL SELECT 'file:' || f, 'function:' || f || '#read_' || lang, 'exports', 'exports function read_' || lang FROM d
+UNION ALL SELECT 'class:' || f || '#Doc' || doc_id, 'class:' || f || '#Base', 'inherits', 'Doc' || doc_id || ' inherits Base' FROM d""")
 def parse_sources(spark, sf):
-    """Every document as a small Python file that imports its source and defines a function of its language."""
+    """Every document as a Python file: its whole text as comments, an import of its source, a function of its language."""
     d = table(spark, sf, "documents")
-    code = F.concat(F.lit("import "), "source", F.lit("\n\nclass Doc"), F.col("doc_id").cast("string"), F.lit("(Base):\n    def read_"), "lang", F.lit("(self):\n        return 1\n"))
+    code = F.concat(F.lit("# "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n# ")), F.lit("\nimport "), "source", F.lit("\n\nclass Doc"), F.col("doc_id").cast("string"), F.lit("(Base):\n    def read_"), "lang", F.lit("(self):\n        return 1\n"))
     g, _ = parsers.parse_graph(d.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content")))
     return g.edges.select("from_id", "to_id", "kind", "reason")
 
@@ -55,7 +60,13 @@ def snapshot_events(spark, sf):
 _FILE = "/src/geo/region1.ts"
 
 
-@query(None)
+@query(G + _LAYER + f""", own AS (SELECT * FROM g_nodes WHERE file_path = '{_FILE}'), cls AS (SELECT id, name FROM own WHERE kind IN ('class', 'interface')),
+lines AS (SELECT 1 AS section_no, 'File' AS title, 'Bundle for `{_FILE}`' AS line
+UNION ALL SELECT 2, 'Layers', '- ' || layer || ': ' || n || ' files' FROM (SELECT layer, count(*) AS n FROM lay GROUP BY layer ORDER BY n DESC, layer LIMIT 12)
+UNION ALL SELECT 3, 'Symbols', '- ' || kind || ' `' || name || '`' FROM own WHERE kind <> 'file'
+UNION ALL SELECT 7, 'Hierarchy', '- `' || c.name || '` ' || CASE e.kind WHEN 'inherits' THEN 'extends' ELSE 'implements' END || ' `' || coalesce(n.name, e.to_id) || '`' FROM g_edges e JOIN cls c ON c.id = e.from_id LEFT JOIN g_nodes n ON n.id = e.to_id WHERE e.kind IN ('inherits', 'implements')
+UNION ALL SELECT 7, 'Hierarchy', '- `' || c.name || '` extended by `' || coalesce(n.name, e.from_id) || '`' FROM g_edges e JOIN cls c ON c.id = e.to_id LEFT JOIN g_nodes n ON n.id = e.from_id WHERE e.kind IN ('inherits', 'implements'))
+SELECT section_no, title, count(*) AS n_lines, CAST(ceil((sum(length(line)) + count(*) - 1) / 4.0) AS BIGINT) AS tokens FROM lines GROUP BY 1, 2""")
 def bundle_sections(spark, sf):
     return reports.bundle_sections(reports.bundle_lines(star_graph(spark, sf), _FILE))
 

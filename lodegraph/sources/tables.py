@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,32 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-_whole = [False]
-
-
-@contextlib.contextmanager
-def whole():
-    """Inside, ``star_graph`` has the edges of all orders and lines, not only of orders since 2000."""
-    _whole.append(True)
-    try:
-        yield
-    finally:
-        _whole.pop()
-
-
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The star schema's graph as stored tables, both partitioned by kind, so that a filter on kind reads only its files.
 
     Built once a session. A union of twelve branches under every query would have
     its semi-joins pushed into each branch, and plans grow by the product.
     """
-    every = _whole[-1]
-    stored = lambda part: kept(spark, f"star {part} {every} {sf_dir}", lambda: getattr(_star_graph(spark, sf_dir, every), part), "kind")
+    stored = lambda part: kept(spark, f"star {part} {sf_dir}", lambda: getattr(_star_graph(spark, sf_dir), part), "kind")
     return Graph(stored("nodes"), stored("edges"))
 
 
-def _star_graph(spark: SparkSession, sf_dir: str, every: bool) -> Graph:
-    """Eight kinds of edges and of nodes, without dangling edges; orders and lines since 2000, or ``every`` one."""
+def _star_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Eight kinds of edges, nine of nodes, without dangling edges; benchmark items are nodes without edges."""
     t = lambda name: table(spark, sf_dir, name)
     s = lambda c: F.col(c).cast("string")
     cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
@@ -57,7 +42,7 @@ def _star_graph(spark: SparkSession, sf_dir: str, every: bool) -> Graph:
     def node(df, id, kind, name, path, text, language, external=False):
         return df.select(id.alias("id"), F.lit(kind).alias("kind"), name.alias("name"), path.alias("file_path"), text.alias("description"), F.lit(external).alias("is_external"), F.lit(language).cast("string").alias("language"))
 
-    region, nation, customer, supplier, part, orders, lines = map(t, "region nation customer supplier part orders lineitem".split())
+    region, nation, customer, supplier, part, orders, lines, items = map(t, "region nation customer supplier part orders lineitem benchmark".split())
     catalog = cat("/src/catalog/", F.lower("p_type"), ".rs")
     nodes = [
         node(region, cat("module:region/", s("r_regionkey")), "module", F.col("r_name"), cat("/src/geo/region", s("r_regionkey"), ".ts"), cat("Region ", F.col("r_name")), "typescript"),
@@ -68,9 +53,8 @@ def _star_graph(spark: SparkSession, sf_dir: str, every: bool) -> Graph:
         node(part.select("p_type").distinct(), cat("type:ptype/", F.col("p_type")), "type", F.col("p_type"), catalog, cat("Part type ", F.col("p_type")), "rust"),
         node(part.select("p_brand").distinct(), cat("external_dep:", F.col("p_brand")), "external_dep", F.col("p_brand"), F.col("p_brand"), cat("Brand ", F.col("p_brand")), None, True),
         node(orders, cat("file:order/", s("o_orderkey")), "file", cat("order", s("o_orderkey"), ".ts"), cat("/src/", F.lower("o_orderpriority"), "/order", s("o_orderkey"), ".ts"), cat("Order status ", F.col("o_orderstatus")), "typescript"),
+        node(items, cat("test:item/", s("item_id")), "test", cat("item", s("item_id")), cat("/tests/item", s("item_id"), ".test.ts"), cat("Item ", s("item_id")), "typescript"),
     ]
-    recent = orders if every else orders.where(F.col("o_orderdate") >= F.to_timestamp(F.lit("2000-01-01 00:00:00")))
-    sold = lines.join(recent.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     of_nation = lambda c: cat("interface:nation/", s(c))
     order, sup, prt, cus = (lambda c: cat("file:order/", s(c))), (lambda c: cat("function:supplier/", s(c))), (lambda c: cat("method:part/", s(c))), (lambda c: cat("class:customer/", s(c)))
     ptype = cat("type:ptype/", F.col("p_type"))
@@ -79,12 +63,12 @@ def _star_graph(spark: SparkSession, sf_dir: str, every: bool) -> Graph:
         edge(nation, of_nation("n_nationkey"), "imports", cat("module:region/", s("n_regionkey"))),
         edge(customer, cus("c_custkey"), "imports", of_nation("c_nationkey")),
         edge(supplier, sup("s_suppkey"), "imports", of_nation("s_nationkey")),
-        edge(recent, order("o_orderkey"), "imports", cus("o_custkey")),
+        edge(orders, order("o_orderkey"), "imports", cus("o_custkey")),
         edge(customer.where("c_acctbal > 9000"), cus("c_custkey"), "implements", of_nation("c_nationkey")),
         edge(supplier.where("s_acctbal < 0"), sup("s_suppkey"), "tested_by", of_nation("s_nationkey")),
-        edge(sold.select("l_orderkey", "l_suppkey").distinct(), order("l_orderkey"), "calls", sup("l_suppkey")),
-        edge(sold.where("l_returnflag = 'R'").select("l_suppkey", "l_partkey").distinct(), sup("l_suppkey"), "calls", prt("l_partkey")),
-        edge(sold.select("l_orderkey", "l_partkey").distinct(), order("l_orderkey"), "contains", prt("l_partkey")),
+        edge(lines.select("l_orderkey", "l_suppkey").distinct(), order("l_orderkey"), "calls", sup("l_suppkey")),
+        edge(lines.where("l_returnflag = 'R'").select("l_suppkey", "l_partkey").distinct(), sup("l_suppkey"), "calls", prt("l_partkey")),
+        edge(lines.select("l_orderkey", "l_partkey").distinct(), order("l_orderkey"), "contains", prt("l_partkey")),
         edge(part, ptype, "exports", prt("p_partkey")),
         edge(part, prt("p_partkey"), "inherits", ptype),
         edge(part, prt("p_partkey"), "depends_on", cat("external_dep:", F.col("p_brand"))),
@@ -116,24 +100,21 @@ UNION ALL SELECT 'method:part/' || p_partkey, 'method', p_name, '/src/catalog/'
 UNION ALL SELECT DISTINCT 'type:ptype/' || p_type, 'type', p_type, '/src/catalog/' || lower(p_type) || '.rs', 'Part type ' || p_type, false, 'rust' FROM part
 UNION ALL SELECT DISTINCT 'external_dep:' || p_brand, 'external_dep', p_brand, p_brand, 'Brand ' || p_brand, true, NULL FROM part
 UNION ALL SELECT 'file:order/' || o_orderkey, 'file', 'order' || o_orderkey || '.ts', '/src/' || lower(o_orderpriority) || '/order' || o_orderkey || '.ts', 'Order status ' || o_orderstatus, false, 'typescript' FROM orders
-), g_recent AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'
+UNION ALL SELECT 'test:item/' || item_id, 'test', 'item' || item_id, '/tests/item' || item_id || '.test.ts', 'Item ' || item_id, false, 'typescript' FROM benchmark
 ), g_edges0 AS (
 SELECT 'interface:nation/' || n_nationkey AS from_id, 'imports' AS kind, 'module:region/' || n_regionkey AS to_id FROM nation
 UNION ALL SELECT 'class:customer/' || c_custkey, 'imports', 'interface:nation/' || c_nationkey FROM customer
 UNION ALL SELECT 'function:supplier/' || s_suppkey, 'imports', 'interface:nation/' || s_nationkey FROM supplier
-UNION ALL SELECT 'file:order/' || o_orderkey, 'imports', 'class:customer/' || o_custkey FROM g_recent
+UNION ALL SELECT 'file:order/' || o_orderkey, 'imports', 'class:customer/' || o_custkey FROM orders
 UNION ALL SELECT 'class:customer/' || c_custkey, 'implements', 'interface:nation/' || c_nationkey FROM customer WHERE c_acctbal > 9000
 UNION ALL SELECT 'function:supplier/' || s_suppkey, 'tested_by', 'interface:nation/' || s_nationkey FROM supplier WHERE s_acctbal < 0
-UNION ALL SELECT DISTINCT 'file:order/' || l_orderkey, 'calls', 'function:supplier/' || l_suppkey FROM lineitem JOIN g_recent ON o_orderkey = l_orderkey
-UNION ALL SELECT DISTINCT 'function:supplier/' || l_suppkey, 'calls', 'method:part/' || l_partkey FROM lineitem JOIN g_recent ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
-UNION ALL SELECT DISTINCT 'file:order/' || l_orderkey, 'contains', 'method:part/' || l_partkey FROM lineitem JOIN g_recent ON o_orderkey = l_orderkey
+UNION ALL SELECT DISTINCT 'file:order/' || l_orderkey, 'calls', 'function:supplier/' || l_suppkey FROM lineitem
+UNION ALL SELECT DISTINCT 'function:supplier/' || l_suppkey, 'calls', 'method:part/' || l_partkey FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL SELECT DISTINCT 'file:order/' || l_orderkey, 'contains', 'method:part/' || l_partkey FROM lineitem
 UNION ALL SELECT 'type:ptype/' || p_type, 'exports', 'method:part/' || p_partkey FROM part
 UNION ALL SELECT 'method:part/' || p_partkey, 'inherits', 'type:ptype/' || p_type FROM part
 UNION ALL SELECT 'method:part/' || p_partkey, 'depends_on', 'external_dep:' || p_brand FROM part
 ), g_edges AS (SELECT from_id || '|' || kind || '|' || to_id AS id, from_id, to_id, kind, kind || ' ' || to_id AS reason FROM g_edges0)"""
 
-#: With all orders and lines, for the whole_ queries.
-WHOLE_SQL = GRAPH_SQL.replace(" WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'", "")
-
 EVENT_SQL = """v_edges AS (
 SELECT DISTINCT a AS from_id, b AS to_id FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL)"""

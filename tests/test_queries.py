@@ -32,7 +32,6 @@ def test_whole_query(spark, name):
     db = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    name = name if "without" in name else f"whole_{name}"
     df = entry.queries()[name](spark, SF)
     cur = db.execute(entry.oracle_sql()[name])
     cols = [c[0] for c in cur.description]
@@ -40,14 +39,13 @@ def test_whole_query(spark, name):
 
 
 def test_whole_roles_hold_every_page(spark):
-    got = entry.queries()["whole_infer_role"](spark, SF).collect()
+    got = entry.queries()["infer_role"](spark, SF).collect()
     assert sum(r.pages for r in got) == tables.table(spark, SF, "pages").count() and len({r.role for r in got}) > 2
 
 
 def test_whole_edges(spark):
     """Every order imports its customer, every order and supplier of a line is called."""
-    with tables.whole():
-        e = tables.star_graph(spark, SF).edges
+    e = tables.star_graph(spark, SF).edges
     t = lambda name: tables.table(spark, SF, name)
     assert e.where("kind = 'imports' and from_id like 'file:order/%'").count() == t("orders").count()
     assert e.where("kind = 'calls' and from_id like 'file:order/%'").count() == t("lineitem").select("l_orderkey", "l_suppkey").distinct().count()
