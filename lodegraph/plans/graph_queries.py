@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators import components, graph as ops, store, traverse as tr
 from lodegraph.plans.register import query
-from lodegraph.sources.tables import EVENT_SQL, GRAPH_SQL, event_graph, star_graph, table
+from lodegraph.sources.tables import EVENT_SQL, GRAPH_SQL, SUPPLY_SQL, event_graph, star_graph, supply_graph, table
 
 G = "WITH RECURSIVE " + GRAPH_SQL
 N = ["id", "kind", "name", "file_path"]
@@ -236,6 +236,11 @@ def cycle_members(spark, sf):
     return ops.cycle_members(event_graph(spark, sf))
 
 
+@query(_CLOSURE.replace(EVENT_SQL, SUPPLY_SQL) + " SELECT a.from_id AS id, min(b.from_id) AS cycle FROM c a JOIN c b ON a.from_id = b.to_id AND a.to_id = b.from_id GROUP BY a.from_id")
+def supplier_cycles(spark, sf):
+    return ops.cycle_members(supply_graph(spark, sf))
+
+
 @query(None)
 def detect_cycles_dfs(spark, sf):
     paths = ops.cycle_paths(event_graph(spark, sf))

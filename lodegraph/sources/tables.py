@@ -90,6 +90,18 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges)
 
 
+def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Which supplier stands in the line behind which in an order, as ``imports``: cyclic, and it grows with the lines."""
+    from pyspark.sql import Window as W
+
+    name = lambda c: F.concat(F.lit("supplier/"), F.col(c).cast("string"))
+    lines = table(spark, sf_dir, "lineitem")
+    step = lines.select(name("l_suppkey").alias("from_id"), F.lead(name("l_suppkey")).over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")).alias("to_id")).where("to_id is not null").distinct()
+    nodes = table(spark, sf_dir, "supplier").select(name("s_suppkey").alias("id"), F.lit("file").alias("kind"), F.col("s_name").alias("name"), F.concat(F.lit("/supply/"), "s_name").alias("file_path"), F.lit("").alias("description"), F.lit(False).alias("is_external"), F.lit(None).cast("string").alias("language"))
+    edges = step.select(F.concat_ws("|", "from_id", F.lit("imports"), "to_id").alias("id"), "from_id", "to_id", F.lit("imports").alias("kind"), F.lit("").alias("reason"))
+    return Graph(nodes, edges)
+
+
 #: The same graphs as SQL, for comparison.
 GRAPH_SQL = """g_nodes AS (
 SELECT 'module:region/' || r_regionkey AS id, 'module' AS kind, r_name AS name, '/src/geo/region' || r_regionkey || '.ts' AS file_path, 'Region ' || r_name AS description, false AS is_external, 'typescript' AS language FROM region
@@ -116,5 +128,8 @@ UNION ALL SELECT 'method:part/' || p_partkey, 'inherits', 'type:ptype/' || p_typ
 UNION ALL SELECT 'method:part/' || p_partkey, 'depends_on', 'external_dep:' || p_brand FROM part
 ), g_edges AS (SELECT from_id || '|' || kind || '|' || to_id AS id, from_id, to_id, kind, kind || ' ' || to_id AS reason FROM g_edges0)"""
 
+SUPPLY_SQL = """v_edges AS (
+SELECT DISTINCT a AS from_id, b AS to_id FROM (SELECT 'supplier/' || l_suppkey AS a, 'supplier/' || lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL)"""
+
 EVENT_SQL = """v_edges AS (
 SELECT DISTINCT a AS from_id, b AS to_id FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL)"""
