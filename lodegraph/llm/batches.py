@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +28,24 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def _tidy() -> None:
+    """Give freed memory back to the system: a worker lives through many tasks, beside others in one executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with the worker's memory tidied behind each task."""
+
+    def tidied(batches):
+        yield from run(batches)
+        _tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -45,7 +66,7 @@ def map_rows(df: DataFrame, schema: T.StructType | str, fn: Callable[..., dict[s
                 got = fn(*(c.to_pylist() for c in b.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return map_batches(df, run, out)
 
 
 def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list]) -> DataFrame:
@@ -57,4 +78,4 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list]) -> Dat
             if b.num_rows:
                 yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.batches import fresh, map_rows, slices
+from lodegraph.llm.batches import fresh, map_batches, map_rows, slices
 from lodegraph.llm.hot import join_counted
 from lodegraph.operators.components import connected_components
 from lodegraph.storage import materialise, size_checked
@@ -131,7 +131,7 @@ def _buckets(rows: DataFrame, level: int, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c) for c in ["fid", *FP])], ["bucket", "fid", *FP])
 
     schema = "bucket bigint, fid bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
-    return rows.select("bucket", "fid", *FP).mapInArrow(run, schema)
+    return map_batches(rows.select("bucket", "fid", *FP), run, schema)
 
 
 def _verify(batches):
@@ -169,7 +169,7 @@ def _verify(batches):
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "a bigint, b bigint, distance int")
+    return map_batches(rows.repartition("bucket").sortWithinPartitions("bucket"), _verify, "a bigint, b bigint, distance int")
 
 
 def links(classes: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodegraph.llm.batches import slices
+from lodegraph.llm.batches import map_batches, slices
 from lodegraph.llm.hot import join_counted
 from lodegraph.storage import drop, materialise, size_checked
 
@@ -183,7 +183,7 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
                 at = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([ids.take(at), ths.take(at), pa.array(pos, pa.int32()), pa.array(key.view(np.int64))], ["doc_id", "th", "pos", "key"])
 
-    return _keyed(documents).mapInArrow(run, "doc_id bigint, th bigint, pos int, key bigint")
+    return map_batches(_keyed(documents), run, "doc_id bigint, th bigint, pos int, key bigint")
 
 
 def _around(i: int | None, th: int, words: list[bytes], pos: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -227,7 +227,7 @@ def _suffixes(documents: DataFrame, bitmap, bits: int) -> DataFrame:
                     o = int(owner[i])
                     yield _around(ids[lo + o], ths[lo + o], raws[o].split(), pos[i:j], key[i:j])
 
-    return _keyed(documents).mapInArrow(lambda batches: _gathered(parts(batches)), SUFFIX)
+    return map_batches(_keyed(documents), lambda batches: _gathered(parts(batches)), SUFFIX)
 
 
 def _joined_suffixes(documents: DataFrame, counts: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _joined_suffixes(documents: DataFrame, counts: DataFrame) -> DataFrame:
                 pos, key = np.array([x["pos"] for x in spots]), np.array([x["key"] for x in spots])
                 yield _around(i, th, _raw([text])[0].split(), pos, key)
 
-    return docs.mapInArrow(lambda batches: _gathered(parts(batches)), SUFFIX)
+    return map_batches(docs, lambda batches: _gathered(parts(batches)), SUFFIX)
 
 
 def _lengthened(rows: DataFrame, width: int) -> DataFrame:
@@ -265,7 +265,7 @@ def _lengthened(rows: DataFrame, width: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "th", "pos", "lo", "key", "key2", "before", "after"])
 
-    return rows.select("doc_id", "th", "pos", "lo", "before", "after").mapInArrow(parts, SUFFIX.replace("key bigint,", "key bigint, key2 bigint,"))
+    return map_batches(rows.select("doc_id", "th", "pos", "lo", "before", "after"), parts, SUFFIX.replace("key bigint,", "key bigint, key2 bigint,"))
 
 
 def _order(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +337,7 @@ def _trees(rows: DataFrame, width: int) -> DataFrame:
         if size:
             yield from done(pa.Table.from_batches(held))
 
-    return rows.select("doc_id", "th", "pos", "lo", "key", "before", "after").repartition("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
+    return map_batches(rows.select("doc_id", "th", "pos", "lo", "key", "before", "after").repartition("key").sortWithinPartitions("key"), run, FOUND)
 
 
 def _equal_windows(rows: DataFrame) -> DataFrame:
@@ -413,7 +413,7 @@ def map_kept(documents: DataFrame, schema: str, fn) -> DataFrame:
             cols = fn(b.column("doc_id").to_pylist(), got)
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
 
-    return with_hits(documents).mapInArrow(run, T._parse_datatype_string(schema))
+    return map_batches(with_hits(documents), run, T._parse_datatype_string(schema))
 
 
 def with_hits(documents: DataFrame) -> DataFrame:
