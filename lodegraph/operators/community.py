@@ -32,19 +32,21 @@ def weighted_pairs(graph: Graph) -> DataFrame:
     return e.groupBy(F.least("from_id", "to_id").alias("u"), F.greatest("from_id", "to_id").alias("v")).agg(F.max("w").alias("w"))
 
 
-def local_moves(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def local_moves(pairs: DataFrame, most_rounds: int = 1000, degree: DataFrame | None = None, settle: bool = False) -> DataFrame:
     """id, community by weighted modularity moves, all in DataFrames; within each ``parent`` if ``pairs`` has that column.
 
+    ``degree`` (parent, id, k) may say what weight ends in each node, pairs inside it counted twice; else the pairs say.
+
     A node wants to move to the neighbouring community with the largest gain in modularity, ties to the smaller name.
     At first half of the nodes (by hash and round) do so and the others hold still, so that no two neighbours swap for ever.
-    Once that lowers the number of those who want to by less than a twentieth, each community takes part in one move a round
-    at most: such moves do not touch each other, modularity rises with each, and so they come to an end. The rounds stop
-    when no node wants to move; labels that have not settled after ``most_rounds`` are an error.
+    Once that lowers the number of those who want to by less than a twentieth, the moves end, whatever the size of the graph; to ``settle``,
+    each community then takes part in one move a round at most: such moves do not touch each other, modularity rises with each, and so
+    they end when no node wants to move. Labels that have not come to either end after ``most_rounds`` are an error.
     """
     if "parent" not in pairs.columns:
         pairs = pairs.withColumn("parent", F.lit(""))
     both = materialise(pairs.select("parent", F.col("u").alias("id"), F.col("v").alias("other"), "w").union(pairs.select("parent", "v", "u", "w")), "louvain")
-    degree = materialise(both.groupBy("parent", "id").agg(F.sum("w").alias("k")), "louvain")
+    degree = materialise(both.groupBy("parent", "id").agg(F.sum("w").alias("k")) if degree is None else degree, "louvain")
     total = materialise(degree.groupBy("parent").agg(F.sum("k").alias("total")), "louvain")
     label = materialise(degree.join(total, "parent").select("id", F.col("id").alias("community"), "k", "total"), "louvain")
     alone, fewest = False, None
@@ -62,6 +64,8 @@ def local_moves(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
         if not wants:
             break
         alone = alone or (fewest is not None and wants > 0.95 * fewest)
+        if alone and not settle:
+            break
         fewest = min(wants, fewest or wants)
         if alone:
             first = wishes.select(F.explode(F.array("now", "to")).alias("c"), F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id").alias("x")).groupBy("c").agg(F.min("x").alias("x"))
@@ -78,10 +82,43 @@ def local_moves(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return label.select("id", "community")
 
 
-def detect(graph: Graph, most_rounds: int = 1000) -> DataFrame:
-    """id, community of non-external nodes in communities of two and more; those of more than 50 are split once, whatever their size."""
-    pairs = materialise(weighted_pairs(graph), "pairs")
+def louvain(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """id, community: moves of nodes, then of whole communities as the nodes of a coarser graph, until none of them moves."""
+    ends = pairs.select(F.col("u").alias("id"), "w").union(pairs.select("v", "w"))
     label = materialise(local_moves(pairs, most_rounds), "louvain")
+    while True:
+        of = lambda c: label.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+        between = pairs.join(of("u"), "u").join(of("v"), "v").where("cu != cv")
+        coarse = materialise(between.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")), "louvain")
+        if coarse.isEmpty():
+            return label
+        degree = ends.join(label, "id").groupBy(F.lit("").alias("parent"), F.col("community").alias("id")).agg(F.sum("w").alias("k"))
+        upper = materialise(local_moves(coarse, most_rounds, degree), "louvain")
+        if upper.where("id != community").isEmpty():
+            return label
+        label = materialise(label.join(upper.select(F.col("id").alias("community"), F.col("community").alias("top")), "community").select("id", F.col("top").alias("community")), "louvain")
+
+
+def modularity(pairs: DataFrame, members: DataFrame) -> float:
+    """How much more weight lies inside the communities than chance would put there."""
+    of = lambda c: members.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+    e = pairs.join(of("u"), "u").join(of("v"), "v")
+    inside, total = e.agg(F.coalesce(F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w"))), F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    k = e.select(F.col("cu").alias("c"), "w").union(e.select("cv", "w")).groupBy("c").agg(F.sum("w").alias("k"))
+    return inside / total - k.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * total * total) if total else 0.0
+
+
+def detect(graph: Graph, most_rounds: int = 1000, method: str = "louvain") -> DataFrame:
+    """id, community of non-external nodes in communities of two and more; those of more than 50 are split once, whatever their size.
+
+    ``method`` components: the files that imports join, with all their nodes; without any pair of nodes that is what is left to tell, too.
+    """
+    pairs = materialise(weighted_pairs(graph), "pairs")
+    if method == "components" or pairs.isEmpty():
+        own = graph.nodes.where("not is_external").select("id", "file_path").join(file_components(graph), "file_path").select("id", F.col("component").alias("community"))
+        every = materialise(own, "louvain")
+        return every.join(every.groupBy("community").agg(F.count("*").alias("n")).where("n >= 2").select("community"), "community", "left_semi").select("id", "community")
+    label = materialise(louvain(pairs, most_rounds), "louvain")
     size = label.groupBy("community").agg(F.count("*").alias("n"))
     inner = pairs.join(label.select(F.col("id").alias("u"), F.col("community").alias("parent")), "u").join(label.select(F.col("id").alias("v"), F.col("community").alias("p2")), "v").where("parent = p2")
     inner = materialise(inner.join(size.where(F.col("n") > SPLIT_ABOVE).select(F.col("community").alias("parent")), "parent", "left_semi").select("parent", "u", "v", "w"), "louvain")

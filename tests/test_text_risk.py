@@ -123,7 +123,7 @@ def test_moves_settle(spark):
     rng = random.Random(1)
     pairs = sorted({(q, *sorted((f"{q}{a:03}", f"{q}{b:03}"))) for q in "pq" for a, b in (rng.sample(range(90), 2) for _ in range(200))})
     df = spark.createDataFrame([(q, u, v, 1.0) for q, u, v in pairs], "parent string, u string, v string, w double")
-    label = {r.id: r.community for r in com.local_moves(df).collect()}
+    label = {r.id: r.community for r in com.local_moves(df, settle=True).collect()}
     near, total, s = {}, {"p": 0, "q": 0}, {}
     for q, u, v in pairs:
         near.setdefault(u, []).append(v)
@@ -136,7 +136,7 @@ def test_moves_settle(spark):
         gain = lambda c, u=u, n=n: sum(label[v] == c for v in n) - len(n) * (s[c] - len(n) * (c == label[u])) / total[u[0]]
         assert all(gain(label[v]) <= gain(label[u]) + 1e-6 for v in n)
     with pytest.raises(RuntimeError):
-        com.local_moves(df, 2)
+        com.local_moves(df, 2, settle=True)
 
 
 def test_registry(spark, tmp_path):
