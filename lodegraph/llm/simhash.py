@@ -5,11 +5,12 @@ of one fingerprint are one class from the start. Several tables sample random
 coordinates of the fingerprint, by ``plan()`` as many as the number of
 fingerprints asks for; fingerprints that agree on a table's sample meet in a
 bucket and every pair in it is verified by its Hamming distance (at most
-``RADIUS``). A bucket of more than ``CAP`` fingerprints is taken apart by
-additional random bits, in several subtables so that near pairs still meet;
-what is oversized after ``LEVELS`` rounds is compared completely, in blocks.
-Nothing is capped away. Verified links are joined into groups by connected
-components.
+``RADIUS``). A bucket of more than ``CAP`` fingerprints is compared completely,
+too, in blocks that many tasks share. Nothing is capped away. A pair counts in
+the first table where it meets and nowhere else, so links are added up where
+they are found, and no table of pairs, which grows with the square of a group,
+is ever written: what is left of a bucket is a sum and a root by fingerprint.
+Roots are joined into groups by connected components.
 
 Defined cases: a null text counts as empty; a text without word characters is
 known by its whole string; equal texts have equal fingerprints; a null doc_id
@@ -41,15 +42,17 @@ MEAN_BUCKET = 128
 #: Chance that a pair at the radius agrees on the sample of some table.
 MEET = 0.94
 CAP = 512
-MORE_BITS = 8
-SUBTABLES = 16
+#: Without effect since oversized buckets are no longer split; tests still set it.
 LEVELS = 3
 BLOCK = 2048
+#: Near pairs that are held at once.
+PAIRS = 300_000
 #: Words of one text whose bits are held at once.
 PART = 8192
 _WORD = re.compile(r"[^\W_]+")
 _NULL_ID = -(2**63)
 FP = ["f0", "f1", "f2", "f3"]
+ROW = "bucket bigint, fid bigint, members bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
 
 
 def _features(text: str) -> set[str]:
@@ -105,99 +108,221 @@ def plan(n: int) -> tuple[int, int]:
     return math.ceil(math.log(1 - MEET) / math.log1p(-agree(bits))), bits
 
 
-def _samples(level: int, n: int) -> np.ndarray:
-    """(tables, bits) coordinates of a level."""
-    rng = np.random.default_rng(977 + level)
-    tables, bits = plan(n) if level == 0 else (SUBTABLES, MORE_BITS)
+def _samples(n: int) -> np.ndarray:
+    """(tables, bits) sampled coordinates."""
+    rng = np.random.default_rng(977)
+    tables, bits = plan(n)
     return np.stack([rng.permutation(256)[:bits] for _ in range(tables)])
 
 
-def _buckets(rows: DataFrame, level: int, n: int) -> DataFrame:
-    """Rows of (bucket, fid, f0..f3), once for every table of the level below their bucket."""
-    sample = _samples(level, n)
+def _masks(sample: np.ndarray) -> np.ndarray:
+    """(tables, 4) uint64: the sampled coordinates as bits of a fingerprint."""
+    bits = np.zeros((len(sample), 256), np.uint8)
+    bits[np.arange(len(sample))[:, None], sample] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _buckets(classes: DataFrame, sample: np.ndarray) -> DataFrame:
+    """Rows of ROW, one for every table; a bucket's number tells its table, by the remainder."""
+    tables, bits = sample.shape
+    names = ["fid", "members", *FP]
 
     def run(batches):
         for b in batches:
             f = np.stack([b.column(c).to_numpy() for c in FP], 1)
-            bits = np.unpackbits(f.view(np.uint8).reshape(len(f), 32), axis=1).astype(np.uint64)
-            prior = b.column("bucket").to_numpy().view(np.uint64)
+            rows = np.ascontiguousarray(np.unpackbits(f.view(np.uint8).reshape(len(f), 32), axis=1).T)
             for t, at in enumerate(sample):
-                key = (bits[:, at] << np.arange(len(at), dtype=np.uint64)).sum(1, dtype=np.uint64)
-                key = (prior * np.uint64(0x9E3779B97F4A7C15)) ^ (key * np.uint64(len(sample) + 1) + np.uint64(t + 1))
-                if level:  # mixed, since prior buckets take all 64 bits
-                    key ^= key >> np.uint64(29)
-                    key *= np.uint64(0xBF58476D1CE4E5B9)
-                    key ^= key >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c) for c in ["fid", *FP])], ["bucket", "fid", *FP])
-
-    schema = "bucket bigint, fid bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
-    return map_batches(rows.select("bucket", "fid", *FP), run, schema)
-
-
-def _verify(batches):
-    """Links of rows that come sorted by bucket: (a, b, distance), a < b."""
-    carry = None
-    names = ["bucket", "fid", *FP]
-
-    def links(m: np.ndarray):
-        if len(m) < 2:
-            return
-        at = np.arange(len(m) - 1)
-        step = 1
-        while len(at):
-            at = at[at + step < len(m)]
-            at = at[m[at, 0] == m[at + step, 0]]
-            for k in range(0, len(at), 100_000):
-                i = at[k : k + 100_000]
-                j = i + step
-                d = np.bitwise_count((m[i, 2:] ^ m[j, 2:]).view(np.uint64)).sum(1)
-                ok = (d <= RADIUS) & (m[i, 1] != m[j, 1])
-                if ok.any():
-                    a, b = m[i[ok], 1], m[j[ok], 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[ok].astype(np.int32))], ["a", "b", "distance"])
-            step += 1
-
+                key = np.zeros(len(f), np.int64)
+                for k, byte in enumerate(np.packbits(rows[at], axis=0)):
+                    key |= byte.astype(np.int64) << (8 * k)
+                yield pa.RecordBatch.from_arrays([pa.array(key * tables + t), *(b.column(c) for c in names)], ["bucket", *names])
+
+    return map_batches(classes.select(*names), run, ROW)
+
+
+def _near(one: np.ndarray, other: np.ndarray | None = None):
+    """(i, j) of fingerprints within the radius: of ``one`` and ``other``, or i < j of ``one`` alone."""
+    to = one if other is None else other
+    step = max(1, 200_000 // max(1, len(to)))
+    for lo in range(0, len(one), step):
+        first = lo if other is None else 0
+        x = [np.bitwise_count(one[lo : lo + step, k, None] ^ to[None, first:, k]) for k in range(4)]
+        i, j = np.nonzero((x[0] + x[1]).astype(np.uint16) + (x[2] + x[3]) <= RADIUS)
+        if other is None:
+            later = j > i
+            i, j = i[later], j[later]
+        yield i + lo, j + first
+
+
+def _near_within(m: np.ndarray):
+    """(i, j) of the rows of small buckets, sorted by bucket, that are within the radius of each other."""
+    f = m[:, 3:].view(np.uint64)
+    at = np.arange(len(m) - 1)
+    step = 1
+    while len(at):
+        at = at[at + step < len(m)]
+        at = at[m[at, 0] == m[at + step, 0]]
+        for k in range(0, len(at), 100_000):
+            i = at[k : k + 100_000]
+            ok = np.bitwise_count(f[i] ^ f[i + step]).sum(1) <= RADIUS
+            yield i[ok], i[ok] + step
+        step += 1
+
+
+def _met_before(x: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which of the pairs that differ in ``x`` meet in a table before theirs, too."""
+    met = np.zeros(len(x), bool)
+    left = np.arange(len(x))
+    for t, mask in enumerate(masks):
+        some = table > t
+        left, x, table = left[some], x[some], table[some]
+        if not len(left):
+            break
+        same = ~(x & mask).any(1)
+        met[left[same]] = True
+        left, x, table = left[~same], x[~same], table[~same]
+    return met
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows one row of its component under the links a - b, the same for all of them."""
+    root = np.arange(n)
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+        root[b] = a
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _told(m: np.ndarray, pairs, masks: np.ndarray, listed: bool):
+    """What the near pairs (i, j) of ``m`` say, each in the first table where it meets: see linked(), or links() if ``listed``."""
+    f = m[:, 3:].view(np.uint64)
+    held: list[tuple] = []
+    size = 0
+
+    def tell():
+        i, j = (np.concatenate(c) for c in zip(*held))
+        x = f[i] ^ f[j]
+        new = ~_met_before(x, m[i, 0] % len(masks), masks)
+        i, j, x = i[new], j[new], x[new]
+        if listed:
+            a, b = m[i, 1], m[j, 1]
+            return np.minimum(a, b), np.maximum(a, b), np.bitwise_count(x).sum(1).astype(np.int64)
+        others = np.bincount(i, m[j, 2], len(m)) + np.bincount(j, m[i, 2], len(m))
+        at = np.flatnonzero(others)
+        return m[at, 1], m[_roots(len(m), i, j)[at], 1], others[at].astype(np.int64)
+
+    for i, j in pairs:
+        if len(i):
+            held.append((i, j))
+            size += len(i)
+        if size >= PAIRS:
+            yield tell()
+            held, size = [], 0
+    if held:
+        yield tell()
+
+
+def _compare(batches, masks: np.ndarray, cap: int, listed: bool):
+    """FOUND of rows that come sorted by bucket; the rows of buckets of more than ``cap`` are handed on."""
+    names = ["bucket", "fid", "members", *FP]
+
+    def on(m: np.ndarray):
+        columns = [pa.array(np.ascontiguousarray(m[:, k])) for k in range(7)]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(m), pa.int64())] * 2], [*names, "root", "others"])
+
+    def settled(m: np.ndarray):
+        edge = np.flatnonzero(np.diff(m[:, 0], prepend=m[:1, 0] - 1, append=m[-1:, 0] + 1))
+        sizes = np.diff(edge)
+        each = np.repeat(sizes, sizes)
+        if (each > cap).any():
+            yield on(m[each > cap])
+        m, each, sizes = m[each <= cap], each[each <= cap], sizes[sizes <= cap]
+        middle = min(cap, 48)
+        small = m[(each > 1) & (each <= middle)]
+
+        def pairs():
+            ends = sizes.cumsum()
+            for hi, n in zip(ends[sizes > middle].tolist(), sizes[sizes > middle].tolist()):
+                for i, j in _near(f[hi - n : hi]):
+                    yield i + hi - n, j + hi - n
+
+        f = m[:, 3:].view(np.uint64)
+        for part, near in ((small, _near_within(small)), (m, pairs())):
+            for fid, root, others in _told(part, near, masks, listed):
+                yield pa.RecordBatch.from_arrays([none := pa.nulls(len(fid), pa.int64()), pa.array(fid), *[none] * 5, pa.array(root), pa.array(others)], [*names, "root", "others"])
+
+    carry, wide = np.zeros((0, 7), np.int64), None
     for b in batches:
         m = np.stack([b.column(c).to_numpy() for c in names], 1)
-        m = m if carry is None else np.concatenate([carry, m])
-        if len(m):
-            cut = int(np.searchsorted(m[:, 0], m[-1, 0], side="left"))
-            yield from links(m[:cut])
-            carry = m[cut:]
-    if carry is not None:
-        yield from links(carry)
+        if wide is not None:
+            k = int(np.searchsorted(m[:, 0], wide, side="right"))
+            yield on(m[:k])
+            m = m[k:]
+        if not len(m):
+            continue
+        wide = None
+        m = np.concatenate([carry, m])
+        cut = int(np.searchsorted(m[:, 0], m[-1, 0], side="left"))
+        if cut:
+            yield from settled(m[:cut])
+        carry = m[cut:]
+        if len(carry) > cap:
+            yield on(carry)
+            carry, wide = carry[:0], carry[0, 0]
+    if len(carry):
+        yield from settled(carry)
+
+
+def _found(classes: DataFrame, listed: bool) -> DataFrame:
+    """fid, root, others: see linked(), or links() if ``listed``."""
+    sample = _samples(classes.count())
+    masks, cap = _masks(sample), CAP
+    met = _buckets(classes, sample).repartition("bucket").sortWithinPartitions("bucket")
+    out = materialise(map_batches(met, lambda batches: _compare(batches, masks, cap, listed), f"{ROW}, root bigint, others bigint"), "met")
+    found = out.where("root is not null").select("fid", "root", "others")
+    rest = out.where("root is null").select("bucket", "fid", "members", *FP)
+    wide = materialise(rest.groupBy("bucket").count(), "wide")
+    if wide.isEmpty():
+        return found
+    # oversized: all pairs, by pairs of blocks
+    g = F.ceil(F.col("count") / BLOCK).cast("int")
+    blocks = rest.join(size_checked(wide, 32), "bucket").withColumns({"g": g, "own": F.pmod(F.xxhash64("fid"), g).cast("int")})
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "fid", "members", *FP)
+
+    def compared(t: pa.Table) -> pa.Table:
+        own = t.column("own").to_numpy()
+        order = np.argsort(own, kind="stable")
+        m = np.stack([t.column(c).to_numpy() for c in ("bucket", "fid", "members", *FP)], 1)[order]
+        f, k = m[:, 3:].view(np.uint64), int((own == own.min()).sum())
+        if t.column("one")[0].as_py() == t.column("two")[0].as_py():
+            near = _near(f)
+        else:  # empty if one of the blocks is
+            near = ((i, j + k) for i, j in _near(f[:k], f[k:]))
+        parts = [np.stack(x, 1) for x in _told(m, near, masks, listed)] or [np.zeros((0, 3), np.int64)]
+        got = np.concatenate(parts)
+        return pa.table({c: pa.array(np.ascontiguousarray(got[:, i])) for i, c in enumerate(("fid", "root", "others"))})
+
+    return found.unionByName(cells.groupBy("bucket", "one", "two").applyInArrow(compared, "fid bigint, root bigint, others bigint"))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    return map_batches(rows.repartition("bucket").sortWithinPartitions("bucket"), _verify, "a bigint, b bigint, distance int")
+def links(classes: DataFrame) -> DataFrame:
+    """(a, b, distance): pairs of different fingerprints within the radius that met in a bucket, one row each."""
+    found = _found(classes.select("fid", F.lit(1).cast("bigint").alias("members"), *FP), True)
+    return found.select(F.col("fid").alias("a"), F.col("root").alias("b"), F.col("others").cast("int").alias("distance"))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b, distance): pairs of different fingerprints within the radius that met in a bucket."""
-    rows = classes.select(F.lit(0).cast("bigint").alias("bucket"), "fid", *FP)
-    n = rows.count()
-    parts = []
-    for level in range(LEVELS):
-        keyed = _buckets(rows, level, n)
-        wide = materialise(keyed.groupBy("bucket").count().where(F.col("count") > CAP), "wide")
-        n_wide = wide.count()
-        if not n_wide:
-            parts.append(_met(keyed))
-            rows = None
-            break
-        hint = size_checked(wide, 32)
-        parts.append(_met(keyed.join(hint, "bucket", "left_anti")))
-        rows = keyed.join(hint, "bucket")
-    if rows is not None:
-        # still oversized: all pairs, by pairs of blocks
-        g = F.ceil(F.col("count") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("fid"), g).cast("int")
-        blocks = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), g - 1)).alias("other"))
-        parts.append(_met(blocks.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fid", *FP)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("a", "b").agg(F.first("distance").alias("distance"))
+def linked(classes: DataFrame) -> DataFrame:
+    """(fid, root, others): what links() has, without its pairs, which grow with the square of a group.
+
+    The sum of ``others`` by fid is the members of all fingerprints that it is linked with; the edges fid - root have the components of all links.
+    """
+    return _found(classes, False)
 
 
 def groups(documents: DataFrame) -> DataFrame:
@@ -205,10 +330,9 @@ def groups(documents: DataFrame) -> DataFrame:
     rows = materialise(printed(documents), "simhash")
     classes = rows.groupBy(*FP).agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("members"))
     classes = materialise(classes.withColumn("fid", F.monotonically_increasing_id()), "simhash")
-    linked = materialise(links(classes), "simhash")
-    component = connected_components(linked, "a", "b")
-    both = linked.select("a", "b").union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("fid").alias("b"), "members"), "b").groupBy(F.col("a").alias("fid")).agg(F.sum("members").alias("others"))
+    found = materialise(linked(classes), "simhash")
+    component = connected_components(found.where("fid != root"), "fid", "root")
+    others = found.groupBy("fid").agg(F.sum("others").alias("others"))
     whole = classes.join(component.withColumnRenamed("id", "fid"), "fid", "left").join(others, "fid", "left")
     whole = whole.select("fid", *FP, "first", "members", F.coalesce("component", "fid").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     whole = materialise(whole, "simhash")

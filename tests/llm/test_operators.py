@@ -332,6 +332,31 @@ def test_simhash_oversized_buckets(spark, monkeypatch):
         assert got <= want and len(got) >= share * len(want)
 
 
+@pytest.mark.parametrize("cap, block", [(512, 2048), (100, 64), (20, 2048)])
+def test_simhash_links_of_a_large_group_are_summed(spark, monkeypatch, cap, block):
+    """700 near fingerprints: every link counts once, in whatever buckets and blocks it is found, and no table of pairs comes out."""
+    rng = np.random.default_rng(3)
+    bits = np.tile(rng.integers(0, 2, 256), (700, 1)).astype(np.uint8)
+    bits[np.arange(700)[:, None], rng.integers(0, 256, (700, 8))] ^= 1
+    bits[600:] = rng.integers(0, 2, (100, 256))  # of no group
+    f = np.packbits(bits, axis=1).view(np.uint64)
+    members = rng.integers(1, 4, 700)
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= simhash.RADIUS
+    np.fill_diagonal(near, False)
+    rows = [(i, int(members[i]), *map(int, f[i].view(np.int64))) for i in range(700)]
+    monkeypatch.setattr(simhash, "CAP", cap)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    got = simhash.linked(spark.createDataFrame(rows, "fid bigint, members bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")).collect()
+    others, up = Counter(), {r.fid: r.fid for r in got}
+    for r in got:
+        others[r.fid] += r.others
+    assert others == {i: int(members[near[i]].sum()) for i in range(700) if near[i].any()}
+    for _ in range(20):
+        for r in got:
+            up[r.fid] = up[r.root] = min(up[r.fid], up[r.root])
+    assert set(up.values()) == {0} and len(got) < near.sum() / 2 / 3
+
+
 def test_keep_one(spark):
     rng = random.Random(2)
     t = prose(rng, 80)
