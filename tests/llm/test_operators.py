@@ -357,6 +357,28 @@ def test_simhash_links_of_a_large_group_are_summed(spark, monkeypatch, cap, bloc
     assert set(up.values()) == {0} and len(got) < near.sum() / 2 / 3
 
 
+def test_simhash_groups_write_no_pairs(spark, monkeypatch):
+    """400 rows of 300 near fingerprints: numbers of links are exact, and no table on the way grows with their pairs."""
+    rng = np.random.default_rng(8)
+    bits = np.tile(rng.integers(0, 2, 256), (300, 1)).astype(np.uint8)
+    bits[np.arange(300)[:, None], rng.integers(0, 256, (300, 8))] ^= 1
+    f = np.packbits(bits, axis=1).view(np.int64)[[*range(300), *range(100)]]
+    written = []
+
+    def recorded(df, label, real=simhash.materialise):
+        out = real(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", recorded)
+    monkeypatch.setattr(simhash, "printed", lambda d: d)
+    rows = spark.createDataFrame([(i, i, *map(int, x)) for i, x in enumerate(f)], "id bigint, th bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    got = simhash.groups(rows).collect()
+    near = np.bitwise_count((f[:, None] ^ f[None]).view(np.uint64)).sum(2) <= simhash.RADIUS
+    assert {r.id: r.n_links for r in got} == {i: int(near[i].sum()) - 1 for i in range(400)} and {r.class_id for r in got} == {0}
+    assert max(written) < 300 * 299 / 2 / 3
+
+
 def test_keep_one(spark):
     rng = random.Random(2)
     t = prose(rng, 80)
