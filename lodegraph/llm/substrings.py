@@ -7,8 +7,9 @@ equal places, so only suffixes that start at anchors need to be in a tree.
 1. Anchors are counted by their eight-word prefix. Those whose prefix repeats
    are told by a bitmap of bounded size, or, when the repeated prefixes outgrow
    it, by a join of the anchors with them.
-2. Suffixes with such a prefix go, with the words to their left, to the group
-   of their prefix. A group's suffixes are sorted and their longest common
+2. Suffixes with such a prefix go, with the words of the windows that have this
+   anchor and no others, to the group of their prefix. Places of one text whose
+   windows are all equal, as in runs of one word, are one suffix. A group's suffixes are sorted and their longest common
    prefixes taken, to the right and to the left: the intervals of common
    prefixes are the internal nodes of the two trees. Suffixes that share a node
    of depth 35 - d to the right and one of depth d to the left repeat the window
@@ -67,7 +68,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
 _CHUNK = 1 << 18
-SUFFIX = "doc_id bigint, th bigint, pos int, lo int, key bigint, before binary, after binary"
+SUFFIX = "doc_id bigint, th bigint, spots array<int>, lo int, hi int, key bigint, before binary, after binary"
 FOUND = "doc_id bigint, th bigint, pos int, mask bigint"
 
 
@@ -145,12 +146,12 @@ def _least(gram: np.ndarray, width: int) -> np.ndarray:
     return p
 
 
-def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word position, prefix hash) of every anchor."""
+def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, word position, prefix hash, least and most words that its windows start before it) of every anchor."""
     h, starts, _ = _word_hashes(b"\n".join(raws))
     none = np.zeros(0, np.int64)
     if len(h) < WINDOW:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none, none
     owner = np.searchsorted(np.array([len(r) + 1 for r in raws]).cumsum(), starts, "right")
     first = np.searchsorted(owner, np.arange(len(raws)), "left")
     n = len(h) - PREFIX + 1
@@ -159,9 +160,12 @@ def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         gram += h[j : j + n] * _MIX[j]
     gram = _mixed(gram)
     least = _least(gram, SPREAD)
-    at = least[owner[: len(least)] == owner[WINDOW - 1 :]]  # windows inside one text
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # places never fall
-    return owner[at], at - first[owner[at]], gram[at]
+    window = np.flatnonzero(owner[: len(least)] == owner[WINDOW - 1 :])  # windows inside one text
+    at = least[window]
+    edge = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if len(at) else none  # places never fall
+    lo, hi = at[edge[1:] - 1] - window[edge[1:] - 1], at[edge[:-1]] - window[edge[:-1]]
+    at = at[edge[:-1]]
+    return owner[at], at - first[owner[at]], gram[at], lo, hi
 
 
 def _raw(texts: list) -> list[bytes]:
@@ -179,21 +183,25 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
         for b in batches:
             ids, ths, texts = b.column("doc_id"), b.column("th"), b.column("text").to_pylist()
             for lo, hi in slices(texts):
-                owner, pos, key = _anchors(_raw(texts[lo:hi]))
+                owner, pos, key, _, _ = _anchors(_raw(texts[lo:hi]))
                 at = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([ids.take(at), ths.take(at), pa.array(pos, pa.int32()), pa.array(key.view(np.int64))], ["doc_id", "th", "pos", "key"])
 
     return map_batches(_keyed(documents), run, "doc_id bigint, th bigint, pos int, key bigint")
 
 
-def _around(i: int | None, th: int, words: list[bytes], pos: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """The suffixes of one text at ``pos``, with the words before them that a window can hold."""
-    at = pos.tolist()
-    n = len(at)
-    before = [b" ".join(words[max(0, p - SPREAD + 1) : p]) for p in at]
-    after = [b" ".join(words[p : p + WINDOW]) for p in at]
-    columns = [pa.array([i] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(at, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(key.view(np.int64)), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "pos", "lo", "key", "before", "after"])
+_KINDS = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+_NAMES = ["doc_id", "th", "spots", "lo", "hi", "key", "before", "after"]
+
+
+def _around(i: int | None, th: int, words: list[bytes], pos: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """The suffixes of one text at ``pos``, with the words of their own windows; places whose windows are equal, as in runs of one word, are one suffix."""
+    spots: dict[tuple, list[int]] = {}
+    for p, k, least, most in zip(pos.tolist(), key.view(np.int64).tolist(), lo.tolist(), hi.tolist()):
+        spots.setdefault((least, most, k, b" ".join(words[p - most : p]), b" ".join(words[p : p + WINDOW - least])), []).append(p)
+    least, most, keys, before, after = zip(*spots)
+    columns = ([i] * len(spots), [th] * len(spots), list(spots.values()), least, most, keys, before, after)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], _NAMES)
 
 
 def _gathered(parts, least: int = 2000):
@@ -218,14 +226,14 @@ def _suffixes(documents: DataFrame, bitmap, bits: int) -> DataFrame:
             ids, ths, texts = (b.column(c).to_pylist() for c in ("doc_id", "th", "text"))
             for lo, hi in slices(texts):
                 raws = _raw(texts[lo:hi])
-                owner, pos, key = _anchors(raws)
-                bit = key & np.uint64(bits - 1)
+                anchors = _anchors(raws)
+                bit = anchors[2] & np.uint64(bits - 1)
                 seen = (flags[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                owner, pos, key = owner[seen], pos[seen], key[seen]
+                owner, *rest = (a[seen] for a in anchors)
                 cut = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1, [len(owner)]]) if len(owner) else [0]
                 for i, j in zip(cut[:-1], cut[1:]):
                     o = int(owner[i])
-                    yield _around(ids[lo + o], ths[lo + o], raws[o].split(), pos[i:j], key[i:j])
+                    yield _around(ids[lo + o], ths[lo + o], raws[o].split(), *(a[i:j] for a in rest))
 
     return map_batches(_keyed(documents), lambda batches: _gathered(parts(batches)), SUFFIX)
 
@@ -234,38 +242,39 @@ def _joined_suffixes(documents: DataFrame, counts: DataFrame) -> DataFrame:
     """The suffixes at anchors whose prefix repeats, by a join of all anchors with the repeated prefixes."""
     total = counts.agg(F.sum("c")).first()[0] or 0
     hit = join_counted(_anchor_rows(documents), counts, ["key"], "c", total, F.xxhash64("doc_id", "th", "pos"))
-    spots = hit.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_set(F.struct("pos", "key")).alias("spots"))
-    docs = _keyed(documents).join(spots, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", F.sort_array("spots").alias("spots"))
+    spots = hit.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("spots"))
+    docs = _keyed(documents).join(spots, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "spots")
 
     def parts(batches):
         for b in batches:
             for i, th, text, spots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text", "spots"))):
-                pos, key = np.array([x["pos"] for x in spots]), np.array([x["key"] for x in spots])
-                yield _around(i, th, _raw([text])[0].split(), pos, key)
+                raw = _raw([text])
+                _, pos, *rest = _anchors(raw)
+                seen = np.isin(pos, spots)
+                yield _around(i, th, raw[0].split(), pos[seen], *(a[seen] for a in rest))
 
     return map_batches(docs, lambda batches: _gathered(parts(batches)), SUFFIX)
 
 
 def _lengthened(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` (suffixes for starts from lo on) for ranges of ``width`` starts, keyed by the words that their windows share."""
-    span = WIDTHS[WIDTHS.index(width) - 1]
+    """``rows`` for ranges of ``width`` starts, keyed by the words that all windows of a range share."""
 
     def parts(batches):
         for b in batches:
             out: list[tuple] = []
-            for i, th, pos, first, left, right in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "pos", "lo", "before", "after"))):
+            for i, th, spots, least, most, left, right in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "spots", "lo", "hi", "before", "after"))):
                 before, after = left.split(), right.split()
-                for lo in range(first, min(first + span, SPREAD), width):
-                    hi = lo + width - 1
-                    if lo <= len(before) and WINDOW - hi <= len(after):
-                        key = hashlib.blake2b(b" ".join(before[len(before) - lo :] + after[: WINDOW - hi]), digest_size=16, salt=lo.to_bytes(2, "little")).digest()
-                        rest = (b"", b"") if width == 1 else (b" ".join(before[-hi:]), b" ".join(after[: WINDOW - lo]))
-                        out.append((i, th, pos, lo, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), *rest))
+                n = len(before)
+                for first in range(least - least % width, most + 1, width):
+                    lo, hi = max(least, first), min(most, first + width - 1)
+                    shared = before[n - first :] + after[: WINDOW - first - width + 1]
+                    key = hashlib.blake2b(b" ".join(shared), digest_size=16, salt=first.to_bytes(2, "little")).digest()
+                    rest = (b"", b"") if width == 1 else (b" ".join(before[n - hi :]), b" ".join(after[: WINDOW - lo]))
+                    out.append((i, th, spots, lo, hi, int.from_bytes(key[:8], "little", signed=True), *rest, int.from_bytes(key[8:], "little", signed=True)))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "th", "pos", "lo", "key", "key2", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*_KINDS, pa.int64()))], [*_NAMES, "key2"])
 
-    return map_batches(rows.select("doc_id", "th", "pos", "lo", "before", "after"), parts, SUFFIX.replace("key bigint,", "key bigint, key2 bigint,"))
+    return map_batches(rows.select("doc_id", "th", "spots", "lo", "hi", "before", "after"), parts, f"{SUFFIX}, key2 bigint")
 
 
 def _order(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,30 +286,30 @@ def _order(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], common])
 
 
-def _matrix(ids: np.ndarray, owner: np.ndarray, n: int, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of ``n`` short texts as rows (reversed, if asked), 0 behind the last word; and how many there are."""
+def _matrix(ids: np.ndarray, owner: np.ndarray, n: int, width: int, backwards: bool) -> np.ndarray:
+    """Word numbers of ``n`` short texts as rows (reversed, if asked), 0 behind the last word."""
     sizes = np.bincount(owner, minlength=n)
     at = np.arange(len(ids)) - (sizes.cumsum() - sizes)[owner]
     m = np.zeros((n, width), np.uint32)
     m[owner, sizes[owner] - 1 - at if backwards else at] = ids + 1
-    return m, sizes
+    return m
 
 
-def _repeated(keys: np.ndarray, lo: np.ndarray, width: int, before: list[bytes], after: list[bytes]) -> np.ndarray:
-    """For each suffix the set, as bits d, of repeated windows that start d words before it, lo <= d < lo + width."""
+def _repeated(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: list[bytes], after: list[bytes]) -> np.ndarray:
+    """For each suffix the set, as bits d, of windows that start d words before it, lo <= d <= hi, and are those of another suffix, too."""
     n = len(keys)
     texts = [*after, *before]
     ids, starts = _numbered(b"\n".join(texts))
     owner = np.searchsorted(np.array([len(t) + 1 for t in texts]).cumsum(), starts, "right")
     cut = np.searchsorted(owner, n)
     top = np.unique(keys, return_inverse=True)[1].astype(np.uint32)[:, None]
-    right, n_right = _matrix(ids[:cut], owner[:cut], n, WINDOW, False)
-    left, n_left = _matrix(ids[cut:], owner[cut:] - n, n, SPREAD - 1, True)
+    right = _matrix(ids[:cut], owner[:cut], n, WINDOW, False)
+    left = _matrix(ids[cut:], owner[cut:] - n, n, SPREAD - 1, True)
     (ro, rc), (lf, lc) = (_order(np.concatenate([top, m], 1)) for m in (right, left))
     mask = np.zeros(n, np.int64)
     node, leaf = np.empty(n, np.int64), np.empty(n, np.int64)
     for d in range(SPREAD):
-        fit = np.flatnonzero((n_right >= WINDOW - d) & (n_left >= d) & (lo <= d) & (d < lo + width))
+        fit = np.flatnonzero((lo <= d) & (d <= hi))
         if len(fit) < 2:
             continue
         node[ro] = (rc < WINDOW - d + 1).cumsum()  # nodes at depth 35 - d of the right tree, the prefix's key above them
@@ -313,13 +322,18 @@ def _repeated(keys: np.ndarray, lo: np.ndarray, width: int, before: list[bytes],
     return mask
 
 
-def _trees(rows: DataFrame, width: int) -> DataFrame:
+def _trees(rows: DataFrame) -> DataFrame:
     """doc_id, th, pos, mask: what the trees of each group say."""
 
     def done(t: pa.Table):
-        mask = _repeated(t.column("key").to_numpy(), t.column("lo").to_numpy(), width, t.column("before").to_pylist(), t.column("after").to_pylist())
-        t = t.select(["doc_id", "th", "pos"]).append_column("mask", pa.array(mask)).filter(pa.array(mask > 0))
-        yield from t.combine_chunks().to_batches()
+        lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+        mask = _repeated(t.column("key").to_numpy(), lo, hi, t.column("before").to_pylist(), t.column("after").to_pylist())
+        spots = t.column("spots").combine_chunks()
+        own = (np.int64(2) << hi) - (np.int64(1) << lo)
+        mask = np.where(pc.list_value_length(spots).to_numpy() > 1, own, mask)
+        each = pc.list_parent_indices(spots)
+        found = pa.table({"doc_id": t.column("doc_id").take(each), "th": t.column("th").take(each), "pos": pc.list_flatten(spots), "mask": mask[each.to_numpy()]})
+        yield from found.filter(pc.greater(found.column("mask"), 0)).combine_chunks().to_batches()
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -337,16 +351,16 @@ def _trees(rows: DataFrame, width: int) -> DataFrame:
         if size:
             yield from done(pa.Table.from_batches(held))
 
-    return map_batches(rows.select("doc_id", "th", "pos", "lo", "key", "before", "after").repartition("key").sortWithinPartitions("key"), run, FOUND)
+    return map_batches(rows.select(*_NAMES).repartition("key").sortWithinPartitions("key"), run, FOUND)
 
 
 def _equal_windows(rows: DataFrame) -> DataFrame:
     """doc_id, th, pos, mask of rows keyed by single whole windows."""
-    each = materialise(rows.select("doc_id", "th", "pos", "lo", "key", "key2"), "each")
-    twice = materialise(each.groupBy("key", "key2").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    each = materialise(rows.select("doc_id", "th", "spots", "lo", "key", "key2"), "each")
+    twice = materialise(each.groupBy("key", "key2").agg(F.sum(F.size("spots")).alias("c")).where("c > 1"), "twice")
     total = twice.agg(F.sum("c")).first()[0] or 0
-    hit = join_counted(each, twice, ["key", "key2"], "c", total, F.xxhash64("doc_id", "th", "pos"))
-    return hit.select("doc_id", "th", "pos", F.expr("shiftleft(1L, lo)").alias("mask"))
+    hit = join_counted(each, twice, ["key", "key2"], "c", total, F.xxhash64("doc_id", "th", "spots"))
+    return hit.select("doc_id", "th", F.explode("spots").alias("pos"), F.expr("shiftleft(1L, lo)").alias("mask"))
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
@@ -367,20 +381,23 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
         suffixes = _suffixes(documents, spark.sparkContext.broadcast(bytes(whole)), bits)
     wide = materialise(counts.where(F.col("c") > GROUP).select("key"), "wide")
     if wide.isEmpty():
-        return materialise(_trees(suffixes, SPREAD), "windows")
+        return materialise(_trees(suffixes), "windows")
     # written once, since both the groups that fit and the wide ones read it
     suffixes = materialise(suffixes, "suffixes")
-    found = [materialise(_trees(suffixes.join(size_checked(wide, 24), "key", "left_anti"), SPREAD), "windows")]
+    found = [materialise(_trees(suffixes.join(size_checked(wide, 24), "key", "left_anti")), "windows")]
     rows = materialise(suffixes.join(size_checked(wide, 24), "key", "left_semi"), "wide")
     drop(suffixes)
     for width in WIDTHS[1:-1]:
-        longer = _lengthened(rows, width)
+        longer = materialise(_lengthened(rows, width), "longer")
         wide = materialise(longer.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "wide")
-        found.append(materialise(_trees(longer.join(size_checked(wide, 24), "key", "left_anti"), width), "windows"))
+        found.append(materialise(_trees(longer.join(size_checked(wide, 24), "key", "left_anti")), "windows"))
         rows = longer.join(size_checked(wide, 24), "key", "left_semi")
         if wide.isEmpty():
+            drop(longer)
             return reduce(DataFrame.unionByName, found)
-    return reduce(DataFrame.unionByName, [*found, materialise(_equal_windows(_lengthened(rows, 1)), "windows")])
+    found.append(materialise(_equal_windows(_lengthened(rows, 1)), "windows"))
+    drop(longer)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _kept(text: str | None, pos: np.ndarray | None, mask: np.ndarray | None) -> tuple[int, int, bytes]:

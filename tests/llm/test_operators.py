@@ -637,6 +637,25 @@ def test_substrings(spark, corpus, monkeypatch, group, bits):
     assert substrings.dedup(docs(spark, [])).count() == 0
 
 
+def test_wide_prefixes_cost_a_row_a_window(spark, monkeypatch):
+    """Texts with runs of one word, whose prefixes outgrow GROUP: no more rows by single windows than the texts have different windows."""
+    rng = random.Random(17)
+    texts = [" ".join([*rng.choices(VOCAB, k=20), *["the"] * rng.randint(60, 200), *rng.choices(VOCAB, k=20)]) for _ in range(30)]
+    written = Counter()
+
+    def recorded(df, label, real=substrings.materialise):
+        out = real(df, label)
+        written[label] += out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "materialise", recorded)
+    monkeypatch.setattr(substrings, "GROUP", 3)
+    assert by_id(substrings.dedup(docs(spark, texts)), "text") == dict(enumerate(plain_windows(texts)))
+    words = [t.split() for t in texts]
+    different = sum(len({tuple(x[i : i + 35]) for i in range(len(x) - 34)}) for x in words)
+    assert 0 < written["each"] <= different < sum(len(x) - 34 for x in words) / 2
+
+
 def test_words_of_equal_polynomials_differ(spark):
     """Words that every polynomial hash modulo 2**64 takes for equal."""
     def word(bit):
