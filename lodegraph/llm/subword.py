@@ -3,15 +3,16 @@
 The words of a batch (text cut before each space mark, each distinct one once)
 are concatenated and indexed by a suffix array, ordered by as many characters as
 the longest piece has. Every vocabulary piece is looked up by binary search; the
-range of suffixes that it heads gives its occurrences. These edges are sorted by
-position and relaxed from left to right.
+range of suffixes that it heads gives its occurrences. Ranges lie within each
+other, so the longest piece at every place tells the shorter ones, too.
 
 The model at hand is a byte-pair model, whose pieces join by rank, so the
-shortest path by score is not its segmentation. The relaxation therefore keeps,
-for every position, the one piece that ends the segmentation of the prefix: an
-edge is taken if the piece that ends where it starts and its own piece stay
-apart when their characters are joined by rank. Characters outside the
-vocabulary are spelled in byte pieces. Results equal the library's, ids and text.
+shortest path by score is not its segmentation. Of the edges that start where a
+segmentation of a prefix ends, the longest is taken whose piece stays apart from
+the one before it when their characters are joined by rank; a place from which
+no edge goes on is left for the piece before. Prefixes have one segmentation,
+so each place is left once at most. Characters outside the vocabulary are
+spelled in byte pieces. Results equal the library's, ids and text.
 
 Defined cases: a null text counts as empty and has no pieces; decoding gives
 back the normalised text; repeated rows give repeated results; words of more
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -33,6 +35,7 @@ from lodegraph.llm.batches import filter_rows, map_rows, slices
 #: Where public vocabulary files lie; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose pieces a worker remembers.
 REMEMBERED = 300_000
 #: Longer words are relaxed alone and not remembered.
@@ -91,17 +94,21 @@ class Codec:
         # a word ends before a mark unless some piece has a mark behind another character
         self.cut = not any(MARK in p.lstrip(MARK) for p in self.id)
         self.pairs = _Pairs()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")  # of the ids in known
         usable = [p for p in self.id if self._merge(list(p)) == [p]]
         self.search = sorted(usable)
-        codes = np.zeros((len(self.search), self.longest), ">u4")
+        self.low = np.zeros((len(self.search), self.longest), "<u4")
         for k, p in enumerate(self.search):
-            codes[k, : len(p)] = [ord(c) for c in p]
+            self.low[k, : len(p)] = [ord(c) for c in p]
+        self.codes = int(self.low.max(initial=0))
         self.sizes = np.array([len(p) for p in self.search])
-        self.low = codes
-        high = codes.copy()
-        high[np.arange(self.longest)[None, :] >= self.sizes[:, None]] = 0xFFFFFFFF
-        self.high = high
+        self.steps = np.append(self.sizes, 1)
+        self.numbers = np.array([self.id[p] for p in self.search] + [-1])
+        place = {p: k for k, p in enumerate(self.search)}
+        self.shorter = np.array([next((place[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in place), -1) for p in self.search])
+        # below the shortest piece of a character outside the vocabulary lies the character itself
+        self.shorter_or_other = np.append(np.where((self.shorter < 0) & (self.sizes > 1), len(self.search), self.shorter), -1)
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Join neighbours by the best score, the leftmost first; for short strings."""
@@ -118,7 +125,7 @@ class Codec:
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b (places in the sorted vocabulary) stay apart when side by side."""
-        key = a * len(self.search) + b
+        key = a.astype(np.int64) * len(self.search) + b
         got, known = self.pairs.find(key)
         if not known.all():
             new = np.unique(key[~known])
@@ -132,52 +139,87 @@ class Codec:
             got[at] = np.array(value)[np.searchsorted(new, key[at])]
         return got
 
-    def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece number) of every occurrence of every piece in ``text``, by the suffix array."""
-        codes = np.frombuffer(text.encode("utf-32-be"), ">u4")
+    def _ranges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffixes in order, first, last) of ``text``, which ends with a null character: piece p heads suffixes[first[p]:last[p]]."""
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
         width = self.longest
-        padded = np.concatenate([codes, np.zeros(width, ">u4")])
-        # ranks of prefixes of 1, 2, 4, ... characters: the suffix array by doubling
-        order_of = np.unique(padded, return_inverse=True)[1].astype(np.int64)
-        step = 1
-        while step < width:
-            far = np.concatenate([order_of[step:], np.zeros(step, np.int64)])
-            key = order_of * (far.max() + 1) + far
-            order_of = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            step *= 2
-        suffixes = np.argsort(order_of[: len(codes)], kind="stable")
-        # binary search of all pieces at once, comparing the first ``width`` characters of suffixes
-        heads = lambda i, n=width: padded[suffixes[i][:, None] + np.arange(n)]
-
-        def less(a, b):
-            differ = a != b
-            first = differ.argmax(1)
-            rows = np.arange(len(a))
-            return differ.any(1) & (a[rows, first] < b[rows, first])
-
-        def packed(m):  # the first three characters as one number
-            c = np.minimum(m[:, :3], 0x1FFFFF).astype(np.int64)
-            return (c[:, 0] << 42) | (c[:, 1] << 21) | c[:, 2]
-
-        triples = packed(heads(slice(None), 3))
+        # letters by number, as many in one key as fit
+        seen = np.zeros(max(int(codes.max()), self.codes) + 1, bool)
+        seen[codes] = True
+        number = seen.cumsum() - 1
+        bits = max(1, int(number[-1]).bit_length())
+        step = min(63 // bits, width)
+        padded = np.concatenate([number[codes], np.zeros(2 * width, np.int64)])
+        head = np.zeros(len(codes) + width, np.int64)
+        for k in range(step):
+            head <<= bits
+            head |= padded[k : k + len(head)]
+        # ranks of prefixes of twice as many characters, again and again: the suffix array by doubling
+        order_of, n = head, step
+        while n < width:
+            order_of = np.unique(order_of, return_inverse=True)[1]
+            far = np.concatenate([order_of[n:], np.zeros(n, np.int64)])
+            order_of = order_of * (far.max() + 1) + far
+            n *= 2
+        suffixes = np.argsort(order_of[: len(codes)])
+        # binary search of all pieces at once; of those longer than a key, the rest is compared by characters
+        first, last = np.zeros((2, len(self.search)), np.int64)
+        at = np.flatnonzero((seen[self.low] | (self.low == 0)).all(1))  # no other has its letters here
+        low, sizes = self.low[at], self.sizes[at]
+        small = number[low] * (low > 0)
+        one, other = np.zeros((2, len(at)), np.int64)
+        for k in range(step):
+            one, other = one << bits | small[:, k], other << bits | np.where(k < sizes, small[:, k], (1 << bits) - 1)
+        heads = head[suffixes]
+        lo, hi = np.searchsorted(heads, one), np.searchsorted(heads, other, "right")
+        rest = np.flatnonzero((sizes > step) & (lo < hi))
+        wide = np.arange(step, width)
+        there = np.concatenate([codes, np.zeros(width, "<u4")])
 
         def bound(wanted, right):
-            lo, hi = (np.searchsorted(triples, packed(wanted), side) for side in ("left", "right"))
-            while (open_ := np.nonzero(lo < hi)[0]).size:
-                mid = (lo[open_] + hi[open_]) // 2
-                h = heads(mid)
-                go = ~less(wanted[open_], h) if right else less(h, wanted[open_])
-                lo[open_[go]] = mid[go] + 1
-                hi[open_[~go]] = mid[~go]
-            return lo
-
-        first, last = bound(self.low, False), bound(self.high, True)
+            below, above = lo[rest], hi[rest]
+            while (open_ := np.flatnonzero(below < above)).size:
+                mid = (below[open_] + above[open_]) // 2
+                h, w = there[suffixes[mid][:, None] + wide], wanted[open_]
+                i = (h != w).argmax(1)
+                r = np.arange(len(h))
+                go = h[r, i] <= w[r, i] if right else h[r, i] < w[r, i]
+                below[open_[go]] = mid[go] + 1
+                above[open_[~go]] = mid[~go]
+            return below
+
+        if len(rest):
+            end = np.where(wide < sizes[rest, None], low[rest, step:], 0xFFFFFFFF)
+            lo[rest], hi[rest] = bound(low[rest, step:], False), bound(end, True)
+        first[at], last[at] = lo, hi
+        return suffixes, first, last
+
+    def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece number) of every occurrence of every piece in ``text``."""
+        suffixes, first, last = self._ranges(text)
         n = last - first
         piece = np.repeat(np.arange(len(n)), n)
         at = np.repeat(first - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
         start = suffixes[at]
         return start, start + self.sizes[piece], piece
 
+    def _longest(self, text: str) -> np.ndarray:
+        """The longest piece that starts at each place of ``text``, or -1; the shorter ones are its ``shorter``."""
+        suffixes, first, last = self._ranges(text)
+        here = np.flatnonzero(first < last)
+        # ranges lie within each other: behind the end of one, the next shorter piece that goes on holds
+        behind = self.shorter[here]
+        while (over := (behind >= 0) & (last[behind] == last[here])).any():
+            behind[over] = self.shorter[behind[over]]
+        told = np.full(len(suffixes) + 1, -2)
+        told[0] = -1
+        told[last[here]] = behind
+        told[first[here]] = here  # of equal starts the last, which is the longest
+        holds = np.maximum.accumulate(np.where(told > -2, np.arange(len(told)), 0))
+        out = np.empty(len(suffixes), np.int32)
+        out[suffixes] = told[holds[:-1]]
+        return out
+
     def _encode_long(self, word: str) -> list[int]:
         """The pieces of one long word, position by position."""
         start, end, piece = self._edges(word + "\0")
@@ -209,72 +251,76 @@ class Codec:
         return out[::-1]
 
     def _encode_words(self, words: list[str]) -> None:
-        """Put the pieces of new words into the memory; all words are relaxed together, one position after another."""
+        """Put the pieces of new words into the memory; all words go on together, an edge at a time."""
         text = "\0".join(words) + "\0"  # a character between words that no piece holds
-        start, end, piece = self._edges(text)
+        longest = self._longest(text)
+        other = len(self.search)  # stands for a character outside the vocabulary
+        longest[longest < 0] = other
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         base = sizes.cumsum() - sizes + np.arange(len(words))
-        word = np.searchsorted(base, start, "right") - 1
-        far = end - base[word]
-        order = np.argsort((far * len(words) + word) * (self.longest + 1) + (start + self.longest - end), kind="stable")  # by end, word, the longest first
-        start, end, piece, word, far = (x[order] for x in (start, end, piece, word, far))
-        # the how-manieth edge of its word and end
-        new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (far[1:] != far[:-1])]))
-        rank = np.arange(len(word)) - np.repeat(new, np.diff(np.append(new, len(word))))
-        last, came = np.full(len(text) + 1, -1, np.int64), np.arange(-1, len(text))  # -1: a character outside the vocabulary
-        found = np.zeros(len(words), np.int64)  # the last end for which a word has its piece
-        cut = np.searchsorted(far, np.arange(sizes.max(initial=0) + 2)).tolist()
-        for e in range(1, len(cut) - 1):
-            todo = np.arange(cut[e], cut[e + 1])
-            for r in range(int(rank[cut[e] : cut[e + 1]].max(initial=-1)) + 1):
-                todo = todo[found[word[todo]] < e] if r else todo
-                at = todo[rank[todo] == r]
-                s, p = start[at], piece[at]
-                before = last[s]
-                check = np.flatnonzero((s > base[word[at]]) & (before >= 0))
-                ok = np.ones(len(at), bool)
-                ok[check] = self._apart(before[check], p[check])
-                at = at[ok]
-                last[end[at]], came[end[at]], found[word[at]] = piece[at], start[at], e
-        last, came = last.tolist(), came.tolist()
-        for w, b in zip(words, base.tolist()):
-            self.known[w] = tuple(self._ids(text, b + len(w), b, last, came))
+        last = np.full(len(text) + 1, -1, np.int32)  # the piece that ends here
+        on, dead = np.zeros((2, len(text) + 1), bool)  # ends of pieces so far; places that lead to no end
+        at, stop = base[sizes > 0], (base + sizes)[sizes > 0]
+        piece = longest[at]
+        while len(at):
+            end = at + self.steps[piece]
+            before = last[at]
+            ok = ~dead[end]
+            check = np.flatnonzero(ok & (before >= 0) & (before < other) & (piece < other))
+            ok[check] = self._apart(before[check], piece[check])
+            no = np.flatnonzero(~ok)
+            yes = np.flatnonzero(ok)
+            last[end[yes]] = piece[yes]
+            on[end[yes]] = True
+            at[yes] = end[yes]
+            piece[yes] = longest[end[yes]]
+            if len(no):
+                less = self.shorter_or_other[piece[no]]
+                piece[no] = less
+                back = no[less < 0]  # none is left: the piece before gives way
+                dead[at[back]], on[at[back]] = True, False
+                piece[back] = last[at[back]]
+                at[back] -= self.steps[piece[back]]
+            left = np.flatnonzero(at < stop)
+            if len(left) < len(at):
+                at, stop, piece = at[left], stop[left], piece[left]
+        ends = np.flatnonzero(on)
+        ids = self.numbers[last[ends]]
+        found, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        cut = np.append(np.searchsorted(ends, base, "right"), len(ends))
+        byte = (cut * size).tolist()
+        self.known.update(zip(words, map(found.__getitem__, map(slice, byte, byte[1:]))))
+        strange = np.flatnonzero(ids < 0)
+        for k in set((np.searchsorted(base, ends[strange], "left") - 1).tolist()):
+            spelled: list[int] = []
+            for e, x in zip(ends[cut[k] : cut[k + 1]].tolist(), ids[cut[k] : cut[k + 1]].tolist()):
+                spelled.extend([x] if x >= 0 else [self.byte[y] for y in text[e - 1].encode("utf-8", "replace")])
+            self.known[words[k]] = np.array(spelled, self.kind).tobytes()
 
     def encode(self, texts: list) -> list[list[int]]:
         """Ids of every text."""
         out: list[list[int]] = []
-        texts = [self.model.normalize(t) if t else "" for t in texts]
         for lo, hi in slices(texts):
-            cut = [self._words(t) for t in texts[lo:hi]]
-            new = {w for ws in cut for w in ws if w not in self.known}
+            cut = [self._words(self.model.normalize(t)) if t else [] for t in texts[lo:hi]]
+            new = set(chain.from_iterable(cut)).difference(self.known)
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                new = {w for ws in cut for w in ws}
+                new = set(chain.from_iterable(cut))
             listed = [w for w in new if len(w) <= LONG]
             for i, j in slices(listed, 400_000):
                 self._encode_words(listed[i:j])
             long = [w for w in new if len(w) > LONG]
-            self.known.update((w, tuple(self._encode_long(w))) for w in long)
+            self.known.update((w, np.array(self._encode_long(w), self.kind).tobytes()) for w in long)
             known = self.known.__getitem__
-            out += [list(chain.from_iterable(map(known, ws))) for ws in cut]
+            out += [np.frombuffer(b"".join(map(known, ws)), self.kind).tolist() for ws in cut]
             for w in long:
                 del self.known[w]
         return out
 
     def _words(self, text: str) -> list[str]:
-        if not text:
-            return []
         if not self.cut:
-            return [text]
-        parts = text.split(MARK)
-        words: list[str] = [parts[0]] if parts[0] else []
-        run = 0
-        for p in parts[1:]:
-            run += 1
-            if p:
-                words.append(MARK * run + p)
-                run = 0
-        return [*words, MARK * run] if run else words
+            return [text] if text else []
+        return _CUT.findall(text)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces, byte pieces bytes; the mark put before the text goes."""

@@ -487,6 +487,18 @@ def test_long_words_equal_the_library(spark):
     assert subword.encode_and_decode(df.where("false")).count() == 0
 
 
+def test_new_words_list_no_edges(monkeypatch):
+    rng = random.Random(4)
+    letters = ["th", "ing", "er", "x", "qz", "\u00e9", "\u4e2d", "\U0001f600", "0", ".", "st", "ra"]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(2_000)) for _ in range(3)]
+    c = subword.Codec()
+    monkeypatch.setattr(subword.Codec, "_edges", lambda self, text: pytest.fail("every occurrence of every piece is listed"))
+    assert c.encode(texts) == c.model.encode(texts) and len(c.known) > 4_000
+    text = texts[0][:3_000] + "\0"
+    longest = c._longest(text).tolist()
+    assert longest == [max((c.search.index(text[i : i + n]) for n in range(1, c.longest + 1) if text[i : i + n] in c.search), key=lambda p: c.sizes[p], default=-1) for i in range(len(text))]
+
+
 # --- edge cases of several operators
 def test_tables_with_null_and_repeated_ids_and_other_columns(spark, tmp_path):
     texts = ["MIT license", "mit  LICENSE", None, "", "SPDX-License-Identifier: MIT", "MIT license", "long " * 60_000]
