@@ -6,11 +6,13 @@ coordinates of the fingerprint, by ``plan()`` as many as the number of
 fingerprints asks for; fingerprints that agree on a table's sample meet in a
 bucket and every pair in it is verified by its Hamming distance (at most
 ``RADIUS``). A bucket of more than ``CAP`` fingerprints is compared completely,
-too, in blocks that many tasks share. Nothing is capped away. A pair counts in
-the first table where it meets and nowhere else, so links are added up where
-they are found, and no table of pairs, which grows with the square of a group,
-is ever written: what is left of a bucket is a sum and a root by fingerprint.
-Roots are joined into groups by connected components.
+too, in blocks that many tasks share. Nothing is capped away. What is left of a
+bucket is a root by fingerprint; roots are joined into groups by connected
+components. Of a bucket's pairs only as many are compared as its components
+need: what is near one fingerprint is connected, whatever lies between. Links
+are then counted within the groups, where all links are and where each pair
+comes once, not once for each table where it meets. No table of pairs, which
+grows with the square of a group, is ever written.
 
 Defined cases: a null text counts as empty; a text without word characters is
 known by its whole string; equal texts have equal fingerprints; a null doc_id
@@ -47,6 +49,8 @@ LEVELS = 3
 BLOCK = 2048
 #: Near pairs that are held at once.
 PAIRS = 300_000
+#: Edges between fingerprints that a task holds at once.
+EDGES = 1_000_000
 #: Words of one text whose bits are held at once.
 PART = 8192
 _WORD = re.compile(r"[^\W_]+")
@@ -198,20 +202,69 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _told(m: np.ndarray, pairs, masks: np.ndarray, listed: bool):
-    """What the near pairs (i, j) of ``m`` say, each in the first table where it meets: see linked(), or links() if ``listed``."""
+class _Forest:
+    """Edges fid - root, of which only as many are kept as connect the same."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+        self.size = self.least = 0
+
+    def add(self, fid: np.ndarray, root: np.ndarray) -> None:
+        self.held.append((fid, root))
+        self.size += len(fid)
+        if self.size > 2 * self.least + 100_000:
+            self.reduce()
+
+    def reduce(self) -> None:
+        fid, root = (np.concatenate(x) for x in zip(*self.held))
+        ids, at = np.unique(np.concatenate([fid, root]), return_inverse=True)
+        to = _roots(len(ids), at[: len(fid)], at[len(fid) :])
+        some = np.flatnonzero(to != np.arange(len(ids)))
+        self.held = [(ids[some], ids[to[some]])]
+        self.size = self.least = len(some)
+
+    def out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.reduce()
+        fid, root = self.held[0]
+        self.held, self.size, self.least = [], 0, 0
+        return fid, root, np.zeros(len(fid), np.int64)
+
+
+def _joining(f: np.ndarray):
+    """Near pairs (i, j) of the rows of ``f`` that connect what all near pairs connect."""
+    at = np.arange(len(f))
+    while len(at) > 1:
+        near = np.bitwise_count(f[at[1:]] ^ f[at[0]]).sum(1) <= RADIUS
+        if near.sum() * 8 < len(at):  # a bucket of strangers
+            for i, j in _near(f[at]):
+                yield at[i], at[j]
+            return
+        own, rest = at[1:][near], at[1:][~near]
+        yield np.full(len(own), at[0]), own
+        if len(rest):
+            for i, j in _near(f[own], f[rest]):
+                yield own[i], rest[j]
+        at = rest
+
+
+def _told(m: np.ndarray, pairs, masks: np.ndarray | None, what: str):
+    """What the near pairs (i, j) of ``m`` say, with ``masks`` each in the first table where it meets only: ``what`` is "pairs" as in links(), "sums" as in linked(), or "roots"."""
     f = m[:, 3:].view(np.uint64)
     held: list[tuple] = []
     size = 0
 
     def tell():
         i, j = (np.concatenate(c) for c in zip(*held))
-        x = f[i] ^ f[j]
-        new = ~_met_before(x, m[i, 0] % len(masks), masks)
-        i, j, x = i[new], j[new], x[new]
-        if listed:
+        if what == "roots":
+            root = _roots(len(m), i, j)
+            at = np.flatnonzero(root != np.arange(len(m)))
+            return m[at, 1], m[root[at], 1], np.zeros(len(at), np.int64)
+        if masks is not None:
+            new = ~_met_before(f[i] ^ f[j], m[i, 0] % len(masks), masks)
+            i, j = i[new], j[new]
+        if what == "pairs":
             a, b = m[i, 1], m[j, 1]
-            return np.minimum(a, b), np.maximum(a, b), np.bitwise_count(x).sum(1).astype(np.int64)
+            return np.minimum(a, b), np.maximum(a, b), np.bitwise_count(f[i] ^ f[j]).sum(1).astype(np.int64)
         others = np.bincount(i, m[j, 2], len(m)) + np.bincount(j, m[i, 2], len(m))
         at = np.flatnonzero(others)
         return m[at, 1], m[_roots(len(m), i, j)[at], 1], others[at].astype(np.int64)
@@ -227,7 +280,7 @@ def _told(m: np.ndarray, pairs, masks: np.ndarray, listed: bool):
         yield tell()
 
 
-def _compare(batches, masks: np.ndarray, cap: int, listed: bool):
+def _compare(batches, masks: np.ndarray | None, cap: int, what: str):
     """FOUND of rows that come sorted by bucket; the rows of buckets of more than ``cap`` are handed on."""
     names = ["bucket", "fid", "members", *FP]
 
@@ -235,6 +288,12 @@ def _compare(batches, masks: np.ndarray, cap: int, listed: bool):
         columns = [pa.array(np.ascontiguousarray(m[:, k])) for k in range(7)]
         return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(m), pa.int64())] * 2], [*names, "root", "others"])
 
+    def off(fid, root, others):
+        none = pa.nulls(len(fid), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(fid), *[none] * 5, pa.array(root), pa.array(others)], [*names, "root", "others"])
+
+    forest = _Forest()
+
     def settled(m: np.ndarray):
         edge = np.flatnonzero(np.diff(m[:, 0], prepend=m[:1, 0] - 1, append=m[-1:, 0] + 1))
         sizes = np.diff(edge)
@@ -248,13 +307,18 @@ def _compare(batches, masks: np.ndarray, cap: int, listed: bool):
         def pairs():
             ends = sizes.cumsum()
             for hi, n in zip(ends[sizes > middle].tolist(), sizes[sizes > middle].tolist()):
-                for i, j in _near(f[hi - n : hi]):
+                for i, j in (_joining if what == "roots" else _near)(f[hi - n : hi]):
                     yield i + hi - n, j + hi - n
 
         f = m[:, 3:].view(np.uint64)
         for part, near in ((small, _near_within(small)), (m, pairs())):
-            for fid, root, others in _told(part, near, masks, listed):
-                yield pa.RecordBatch.from_arrays([none := pa.nulls(len(fid), pa.int64()), pa.array(fid), *[none] * 5, pa.array(root), pa.array(others)], [*names, "root", "others"])
+            for fid, root, others in _told(part, near, masks, what):
+                if what == "roots":  # the buckets of a task connect the same again and again
+                    forest.add(fid, root)
+                    if forest.size > EDGES:
+                        yield off(*forest.out())
+                else:
+                    yield off(fid, root, others)
 
     carry, wide = np.zeros((0, 7), np.int64), None
     for b in batches:
@@ -276,14 +340,21 @@ def _compare(batches, masks: np.ndarray, cap: int, listed: bool):
             carry, wide = carry[:0], carry[0, 0]
     if len(carry):
         yield from settled(carry)
+    if forest.size:
+        yield off(*forest.out())
 
 
-def _found(classes: DataFrame, listed: bool) -> DataFrame:
-    """fid, root, others: see linked(), or links() if ``listed``."""
+def _met(classes: DataFrame, what: str) -> DataFrame:
+    """fid, root, others of the pairs that meet in some table: see _told()."""
     sample = _samples(classes.count())
-    masks, cap = _masks(sample), CAP
-    met = _buckets(classes, sample).repartition("bucket").sortWithinPartitions("bucket")
-    out = materialise(map_batches(met, lambda batches: _compare(batches, masks, cap, listed), f"{ROW}, root bigint, others bigint"), "met")
+    return _found(_buckets(classes, sample), _masks(sample), what)
+
+
+def _found(rows: DataFrame, masks: np.ndarray | None, what: str) -> DataFrame:
+    """fid, root, others of the near pairs within each bucket of ROW: see _told()."""
+    cap = CAP
+    met = rows.repartition("bucket").sortWithinPartitions("bucket")
+    out = materialise(map_batches(met, lambda batches: _compare(batches, masks, cap, what), f"{ROW}, root bigint, others bigint"), "met")
     found = out.where("root is not null").select("fid", "root", "others")
     rest = out.where("root is null").select("bucket", "fid", "members", *FP)
     wide = materialise(rest.groupBy("bucket").count(), "wide")
@@ -301,10 +372,10 @@ def _found(classes: DataFrame, listed: bool) -> DataFrame:
         m = np.stack([t.column(c).to_numpy() for c in ("bucket", "fid", "members", *FP)], 1)[order]
         f, k = m[:, 3:].view(np.uint64), int((own == own.min()).sum())
         if t.column("one")[0].as_py() == t.column("two")[0].as_py():
-            near = _near(f)
+            near = (_joining if what == "roots" else _near)(f)
         else:  # empty if one of the blocks is
             near = ((i, j + k) for i, j in _near(f[:k], f[k:]))
-        parts = [np.stack(x, 1) for x in _told(m, near, masks, listed)] or [np.zeros((0, 3), np.int64)]
+        parts = [np.stack(x, 1) for x in _told(m, near, masks, what)] or [np.zeros((0, 3), np.int64)]
         got = np.concatenate(parts)
         return pa.table({c: pa.array(np.ascontiguousarray(got[:, i])) for i, c in enumerate(("fid", "root", "others"))})
 
@@ -313,7 +384,7 @@ def _found(classes: DataFrame, listed: bool) -> DataFrame:
 
 def links(classes: DataFrame) -> DataFrame:
     """(a, b, distance): pairs of different fingerprints within the radius that met in a bucket, one row each."""
-    found = _found(classes.select("fid", F.lit(1).cast("bigint").alias("members"), *FP), True)
+    found = _met(classes.select("fid", F.lit(1).cast("bigint").alias("members"), *FP), "pairs")
     return found.select(F.col("fid").alias("a"), F.col("root").alias("b"), F.col("others").cast("int").alias("distance"))
 
 
@@ -322,19 +393,26 @@ def linked(classes: DataFrame) -> DataFrame:
 
     The sum of ``others`` by fid is the members of all fingerprints that it is linked with; the edges fid - root have the components of all links.
     """
-    return _found(classes, False)
+    return _met(classes, "sums")
+
 
+def groups(documents: DataFrame, counted: bool = True) -> DataFrame:
+    """id, th, f0..f3, class_id, class_th, n_links: one row per input row.
 
-def groups(documents: DataFrame) -> DataFrame:
-    """id, th, f0..f3, class_id, class_th, n_links: one row per input row."""
+    n_links is the exact number of other rows of the class within the radius, met in a table or not; null unless ``counted``.
+    """
     rows = materialise(printed(documents), "simhash")
     classes = rows.groupBy(*FP).agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("members"))
     classes = materialise(classes.withColumn("fid", F.monotonically_increasing_id()), "simhash")
-    found = materialise(linked(classes), "simhash")
-    component = connected_components(found.where("fid != root"), "fid", "root")
-    others = found.groupBy("fid").agg(F.sum("others").alias("others"))
-    whole = classes.join(component.withColumnRenamed("id", "fid"), "fid", "left").join(others, "fid", "left")
-    whole = whole.select("fid", *FP, "first", "members", F.coalesce("component", "fid").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    found = materialise(_met(classes, "roots").select("fid", "root").distinct(), "simhash")
+    component = connected_components(found, "fid", "root").withColumnRenamed("id", "fid")
+    whole = materialise(classes.join(component, "fid", "left"), "simhash")
+    n_links = F.lit(None).cast("bigint")
+    if counted:
+        together = whole.where("component is not null").select(F.col("component").alias("bucket"), "fid", "members", *FP)
+        others = _found(together, None, "sums").groupBy("fid").agg(F.sum("others").alias("others"))
+        whole, n_links = whole.join(others, "fid", "left"), F.coalesce("others", F.lit(0)) + F.col("members") - 1
+    whole = whole.select("fid", *FP, "first", "members", F.coalesce("component", "fid").alias("component"), n_links.alias("n_links"))
     whole = materialise(whole, "simhash")
     heads = materialise(whole.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n")), "simhash")
     whole = join_counted(whole, heads, ["component"], "n", classes.count(), F.xxhash64("fid"))
@@ -344,7 +422,7 @@ def groups(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id; all columns as they were."""
-    found = groups(documents).where("id = class_id and th = class_th").groupBy("id", "th").agg(F.count("*").alias("n"))
+    found = groups(documents, counted=False).where("id = class_id and th = class_th").groupBy("id", "th").agg(F.count("*").alias("n"))
     keep = materialise(found, "keep")
     own_id, own_th, kept_id, kept_th = fresh(documents, "id", "th", "kept_id", "kept_th")
     tagged = documents.withColumns({own_id: F.coalesce("doc_id", F.lit(_NULL_ID)), own_th: F.xxhash64(F.coalesce("text", F.lit("")))})

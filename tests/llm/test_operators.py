@@ -379,6 +379,37 @@ def test_simhash_groups_write_no_pairs(spark, monkeypatch):
     assert max(written) < 300 * 299 / 2 / 3
 
 
+def test_simhash_counts_links_that_meet_in_no_table(spark, monkeypatch):
+    """Of a class all links count, not those by chance only; buckets connect all that is near without all pairs."""
+    rng = np.random.default_rng(17)
+    bits = np.tile(rng.integers(0, 2, 256), (250, 1)).astype(np.uint8)
+    for k in range(250):
+        bits[k, rng.permutation(256)[: 5 if k < 150 else 24]] ^= 1  # at 30 to 48 bits of each other
+    f = np.packbits(bits, axis=1).view(np.int64)
+    near = np.bitwise_count((f[:, None] ^ f[None]).view(np.uint64)).sum(2) <= simhash.RADIUS
+    monkeypatch.setattr(simhash, "printed", lambda d: d)
+    monkeypatch.setattr(simhash, "plan", lambda n: (6, 18))
+    rows = spark.createDataFrame([(i, i, *map(int, x)) for i, x in enumerate(f)], "id bigint, th bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    got = {r.id: r for r in simhash.groups(rows).collect()}
+    assert all(r.n_links == sum(near[i, k] and got[k].class_id == r.class_id for k in range(250)) - 1 for i, r in got.items())
+    assert Counter(r.class_id for r in got.values())[0] >= 150
+    assert {r.id: r.class_id for r in simhash.groups(rows, counted=False).collect()} == {i: r.class_id for i, r in got.items()}
+
+
+def test_joining_pairs_connect_all_that_is_near():
+    rng = np.random.default_rng(2)
+    for flips, n in ((6, 300), (20, 300), (23, 200), (60, 100)):
+        bits = rng.integers(0, 2, (3, 256))[rng.integers(0, 3, n)].astype(np.uint8)
+        bits[np.arange(n)[:, None], rng.integers(0, 256, (n, flips))] ^= 1
+        f = np.packbits(bits, axis=1).view(np.uint64)
+        pairs = lambda found: [np.concatenate(x) for x in zip(*found)] or [np.zeros(0, int)] * 2
+        some, every = pairs(simhash._joining(f)), pairs(simhash._near(f))
+        same = lambda r: r[:, None] == r[None]
+        assert (same(simhash._roots(n, *some)) == same(simhash._roots(n, *every))).all()
+        assert {*zip(*map(list, some))} <= {*zip(*map(list, every))} | {(j, i) for i, j in zip(*map(list, every))}
+        assert flips > 6 or len(some[0]) < len(every[0]) / 10
+
+
 def test_keep_one(spark):
     rng = random.Random(2)
     t = prose(rng, 80)
