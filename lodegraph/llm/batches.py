@@ -8,6 +8,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +29,17 @@ def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def parts(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """``b`` in runs of rows whose texts in column ``at`` together stay below SLICE_CHARS bytes; longer single texts are alone."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()):
+        if size and size + n > SLICE_CHARS:
+            yield b.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    yield b.slice(start)
+
+
 def _tidy() -> None:
     """Give freed memory back to the system: a worker lives through many tasks, beside others in one executor."""
     gc.collect()
@@ -55,16 +67,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [f"{n}{end}" for n in names]
 
 
-def map_rows(df: DataFrame, schema: T.StructType | str, fn: Callable[..., dict[str, list]]) -> DataFrame:
-    """Apply ``fn(column lists...) -> {column: list}`` to batches of all columns of ``df``."""
+def map_rows(df: DataFrame, schema: T.StructType | str, fn: Callable[..., dict[str, list]], by: str | None = None) -> DataFrame:
+    """Apply ``fn(column lists...) -> {column: list}`` to batches of all columns of ``df``; to parts with SLICE_CHARS bytes of the text column ``by``, if given."""
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
+    at = None if by is None else df.columns.index(by)
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                got = fn(*(c.to_pylist() for c in b.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+            for part in [b] if at is None else parts(b, at):
+                if part.num_rows:
+                    got = fn(*(c.to_pylist() for c in part.columns))
+                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return map_batches(df, run, out)
 

@@ -369,7 +369,7 @@ def encode_and_decode(documents: DataFrame, path: str = MODEL) -> DataFrame:
             "decoded_sha256": [hashlib.sha256(b.encode("utf-8", "replace")).hexdigest() for b in back], "round_trip": [b == (t or "") for b, t in zip(back, texts)],
         }
 
-    return map_rows(documents.select("doc_id", "text"), "doc_id bigint, n_pieces bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean", run)
+    return map_rows(documents.select("doc_id", "text"), "doc_id bigint, n_pieces bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean", run, by="text")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -530,6 +532,30 @@ def test_new_words_list_no_edges(monkeypatch):
     assert longest == [max((c.search.index(text[i : i + n]) for n in range(1, c.longest + 1) if text[i : i + n] in c.search), key=lambda p: c.sizes[p], default=-1) for i in range(len(text))]
 
 
+class Rows:
+    """Stands for a table whose mapInArrow runs here."""
+
+    def __init__(self, batch):
+        self.batch, self.columns = batch, batch.schema.names
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_subwords_are_encoded_in_parts(spark, monkeypatch):
+    texts = [f"word{i} " * (i % 900) for i in range(1_500)] + [None, "", "y" * 2_500_000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    c, seen = subword.codec(), []
+    whole = [subword.ids_digest(x) for x in c.encode(texts)]
+    monkeypatch.setattr(subword.Codec, "encode", lambda self, t, real=subword.Codec.encode: seen.append((len(t), sum(len(x or "") for x in t))) or real(self, t))
+    got = pa.Table.from_batches(subword.encode_and_decode(Rows(batch)))
+    assert got.column("ids_sha256").to_pylist() == whole and got.column("doc_id").to_pylist() == list(range(len(texts)))
+    assert all(size <= 2_000_000 or n == 1 for n, size in seen)
+
+
 # --- edge cases of several operators
 def test_tables_with_null_and_repeated_ids_and_other_columns(spark, tmp_path):
     texts = ["MIT license", "mit  LICENSE", None, "", "SPDX-License-Identifier: MIT", "MIT license", "long " * 60_000]
