@@ -143,3 +143,12 @@ def test_random_graphs(spark, seed):
     touched = {u for a, _, b in edges for u in (a, b)}
     got = components.connected_components(g.edges, "from_id", "to_id")
     assert {r.id: r.component for r in got.collect()} == {u: find(u) for u in touched}
+
+
+def test_levels_are_measured(spark):
+    """A level goes to the edges by its bytes, not by its compressed file."""
+    from lodegraph.storage import materialise, measured
+
+    t = materialise(spark.range(3000).selectExpr("repeat('a', 100) || id as seed", "repeat('b', 100) as id"))
+    hinted = lambda limit: "broadcast" in measured(t, limit)[0]._jdf.queryExecution().logical().toString().lower()
+    assert measured(t)[1] == 3000 and hinted(1 << 20) and not hinted(500_000)

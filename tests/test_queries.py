@@ -54,3 +54,12 @@ def test_whole_edges(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["layers", "view_edges", "deps_direct", "derive_name", "wiki_pages", "dominant_language", "bundle_symbols"])
+def test_broadcasts_are_measured(spark, name):
+    """Stored ids are fifty times smaller than in memory, so no plan may broadcast a table for the size of its files."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before != "-1"
