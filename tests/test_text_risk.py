@@ -148,3 +148,19 @@ def test_registry(spark, tmp_path):
     assert {x.name for x in r.list().collect()} == {"again", "b"}
     assert r.search("bolt", 3).count() == 3
     assert r.unregister("again") and not r.unregister("again")
+
+
+def test_cohesion_of_ends_that_are_no_members(spark):
+    """Null communities, ends without one, self-loops and parallel edges, against plain Python."""
+    of = {"a": "x", "b": "x", "c": "y", "d": None}
+    edges = [("a", "b"), ("a", "b"), ("a", "c"), ("a", "a"), ("b", "gone"), ("gone", "c"), ("d", "d"), ("d", "a"), ("gone", "gone")]
+    e = spark.createDataFrame([(str(i), *x, "calls", "") for i, x in enumerate(edges)], "id string, from_id string, to_id string, kind string, reason string")
+    members = spark.createDataFrame(list(of.items()), "id string, community string")
+    want = {}
+    for a, b in [*edges, *[(b, a) for a, b in edges]]:
+        if a in of:
+            same = of[a] is not None and of[a] == of.get(b)
+            want.setdefault(of[a], [0, 0])[not same] += 1
+    got = {r.community: (r.internal, r.external) for r in com.cohesion(Graph(members, e), members).collect()}
+    assert got == {k: (i // 2, x) if k else (0, 0) for k, (i, x) in want.items()}
+    assert [(r.a, r.b, r.edges) for r in com.coupling(Graph(members, e), members).collect()] == [("x", "y", 1)]
