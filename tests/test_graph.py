@@ -152,3 +152,13 @@ def test_levels_are_measured(spark):
     t = materialise(spark.range(3000).selectExpr("repeat('a', 100) || id as seed", "repeat('b', 100) as id"))
     hinted = lambda limit: "broadcast" in measured(t, limit)[0]._jdf.queryExecution().logical().toString().lower()
     assert measured(t)[1] == 3000 and hinted(1 << 20) and not hinted(500_000)
+
+
+def test_ids_are_collapsed_before_joins(spark, g):
+    """dead_code joins an id once, however many edges come into it; suggestions joins no node that has few edges."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan(ops.dead_code(g))
+    assert "LeftOuter" not in plan(ops.suggestions(g))
+    hub = make(spark, [A, X, Y, *[f"file:/f{i}" for i in range(16)]], [*[(f"file:/f{i}", "imports", A) for i in range(15)], *[(X, "calls", f"file:/f{i}") for i in range(10)], *[(Y, "calls", f"file:/f{i}") for i in range(9)]])
+    assert {(r.id, r.suggestion, r.fan_in, r.fan_out) for r in ops.suggestions(hub).collect()} == {(A, "split", 15, 0), (X, "extract", 0, 10)}
+    assert ids(ops.dead_code(hub)) == {X, Y}
