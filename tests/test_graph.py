@@ -162,3 +162,14 @@ def test_ids_are_collapsed_before_joins(spark, g):
     hub = make(spark, [A, X, Y, *[f"file:/f{i}" for i in range(16)]], [*[(f"file:/f{i}", "imports", A) for i in range(15)], *[(X, "calls", f"file:/f{i}") for i in range(10)], *[(Y, "calls", f"file:/f{i}") for i in range(9)]])
     assert {(r.id, r.suggestion, r.fan_in, r.fan_out) for r in ops.suggestions(hub).collect()} == {(A, "split", 15, 0), (X, "extract", 0, 10)}
     assert ids(ops.dead_code(hub)) == {X, Y}
+
+
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    """No round is spent on seeing that nothing moves; chains, rings and stars that share leaves come out right."""
+    rounds = []
+    star = components._star
+    monkeypatch.setattr(components, "_star", lambda e, large: (rounds.append(large), star(e, large))[1])
+    of = lambda rows: {r.id: r.component for r in components.connected_components(spark.createDataFrame(rows, "src int, dst int")).collect()}
+    assert of([(1, i) for i in range(2, 9)]) == dict.fromkeys(range(1, 9), 1) and rounds == [True, False]
+    assert of([(1, 10), (2, 10), (2, 11), (3, 11)]) == dict.fromkeys((1, 2, 3, 10, 11), 1)
+    assert of([*[(i, i + 1) for i in range(40)], (50, 51), (51, 52), (52, 50), (60, 60)]) == {**dict.fromkeys(range(41), 0), **dict.fromkeys((50, 51, 52), 50), 60: 60}
