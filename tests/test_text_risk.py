@@ -164,3 +164,19 @@ def test_cohesion_of_ends_that_are_no_members(spark):
     got = {r.community: (r.internal, r.external) for r in com.cohesion(Graph(members, e), members).collect()}
     assert got == {k: (i // 2, x) if k else (0, 0) for k, (i, x) in want.items()}
     assert [(r.a, r.b, r.edges) for r in com.coupling(Graph(members, e), members).collect()] == [("x", "y", 1)]
+
+
+def test_moves_end_only_when_no_node_gains(spark):
+    """Without being asked to settle; a hub that many want to join at once does not end the moves either."""
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted((f"{a:03}", f"{b:03}"))) for a, b in (rng.sample(range(120), 2) for _ in range(260))} | {(f"{i:03}", "hub") for i in range(0, 120, 2)})
+    label = {r.id: r.community for r in com.local_moves(spark.createDataFrame([(u, v, 1.0) for u, v in pairs], "u string, v string, w double")).collect()}
+    near, s = {}, {}
+    for u, v in pairs:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    for u, n in near.items():
+        s[label[u]] = s.get(label[u], 0) + len(n)
+    for u, n in near.items():
+        gain = lambda c, u=u, n=n: sum(label[v] == c for v in n) - len(n) * (s[c] - len(n) * (c == label[u])) / (2 * len(pairs))
+        assert all(gain(label[v]) <= gain(label[u]) + 1e-6 for v in n)
